@@ -74,10 +74,10 @@ def route(last: DataFrame, quality: DataFrame | None, scores: DataFrame | None,
                      reason.alias("reason"))
 
 
-def all_keys(users: DataFrame, spark) -> DataFrame:
-    """IO9 helper: every user x the four compounds (4-row broadcast side)."""
-    comps = spark.createDataFrame([(c,) for c in COMPOUNDS], "compound string")
-    return users.select("user_id").distinct().crossJoin(F.broadcast(comps))
+def all_keys(users: DataFrame) -> DataFrame:
+    """IO9 helper: every user with each of the four compounds (a 4-element explode)."""
+    return users.select("user_id").distinct().select(
+        "user_id", F.explode(F.array(*[F.lit(c) for c in COMPOUNDS])).alias("compound"))
 
 
 def progression_report(sessions: DataFrame, tail: int = 50, hot_rows: int | None = None) -> DataFrame:

@@ -47,3 +47,128 @@ SELECT user_id, compound, session_count, weight AS last_weight, reps AS last_rep
        {_RULE['suggested_weight']} AS suggested_weight, {_RULE['reason']} AS reason,
        {_RULE['applied_drop']} AS applied_drop, {_RULE['applied_cap']} AS applied_cap
 FROM last""")(lambda spark, d: recommend.next_load_rule(A.sessions(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Step 2: sequence features (W1-W8b, M2), summaries (A3, A4), report
+# ---------------------------------------------------------------------------
+_W = "PARTITION BY user_id, compound ORDER BY ts, event_id"
+_PERIOD_SQL = S.with_ctes(S.SESSIONS) + f"""
+, b AS (
+  SELECT *, CAST(row_number() OVER ({_W}) AS INTEGER) AS seq,
+         lag(weight) OVER ({_W}) AS prev_weight, lead(weight) OVER ({_W}) AS next_weight,
+         max(weight) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS max_weight_so_far
+  FROM sessions)
+, c AS (
+  SELECT *, COALESCE(weight - prev_weight, 0.0::DOUBLE) AS load_delta,
+         next_weight - weight AS next_load_delta,
+         COALESCE((prev_weight - weight) / NULLIF(prev_weight, 0.0::DOUBLE) >= 0.15::DOUBLE, false) AS is_deload
+  FROM b)
+, d AS (
+  SELECT *, CAST(sum(CAST(is_deload AS INTEGER)) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 AS INTEGER) AS cycle_number
+  FROM c)
+, periodized AS (
+  SELECT user_id, compound, ts, event_id, weight, reps, rpe, seq, prev_weight, next_weight,
+         load_delta, next_load_delta, is_deload, cycle_number,
+         CAST(row_number() OVER (PARTITION BY user_id, compound, cycle_number ORDER BY ts, event_id) AS INTEGER)
+           AS weeks_in_cycle,
+         max_weight_so_far, weight / NULLIF(max_weight_so_far, 0.0::DOUBLE) AS percent_of_max,
+         CASE WHEN is_deload OR seq = 1 THEN 0.0::DOUBLE ELSE COALESCE(weight - prev_weight, 0.0::DOUBLE) END
+           AS cycle_weight_trend,
+         weight - first_value(weight) OVER (PARTITION BY user_id, compound, cycle_number ORDER BY ts, event_id)
+           AS cycle_weight_cum
+  FROM d)
+"""
+_PERIOD_COLS = ["user_id", "compound", "ts", "event_id", "weight", "reps", "rpe", "seq", "prev_weight",
+                "next_weight", "load_delta", "next_load_delta", "is_deload", "cycle_number",
+                "weeks_in_cycle", "max_weight_so_far", "percent_of_max", "cycle_weight_trend",
+                "cycle_weight_cum"]
+
+
+def _periodized(spark, d, hot_rows=None):
+    return sequence.periodization(A.sessions(spark, d), hot_rows=hot_rows).select(*_PERIOD_COLS)
+
+
+register("m2_periodization", _PERIOD_SQL + "SELECT * FROM periodized")(
+    lambda spark, d: _periodized(spark, d))
+# Same operator with every key above 4 rows split into time chunks (skew path).
+register("m2_periodization_hotkeys", _PERIOD_SQL + "SELECT * FROM periodized")(
+    lambda spark, d: _periodized(spark, d, hot_rows=4))
+
+register("w1_load_delta", _PERIOD_SQL + """
+SELECT user_id, compound, event_id, weight, load_delta FROM periodized""")(
+    lambda spark, d: _periodized(spark, d).select(*KEY, "event_id", "weight", "load_delta"))
+
+register("w2_next_load_target", _PERIOD_SQL + """
+SELECT user_id, compound, event_id, weight, next_load_delta FROM periodized
+WHERE next_load_delta IS NOT NULL""")(
+    lambda spark, d: _periodized(spark, d).where(F.col("next_load_delta").isNotNull())
+    .select(*KEY, "event_id", "weight", "next_load_delta"))
+
+register("w16_last_session", S.with_ctes(S.SESSIONS) + """
+SELECT user_id, compound, ts, event_id, weight, reps, rpe, session_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn,
+         count(*) OVER (PARTITION BY user_id, compound) AS session_count
+  FROM sessions) WHERE rn = 1""")(
+    lambda spark, d: sequence.last_per_key(A.sessions(spark, d),
+                                           cols=["ts", "event_id", "weight", "reps", "rpe"]))
+
+register("w17_recent_sessions", S.with_ctes(S.SESSIONS) + """
+SELECT user_id, compound, event_id, weight, recent_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC)
+                 AS INTEGER) AS recent_rank
+  FROM sessions) WHERE recent_rank <= 15""")(
+    lambda spark, d: sequence.last_n(A.sessions(spark, d), 15)
+    .select(*KEY, "event_id", "weight", "recent_rank"))
+
+register("w18_train_valid_split", S.with_ctes(S.SESSIONS) + """
+SELECT user_id, compound, event_id,
+       CASE WHEN row_number() OVER (PARTITION BY user_id, compound ORDER BY ts, event_id)
+                 <= floor(count(*) OVER (PARTITION BY user_id, compound) * 0.8::DOUBLE)
+            THEN 'train' ELSE 'valid' END AS split
+FROM sessions""")(
+    lambda spark, d: sequence.chronological_split(A.sessions(spark, d), 0.8)
+    .select(*KEY, "event_id", "split"))
+
+register("a3_user_summary", _PERIOD_SQL + """
+SELECT user_id, compound, count(*) AS sessions,
+       arg_max(weight, seq) AS current_weight, max(weight) AS max_weight, min(weight) AS min_weight,
+       round(avg(load_delta), 6) AS mean_load_delta,
+       round(arg_max(weight, seq) / NULLIF(max(weight), 0.0::DOUBLE) * 100.0::DOUBLE, 6) AS current_pct_of_max
+FROM periodized GROUP BY user_id, compound""")(
+    lambda spark, d: _periodized(spark, d).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("sessions"),
+        F.max_by("weight", "seq").alias("current_weight"),
+        F.max("weight").alias("max_weight"), F.min("weight").alias("min_weight"),
+        _r(F.avg("load_delta")).alias("mean_load_delta"),
+        _r(F.try_divide(F.max_by("weight", "seq"), F.max("weight")) * 100.0).alias("current_pct_of_max")))
+
+
+def _session_counts(spark, d):
+    users = A.read_table(spark, d, "events").select("user_id").distinct()
+    keys = recommend.all_keys(users)
+    counts = A.sessions(spark, d).groupBy(*KEY).agg(F.count(F.lit(1)).alias("session_count"))
+    return keys.join(counts, list(KEY), "left").select(
+        *KEY, F.coalesce("session_count", F.lit(0)).alias("session_count"))
+
+
+register("a4_session_count", S.with_ctes(S.SESSIONS) + """
+, users AS (SELECT DISTINCT user_id FROM events)
+, keys AS (SELECT user_id, unnest(['squat', 'bench_press', 'lat_pulldown', 'seated_row']) AS compound FROM users)
+SELECT k.user_id, k.compound, COALESCE(c.n, 0) AS session_count
+FROM keys k LEFT JOIN (SELECT user_id, compound, count(*) AS n FROM sessions GROUP BY 1, 2) c
+  ON k.user_id = c.user_id AND k.compound = c.compound""")(_session_counts)
+
+register("r5_progression_report", _PERIOD_SQL + """
+, recent AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS INTEGER)
+           AS recent_rank FROM periodized)
+, summary AS (
+  SELECT user_id, compound, count(*) AS sessions, max(weight) AS max_weight,
+         arg_max(weight, seq) AS current_weight FROM periodized GROUP BY 1, 2)
+SELECT r.user_id, r.compound, seq, recent_rank, weight, reps, rpe, load_delta, is_deload, cycle_number,
+       weeks_in_cycle, max_weight_so_far, percent_of_max, sessions, max_weight, current_weight
+FROM recent r JOIN summary s ON r.user_id = s.user_id AND r.compound = s.compound
+WHERE recent_rank <= 50""")(
+    lambda spark, d: recommend.progression_report(A.sessions(spark, d), 50))
