@@ -172,3 +172,186 @@ SELECT r.user_id, r.compound, seq, recent_rank, weight, reps, rpe, load_delta, i
 FROM recent r JOIN summary s ON r.user_id = s.user_id AND r.compound = s.compound
 WHERE recent_rank <= 50""")(
     lambda spark, d: recommend.progression_report(A.sessions(spark, d), 50))
+
+
+# ---------------------------------------------------------------------------
+# Step 3: cleaning (PF*), imputation (A1, J4), set order (W15), merge (SO1),
+# exercise lookups (J1-J3, J9, A19, PF12, PF13), dataset stats
+# ---------------------------------------------------------------------------
+from liftlake.operators import clean, lookup  # noqa: E402
+
+_EXPORT_CTES = S.with_ctes(S.catalog_values(), S.SETS, S.EXPORT)
+
+
+def _strip(c):
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _num(c):
+    return f"CASE WHEN isnan(TRY_CAST({c} AS DOUBLE)) THEN NULL ELSE TRY_CAST({c} AS DOUBLE) END"
+
+
+_CLEAN_SQL = _EXPORT_CTES + f"""
+, cleaned0 AS (
+  SELECT user_id, source, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         TRY_CAST("Date" AS TIMESTAMP) AS date, {_strip('"Workout Name"')} AS workout_name,
+         {_num('"Duration"')} AS duration, {_strip('"Exercise Name"')} AS exercise_name,
+         {_num('"Set Order"')} AS set_order, {_num('"Weight"')} AS weight, {_num('"Reps"')} AS reps,
+         {_num('"Distance"')} AS distance, {_num('"Seconds"')} AS seconds,
+         {_strip('"Notes"')} AS notes, {_strip('"Workout Notes"')} AS workout_notes, {_num('"RPE"')} AS rpe
+  FROM export)
+, cleaned AS (
+  SELECT *, {S.norm_sql('exercise_name')} AS exercise_normalized,
+         COALESCE(weight, 0.0::DOUBLE) * COALESCE(reps, 0.0::DOUBLE) AS set_volume,
+         COALESCE(weight, 0.0::DOUBLE) * (COALESCE(rpe, 0.0::DOUBLE) / 10.0::DOUBLE) AS effective_load
+  FROM cleaned0)
+"""
+
+_MERGED_COLS = sorted(["user_id", "source", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date",
+                       "workout_name", "duration", "exercise_name", "set_order", "weight", "reps", "distance",
+                       "seconds", "notes", "workout_notes", "rpe", "exercise_normalized", "set_volume",
+                       "effective_load"])
+_MERGE_SQL = _CLEAN_SQL + f"""
+, rpe_lookup AS (
+  SELECT exercise_name, round(avg(rpe), 9) AS rpe_mean FROM cleaned WHERE source = 'full' GROUP BY exercise_name)
+, lite AS (
+  SELECT c.* EXCLUDE (rpe, set_order, set_volume, effective_load), k.rpe_mean AS rpe,
+         CAST(row_number() OVER (PARTITION BY c.user_id, c.workout_name, c.date
+                                 ORDER BY c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_suppkey) AS DOUBLE)
+           AS set_order
+  FROM cleaned c LEFT JOIN rpe_lookup k ON c.exercise_name = k.exercise_name
+  WHERE c.source = 'lite')
+, lite_f AS (
+  SELECT *, COALESCE(weight, 0.0::DOUBLE) * COALESCE(reps, 0.0::DOUBLE) AS set_volume,
+         COALESCE(weight, 0.0::DOUBLE) * (COALESCE(rpe, 0.0::DOUBLE) / 10.0::DOUBLE) AS effective_load
+  FROM lite)
+, merged AS (
+  SELECT {", ".join(_MERGED_COLS)} FROM cleaned WHERE source = 'full'
+  UNION ALL
+  SELECT {", ".join(_MERGED_COLS)} FROM lite_f)
+"""
+
+
+def _cleaned(spark, d):
+    return clean.clean_export(A.export_raw(spark, d))
+
+
+def _merged(spark, d):
+    return clean.preprocess(A.export_raw(spark, d))
+
+
+register("pf_clean_export", _CLEAN_SQL + "SELECT * FROM cleaned")(_cleaned)
+
+register("a1_rpe_lookup", _CLEAN_SQL + """
+SELECT exercise_name, round(avg(rpe), 9) AS rpe_mean FROM cleaned WHERE source = 'full'
+GROUP BY exercise_name""")(
+    lambda spark, d: clean.rpe_lookup(_cleaned(spark, d).where(F.col("source") == "full")))
+
+register("j4_preprocess_merge", _MERGE_SQL + "SELECT * FROM merged")(_merged)
+
+register("w15_assign_set_order", _MERGE_SQL + """
+SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, set_order FROM merged WHERE source = 'lite'""")(
+    lambda spark, d: _merged(spark, d).where(F.col("source") == "lite")
+    .select("user_id", *clean.APPEARANCE, "set_order"))
+
+register("a2_dataset_stats", _MERGE_SQL + """
+, sess AS (SELECT user_id, workout_name, date, count(*) AS n FROM merged
+           WHERE workout_name IS NOT NULL AND date IS NOT NULL GROUP BY 1, 2, 3)
+SELECT (SELECT count(*) FROM merged) AS rows,
+       (SELECT count(DISTINCT workout_name) FROM merged) AS workouts,
+       (SELECT count(DISTINCT exercise_name) FROM merged) AS exercises,
+       (SELECT count(DISTINCT CAST(date AS DATE)) FROM merged) AS dates,
+       (SELECT round(avg(n), 6) FROM sess) AS avg_sets_per_session""")(
+    lambda spark, d: __import__("liftlake.operators.stats", fromlist=["x"]).dataset_stats(_merged(spark, d)))
+
+_TOP_SQL = _MERGE_SQL + """
+, top_sets AS (
+  SELECT * FROM merged WHERE set_order = 1
+     AND weight IS NOT NULL AND reps IS NOT NULL AND exercise_name IS NOT NULL)
+"""
+
+
+def _top_sets(spark, d):
+    m = _merged(spark, d)
+    return m.where(F.col("set_order") == 1).dropna(subset=["weight", "reps", "exercise_name"])
+
+
+register("pf10_top_sets", _TOP_SQL + """
+SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, exercise_normalized, weight, reps
+FROM top_sets""")(
+    lambda spark, d: _top_sets(spark, d).select("user_id", *clean.APPEARANCE, "exercise_normalized",
+                                                "weight", "reps"))
+
+register("pf9_cardio_rows", _MERGE_SQL + """
+SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, distance FROM merged WHERE distance IS NOT NULL""")(
+    lambda spark, d: _merged(spark, d).where(F.col("distance").isNotNull())
+    .select("user_id", *clean.APPEARANCE, "distance"))
+
+_KW = " UNION ALL ".join(
+    f"SELECT *, {S._q(c)} AS compound FROM export WHERE regexp_matches(\"Exercise Name\", {S._q(p)}, 'i')"
+    for c, p in __import__("liftlake.schema", fromlist=["x"]).COMPOUND_KEYWORDS)
+register("pf12_keyword_compound", _EXPORT_CTES + f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "Exercise Name" AS exercise_name, compound
+FROM ({_KW})""")(
+    lambda spark, d: lookup.keyword_classify(A.export_raw(spark, d), "Exercise Name")
+    .select(*clean.APPEARANCE, F.col("Exercise Name").alias("exercise_name"), "compound"))
+
+_PARENT_SQL = _TOP_SQL.replace("WITH ", "WITH " + S.exercise_dim_values() + ",\n", 1) + """
+, parented AS (
+  SELECT t.*, COALESCE(x.parent, lower(trim(t.exercise_normalized))) AS parent_compound,
+         CASE WHEN lower(trim(t.exercise_normalized)) IN ('squat', 'bench_press', 'lat_pulldown', 'seated_row')
+              THEN 1.0::DOUBLE ELSE COALESCE(x.scale, 1.0::DOUBLE) END AS scale_factor
+  FROM top_sets t LEFT JOIN exdim x ON lower(trim(t.exercise_normalized)) = x.exercise)
+"""
+
+
+def _parented(spark, d):
+    return lookup.with_parent(_top_sets(spark, d), spark)
+
+
+register("j1_j2_parent_and_scale", _PARENT_SQL + """
+SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, exercise_normalized, parent_compound,
+       scale_factor FROM parented""")(
+    lambda spark, d: _parented(spark, d).select("user_id", *clean.APPEARANCE, "exercise_normalized",
+                                                "parent_compound", "scale_factor"))
+
+register("pf13_a16_counts_per_compound", _PARENT_SQL + """
+SELECT parent_compound, count(*) AS sets FROM parented
+WHERE parent_compound IN ('squat', 'bench_press', 'lat_pulldown', 'seated_row') GROUP BY 1""")(
+    lambda spark, d: lookup.keep_compounds(_parented(spark, d)).groupBy("parent_compound")
+    .agg(F.count(F.lit(1)).alias("sets")))
+
+register("j9_unmapped_exercises", _MERGE_SQL.replace("WITH ", "WITH " + S.exercise_dim_values() + ",\n", 1) + """
+SELECT DISTINCT exercise_normalized AS exercise FROM merged m
+WHERE exercise_normalized IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM exdim x WHERE x.exercise = lower(trim(m.exercise_normalized)))""")(
+    lambda spark, d: lookup.unmapped(_merged(spark, d), spark))
+
+register("a19_categorize_exercises", _MERGE_SQL.replace("WITH ", "WITH " + S.exercise_dim_values() + ",\n", 1) + """
+, names AS (SELECT DISTINCT exercise_normalized AS e FROM merged WHERE exercise_normalized IS NOT NULL)
+, cat AS (
+  SELECT CASE WHEN COALESCE(x.parent, lower(trim(n.e))) IN ('squat', 'bench_press', 'lat_pulldown', 'seated_row')
+              THEN COALESCE(x.parent, lower(trim(n.e))) ELSE 'other' END AS category, n.e
+  FROM names n LEFT JOIN exdim x ON lower(trim(n.e)) = x.exercise)
+, lists AS (SELECT category, list_sort(list(e)) AS exercises FROM cat GROUP BY category)
+, base AS (SELECT unnest(['squat', 'bench_press', 'lat_pulldown', 'seated_row']) AS category)
+SELECT b.category, COALESCE(l.exercises, []::VARCHAR[]) AS exercises FROM base b LEFT JOIN lists l USING (category)
+UNION ALL SELECT category, exercises FROM lists WHERE category = 'other'""")(
+    lambda spark, d: lookup.categorize(_merged(spark, d), spark))
+
+register("j3_child_predictions", _PARENT_SQL.replace("WITH ", "WITH " + S.SESSIONS + ",\n", 1) + f"""
+, last AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn
+    FROM sessions) WHERE rn = 1)
+, parent_pred AS (
+  SELECT user_id, compound, {_RULE['suggested_weight']} - weight AS predicted_delta FROM last)
+, ex AS (SELECT DISTINCT user_id, exercise_normalized, parent_compound, scale_factor FROM parented)
+SELECT ex.user_id, ex.exercise_normalized, ex.parent_compound, ex.scale_factor,
+       p.predicted_delta * ex.scale_factor AS exercise_delta
+FROM ex JOIN parent_pred p ON p.user_id = ex.user_id AND p.compound = ex.parent_compound""")(
+    lambda spark, d: lookup.child_predictions(
+        _top_sets(spark, d).select("user_id", "exercise_normalized").distinct(),
+        recommend.next_load_rule(A.sessions(spark, d)).select(
+            *KEY, (F.col("suggested_weight") - F.col("last_weight")).alias("predicted_delta")),
+        spark).select("user_id", "exercise_normalized", "parent_compound", "scale_factor", "exercise_delta"))

@@ -107,3 +107,19 @@ def rule_sql(w: str, r: str, p: str) -> dict[str, str]:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+EXPORT = """export AS (
+  SELECT CASE WHEN l_linenumber = 6 AND l_partkey % 50 = 0 THEN 'not a date'
+              ELSE strftime(date, '%Y-%m-%d %H:%M:%S') END AS "Date",
+         CASE WHEN l_linenumber = 4 THEN ' ' || workout_name || chr(9) ELSE workout_name END AS "Workout Name",
+         CAST(l_linenumber * 10 AS VARCHAR) AS "Duration",
+         exercise_name AS "Exercise Name",
+         CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(set_order AS VARCHAR) END AS "Set Order",
+         CASE WHEN l_partkey % 97 = 0 THEN 'n/a' ELSE CAST(weight AS VARCHAR) END AS "Weight",
+         CAST(reps AS VARCHAR) AS "Reps", CAST(distance AS VARCHAR) AS "Distance",
+         '0' AS "Seconds", CAST(NULL AS VARCHAR) AS "Notes", '' AS "Workout Notes",
+         CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(rpe AS VARCHAR) END AS "RPE",
+         user_id, CASE WHEN l_orderkey % 5 = 0 THEN 'lite' ELSE 'full' END AS source,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM sets)"""

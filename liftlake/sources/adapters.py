@@ -117,3 +117,35 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SET_ORDER = ("date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set log in the raw export layout: export column names, all strings.
+
+    A few values are deliberately unparsable ('n/a' weights, a bad date) and
+    some names carry stray whitespace, so coercion and stripping have work.
+    ``source`` says which of the two exports a row belongs to: ``full`` rows
+    carry RPE and set order, ``lite`` rows (every fifth order) lack both.
+    """
+    s = sets(spark, sf_dir)
+    lite = (F.col("l_orderkey") % 5) == 0
+    bad_w = (F.col("l_partkey") % 97) == 0
+    bad_d = ((F.col("l_linenumber") == 6) & ((F.col("l_partkey") % 50) == 0))
+    return s.select(
+        F.when(bad_d, F.lit("not a date"))
+         .otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss")).alias("Date"),
+        F.when(F.col("l_linenumber") == 4, F.concat(F.lit(" "), "workout_name", F.lit("\t")))
+         .otherwise(F.col("workout_name")).alias("Workout Name"),
+        (F.col("l_linenumber") * 10).cast("string").alias("Duration"),
+        F.col("exercise_name").alias("Exercise Name"),
+        F.when(lite, F.lit(None).cast("string")).otherwise(F.col("set_order").cast("string")).alias("Set Order"),
+        F.when(bad_w, F.lit("n/a")).otherwise(F.col("weight").cast("string")).alias("Weight"),
+        F.col("reps").cast("string").alias("Reps"),
+        F.col("distance").cast("string").alias("Distance"),
+        F.lit("0").alias("Seconds"),
+        F.lit(None).cast("string").alias("Notes"),
+        F.lit("").alias("Workout Notes"),
+        F.when(lite, F.lit(None).cast("string")).otherwise(F.col("rpe").cast("string")).alias("RPE"),
+        F.col("user_id"),
+        F.when(lite, F.lit("lite")).otherwise(F.lit("full")).alias("source"),
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
