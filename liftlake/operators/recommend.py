@@ -93,3 +93,18 @@ def progression_report(sessions: DataFrame, tail: int = 50, hot_rows: int | None
         *KEY, "seq", "recent_rank", "weight", "reps", "rpe", "load_delta", "is_deload",
         "cycle_number", "weeks_in_cycle", "max_weight_so_far", "percent_of_max",
         "sessions", "max_weight", "current_weight")
+
+
+def delta_comparison(df: DataFrame) -> DataFrame:
+    """SC8 + SC9: rule / raw / calibrated deltas in long form with the next
+    weight and a direction arrow. Input: key, last_weight, suggested_weight,
+    raw_pred, adjusted."""
+    from liftlake.functions.scalar import direction
+    wide = df.select(*KEY, "last_weight",
+                     (F.col("suggested_weight") - F.col("last_weight")).alias("rule"),
+                     F.col("raw_pred").alias("raw"), F.col("adjusted").alias("calibrated"))
+    longf = wide.select(*KEY, "last_weight", F.expr(
+        "stack(3, 'rule', rule, 'raw', raw, 'calibrated', calibrated) AS (method, delta)"))
+    return longf.select(*KEY, "method", F.round("delta", 6).alias("delta"),
+                        F.round(F.col("last_weight") + F.col("delta"), 6).alias("next_weight"),
+                        direction("delta").alias("direction"))

@@ -355,3 +355,343 @@ FROM ex JOIN parent_pred p ON p.user_id = ex.user_id AND p.compound = ex.parent_
         recommend.next_load_rule(A.sessions(spark, d)).select(
             *KEY, (F.col("suggested_weight") - F.col("last_weight")).alias("predicted_delta")),
         spark).select("user_id", "exercise_normalized", "parent_compound", "scale_factor", "exercise_delta"))
+
+
+# ---------------------------------------------------------------------------
+# Step 4: quality (A8-A12), gate (A10), ledger (IO9, J6, J7), audits
+# ---------------------------------------------------------------------------
+from liftlake.operators import quality  # noqa: E402
+
+_COMPOUND_LIST = "['squat', 'bench_press', 'lat_pulldown', 'seated_row']"
+_AUDIT_CTES = S.with_ctes(S.SESSIONS, S.AUDIT, S.AUDIT_DONE)
+_LEDGER_SQL = f"""
+, users AS (SELECT DISTINCT user_id FROM events)
+, ledger AS (
+  SELECT user_id, unnest({_COMPOUND_LIST}) AS compound, 0 AS session_count,
+         CAST(NULL AS DOUBLE) AS model_mape, CAST(NULL AS DOUBLE) AS rule_mape, false AS model_enabled
+  FROM users)
+"""
+_GATE_SQL = _AUDIT_CTES + _LEDGER_SQL + """
+, recent AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr
+    FROM audit_done WHERE prediction_status = 'complete' AND deviation_reason = 'normal') WHERE rr <= 15)
+, g AS (
+  SELECT user_id, compound, count(*) AS n,
+         count(*) FILTER (WHERE prediction_source = 'model') AS n_model,
+         count(*) FILTER (WHERE prediction_source = 'rule_based') AS n_rule,
+         avg(abs((actual_weight - recommended_weight) / NULLIF(actual_weight, 0.0::DOUBLE)))
+           FILTER (WHERE prediction_source = 'model') AS mm,
+         avg(abs((actual_weight - recommended_weight) / NULLIF(actual_weight, 0.0::DOUBLE)))
+           FILTER (WHERE prediction_source = 'rule_based') AS rm
+  FROM recent GROUP BY 1, 2)
+, s AS (
+  SELECT user_id, compound, n, CASE WHEN n_model >= 5 THEN mm END AS model_mape,
+         CASE WHEN n_rule >= 5 THEN rm END AS rule_mape
+  FROM g WHERE n >= 10)
+, s2 AS (
+  SELECT *, COALESCE(model_mape IS NOT NULL AND rule_mape IS NOT NULL
+                     AND model_mape < rule_mape * 0.85::DOUBLE AND model_mape < 0.10::DOUBLE, false) AS model_enabled
+  FROM s)
+, refreshed AS (
+  SELECT l.user_id, l.compound,
+         CASE WHEN s2.n IS NOT NULL THEN CAST(s2.n AS INTEGER) ELSE l.session_count END AS session_count,
+         CASE WHEN s2.n IS NOT NULL THEN s2.model_mape ELSE l.model_mape END AS model_mape,
+         CASE WHEN s2.n IS NOT NULL THEN s2.rule_mape ELSE l.rule_mape END AS rule_mape,
+         CASE WHEN s2.n IS NOT NULL THEN s2.model_enabled ELSE l.model_enabled END AS model_enabled
+  FROM ledger l LEFT JOIN s2 ON l.user_id = s2.user_id AND l.compound = s2.compound)
+"""
+
+
+def _ledger(spark, d):
+    return quality.init_ledger(A.read_table(spark, d, "events").select("user_id"))
+
+
+def _refreshed(spark, d):
+    return quality.refresh_quality(_ledger(spark, d), A.session_audit(spark, d))
+
+
+register("io9_init_ledger", _AUDIT_CTES + _LEDGER_SQL + "SELECT * FROM ledger")(_ledger)
+
+register("a10_quality_gate", _GATE_SQL + """
+SELECT user_id, compound, session_count, round(model_mape, 6) AS model_mape, round(rule_mape, 6) AS rule_mape,
+       model_enabled FROM refreshed""")(
+    lambda spark, d: _refreshed(spark, d).withColumns(
+        {"model_mape": _r("model_mape"), "rule_mape": _r("rule_mape")}))
+
+register("j6_j7_ledger_lookups", _GATE_SQL + """
+, keys AS (SELECT DISTINCT user_id, compound FROM sessions)
+SELECT k.user_id, k.compound, COALESCE(r.model_enabled, false) AS model_enabled,
+       COALESCE(r.session_count, 0) AS recorded_sessions
+FROM keys k LEFT JOIN refreshed r ON k.user_id = r.user_id AND k.compound = r.compound""")(
+    lambda spark, d: lookup.with_recorded_count(
+        lookup.with_model_enabled(A.sessions(spark, d).select(*KEY).distinct(), _refreshed(spark, d)),
+        _refreshed(spark, d)))
+
+register("a8_a9_mape_by_source", _AUDIT_CTES + """
+SELECT compound, prediction_source,
+       round(avg(abs((actual_weight - recommended_weight) / NULLIF(actual_weight, 0.0::DOUBLE))), 6) AS mape,
+       round(avg(abs((actual_weight - recommended_weight) / NULLIF(actual_weight, 0.0::DOUBLE))) * 100.0::DOUBLE, 6)
+         AS mape_pct
+FROM audit_done GROUP BY 1, 2""")(
+    lambda spark, d: A.session_audit(spark, d).groupBy("compound", "prediction_source")
+    .agg(quality.mape("actual_weight", "recommended_weight").alias("_m"))
+    .select("compound", "prediction_source", _r("_m").alias("mape"), _r(F.col("_m") * 100.0).alias("mape_pct")))
+
+register("a11_a12_regression_metrics", _AUDIT_CTES + """
+, m AS (
+  SELECT compound, prediction_source, count(*) AS n, avg(abs(actual_weight - recommended_weight)) AS mae,
+         avg((actual_weight - recommended_weight) * (actual_weight - recommended_weight)) AS mse,
+         var_pop(actual_weight) AS v
+  FROM audit_done WHERE actual_weight IS NOT NULL AND recommended_weight IS NOT NULL GROUP BY 1, 2)
+SELECT compound, prediction_source, n, round(mae, 6) AS mae, round(mse, 6) AS mse, round(sqrt(mse), 6) AS rmse,
+       round(CASE WHEN v > 0 THEN 1.0::DOUBLE - mse / v END, 6) AS r2,
+       greatest(0, CAST(trunc(CASE WHEN v > 0 THEN 1.0::DOUBLE - mse / v END * 100.0::DOUBLE) AS INTEGER))
+         AS accuracy_pct
+FROM m""")(
+    lambda spark, d: quality.regression_metrics(A.session_audit(spark, d), "actual_weight", "recommended_weight",
+                                                ["compound", "prediction_source"])
+    .select("compound", "prediction_source", "n", _r("mae").alias("mae"), _r("mse").alias("mse"),
+            _r("rmse").alias("rmse"), _r("r2").alias("r2"), "accuracy_pct"))
+
+_PENDING_SQL = S.with_ctes(S.SESSIONS, S.AUDIT) + """
+, audit_p AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS r FROM audit)
+, audit2 AS (
+  SELECT *, CASE WHEN r <= 2 THEN 'pending' ELSE 'complete' END AS prediction_status,
+         CASE WHEN r <= 2 THEN NULL ELSE weight END AS actual_weight,
+         CASE WHEN r <= 2 THEN NULL ELSE weight - recommended_weight END AS accuracy_delta
+  FROM audit_p)
+"""
+register("j8_close_pending", _PENDING_SQL + """
+, np AS (
+  SELECT user_id, compound, event_id AS pid FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn
+    FROM audit2 WHERE prediction_status = 'pending') WHERE rn = 1)
+, ns AS (
+  SELECT user_id, compound, weight AS actual FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn
+    FROM sessions) WHERE rn = 1)
+, target AS (SELECT np.*, ns.actual FROM np JOIN ns USING (user_id, compound))
+SELECT a.user_id, a.compound, a.event_id, a.recommended_weight,
+       CASE WHEN a.event_id = t.pid THEN t.actual ELSE a.actual_weight END AS actual_weight,
+       CASE WHEN a.event_id = t.pid THEN t.actual - a.recommended_weight ELSE a.accuracy_delta END AS accuracy_delta,
+       CASE WHEN a.event_id = t.pid THEN 'complete' ELSE a.prediction_status END AS prediction_status
+FROM audit2 a LEFT JOIN target t ON a.user_id = t.user_id AND a.compound = t.compound""")(
+    lambda spark, d: quality.close_pending(A.session_audit(spark, d, pending_newest=2), A.sessions(spark, d))
+    .select(*KEY, "event_id", "recommended_weight", "actual_weight", "accuracy_delta", "prediction_status"))
+
+register("w19_error_tracking", _AUDIT_CTES + """
+, e AS (
+  SELECT *, row_number() OVER w AS seq, lag(weight) OVER w AS pw FROM audit
+  WINDOW w AS (PARTITION BY user_id, compound ORDER BY ts, event_id))
+, f AS (
+  SELECT *, COALESCE(weight = pw, false) AS unchanged,
+         CASE WHEN seq = 1 THEN NULL WHEN COALESCE(weight = pw, false) THEN 0.0::DOUBLE
+              ELSE abs((weight - recommended_weight) / NULLIF(weight, 0.0::DOUBLE)) * 100.0::DOUBLE END AS error_pct
+  FROM e)
+SELECT user_id, compound, event_id, CAST(seq AS INTEGER) AS seq, unchanged, round(error_pct, 6) AS error_pct,
+       round(100.0::DOUBLE - error_pct, 6) AS accuracy_pct,
+       round(avg(error_pct) OVER (PARTITION BY user_id, compound ORDER BY ts, event_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mape_pct
+FROM f""")(
+    lambda spark, d: quality.error_tracking(A.session_audit(spark, d)).select(
+        *KEY, "event_id", "seq", "unchanged", _r("error_pct").alias("error_pct"),
+        _r("accuracy_pct").alias("accuracy_pct"), _r("running_mape_pct").alias("running_mape_pct")))
+
+
+# ---------------------------------------------------------------------------
+# Step 5: calibration (A13-A15, SC6, R3), routing (R1, R2), logging (R4),
+# comparison (SC8, SC9), uplift (M15), prediction log (IO6)
+# ---------------------------------------------------------------------------
+from liftlake.operators import calibrate as C  # noqa: E402
+from liftlake.functions.scalar import direction  # noqa: E402
+
+_SCORED = f"""
+, scored AS (
+  SELECT *, avg(weight) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - weight AS raw_pred,
+         lead(weight) OVER ({_W}) - weight AS y
+  FROM sessions)
+, win AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr
+    FROM scored WHERE raw_pred IS NOT NULL AND y IS NOT NULL) WHERE rr <= 32)
+, fit AS (
+  SELECT user_id, compound, count(*) AS n, min(raw_pred) AS xmin, max(raw_pred) AS xmax, avg(y) AS ybar,
+         regr_slope(y, raw_pred) AS slope, regr_intercept(y, raw_pred) AS icpt
+  FROM win GROUP BY 1, 2)
+, fit2 AS (
+  SELECT user_id, compound, n, n AS available,
+         CASE WHEN n >= 8 AND NOT (xmin = xmax AND xmin = 0) THEN
+           least(greatest(CASE WHEN xmin = xmax THEN ybar / (xmin * 2.0::DOUBLE) ELSE slope END, 0.6::DOUBLE),
+                 1.4::DOUBLE) END AS fit_a,
+         CASE WHEN n >= 8 AND NOT (xmin = xmax AND xmin = 0) THEN
+           CASE WHEN xmin = xmax THEN ybar / 2.0::DOUBLE ELSE icpt END END AS fit_b
+  FROM fit)
+, calib AS (
+  SELECT user_id, compound, COALESCE(fit_a, 1.0::DOUBLE) AS a, COALESCE(fit_b, 0.0::DOUBLE) AS b,
+         CASE WHEN fit_a IS NOT NULL THEN CAST(n AS INTEGER) ELSE 0 END AS last_calibrated_size,
+         CASE WHEN fit_a IS NOT NULL THEN 1 ELSE 0 END AS runs, fit_a IS NOT NULL AS refit
+  FROM fit2)
+, next_score AS (
+  SELECT user_id, compound,
+         avg(weight) FILTER (WHERE rr <= 3) - max(CASE WHEN rr = 1 THEN weight END) AS raw_pred
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr
+        FROM sessions) GROUP BY 1, 2)
+"""
+
+
+def _scored(spark, d, hot_rows=None):
+    return C.stand_in_scores(A.sessions(spark, d), hot_rows=hot_rows)
+
+
+def _calib(spark, d):
+    return C.calibrate(_scored(spark, d))
+
+
+def _round_state(df):
+    return df.withColumns({"a": _r("a"), "b": _r("b")})
+
+
+register("a13_affine_calibration", S.with_ctes(S.SESSIONS) + _SCORED + """
+SELECT user_id, compound, round(a, 6) AS a, round(b, 6) AS b, last_calibrated_size, runs, refit FROM calib""")(
+    lambda spark, d: _round_state(_calib(spark, d)))
+
+register("a13_affine_calibration_hotkeys", S.with_ctes(S.SESSIONS) + _SCORED + """
+SELECT user_id, compound, round(a, 6) AS a, round(b, 6) AS b, last_calibrated_size, runs, refit FROM calib""")(
+    lambda spark, d: _round_state(C.calibrate(_scored(spark, d, hot_rows=5))))
+
+
+def _prior_state(fits):
+    return fits.select(*KEY, F.lit(1.1).alias("a"), F.lit(0.5).alias("b"),
+                       F.when(F.col("user_id") % 2 == 0, F.col("n") - 10).otherwise(F.col("n") - 3)
+                       .cast("int").alias("last_calibrated_size"), F.lit(2).alias("runs"))
+
+
+def _refit_with_state(spark, d):
+    fits = C.fit_affine(C.usable_window(_scored(spark, d)))
+    return _round_state(C.refit(_prior_state(fits), fits))
+
+
+register("a14_io7_refit_cadence_upsert", S.with_ctes(S.SESSIONS) + _SCORED + """
+, state AS (
+  SELECT user_id, compound, 1.1::DOUBLE AS a, 0.5::DOUBLE AS b,
+         CAST(CASE WHEN user_id % 2 = 0 THEN n - 10 ELSE n - 3 END AS INTEGER) AS last_calibrated_size, 2 AS runs
+  FROM fit2)
+, j AS (
+  SELECT *, COALESCE(fit_a IS NOT NULL AND (COALESCE(last_calibrated_size, 0) = 0
+                     OR available - COALESCE(last_calibrated_size, 0) >= 10), false) AS go
+  FROM state FULL OUTER JOIN fit2 USING (user_id, compound))
+SELECT user_id, compound,
+       round(CASE WHEN go THEN fit_a ELSE COALESCE(a, 1.0::DOUBLE) END, 6) AS a,
+       round(CASE WHEN go THEN fit_b ELSE COALESCE(b, 0.0::DOUBLE) END, 6) AS b,
+       CASE WHEN go THEN CAST(n AS INTEGER) ELSE COALESCE(last_calibrated_size, 0) END AS last_calibrated_size,
+       CAST(COALESCE(runs, 0) + CAST(go AS INTEGER) AS INTEGER) AS runs, go AS refit
+FROM j""")(_refit_with_state)
+
+register("a15_residual_offsets", S.with_ctes(S.SESSIONS) + _SCORED + """
+SELECT user_id, compound, round(0.0::DOUBLE + avg(y - raw_pred) * 0.05::DOUBLE, 6) AS b FROM win GROUP BY 1, 2""")(
+    lambda spark, d: C.residual_offsets(C.usable_window(_scored(spark, d))).withColumn("b", _r("b")))
+
+register("sc6_r3_calibrated_scores", S.with_ctes(S.SESSIONS) + _SCORED + """
+SELECT s.user_id, s.compound, round(s.raw_pred, 6) AS raw_pred, round(COALESCE(c.a, 1.0::DOUBLE), 6) AS a,
+       round(COALESCE(c.b, 0.0::DOUBLE), 6) AS b,
+       round(s.raw_pred * COALESCE(c.a, 1.0::DOUBLE) + COALESCE(c.b, 0.0::DOUBLE), 6) AS adjusted
+FROM next_score s LEFT JOIN calib c ON s.user_id = c.user_id AND s.compound = c.compound""")(
+    lambda spark, d: C.apply_affine(C.next_scores(A.sessions(spark, d)), _calib(spark, d))
+    .select(*KEY, _r("raw_pred").alias("raw_pred"), _r("a").alias("a"), _r("b").alias("b"),
+            _r("adjusted").alias("adjusted")))
+
+
+def _recommendation(spark, d):
+    sessions = A.sessions(spark, d)
+    last = sequence.last_per_key(sessions, cols=["weight", "reps", "rpe"]).select(
+        *KEY, "session_count", F.col("weight").alias("last_weight"), F.col("reps").alias("last_reps"),
+        F.col("rpe").alias("last_rpe"))
+    return recommend.route(last, _refreshed(spark, d), C.next_scores(sessions), _calib(spark, d))
+
+
+_R1_RULE = S.rule_sql("l.weight", "l.reps", "l.rpe")
+_R1_SQL = (_GATE_SQL.replace("WITH ", "WITH ", 1) + _SCORED + f"""
+, last AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn,
+           count(*) OVER (PARTITION BY user_id, compound) AS session_count
+    FROM sessions) WHERE rn = 1)
+, routed0 AS (
+  SELECT l.user_id, l.compound, l.session_count AS n, l.weight AS last_weight,
+         COALESCE(q.model_enabled, false) AS enabled, s.raw_pred,
+         s.raw_pred * COALESCE(c.a, 1.0::DOUBLE) + COALESCE(c.b, 0.0::DOUBLE) AS adjusted,
+         {_R1_RULE['suggested_weight']} AS rule_w, {_R1_RULE['reason']} AS rule_reason
+  FROM last l LEFT JOIN refreshed q ON l.user_id = q.user_id AND l.compound = q.compound
+  LEFT JOIN next_score s ON l.user_id = s.user_id AND l.compound = s.compound
+  LEFT JOIN calib c ON l.user_id = c.user_id AND l.compound = c.compound)
+, routed AS (SELECT *, enabled AND raw_pred IS NOT NULL AND last_weight IS NOT NULL AS model_ok FROM routed0)
+""")
+register("r1_recommendation", _R1_SQL + """
+SELECT user_id, compound, n AS session_count, last_weight, enabled AS model_enabled, round(raw_pred, 6) AS raw_pred,
+       round(CASE WHEN model_ok THEN adjusted END, 6) AS adjusted_delta,
+       round(CASE WHEN n = 0 THEN NULL WHEN n <= 15 AND NOT enabled THEN rule_w
+                  WHEN model_ok THEN last_weight + adjusted ELSE rule_w END, 6) AS recommended_weight,
+       CASE WHEN n = 0 THEN 'insufficient_data' WHEN n <= 15 AND NOT enabled THEN 'rule_based'
+            WHEN model_ok THEN 'model' ELSE 'rule_based' END AS source,
+       CASE WHEN n = 0 THEN 'No training history yet' WHEN n <= 15 AND NOT enabled THEN rule_reason
+            WHEN model_ok THEN 'ML model (calibrated)'
+            WHEN enabled AND raw_pred IS NULL THEN 'Model not found - ' || rule_reason
+            WHEN enabled THEN 'Model failed - ' || rule_reason
+            ELSE 'Rule-based (' || CAST(n AS VARCHAR) || ' sessions; model calibrating...)' END AS reason
+FROM routed""")(
+    lambda spark, d: _recommendation(spark, d).withColumns({
+        "raw_pred": _r("raw_pred"), "adjusted_delta": _r("adjusted_delta"),
+        "recommended_weight": _r("recommended_weight")}))
+
+register("sc8_sc9_delta_comparison", _R1_SQL + """
+, wide AS (SELECT user_id, compound, last_weight, rule_w - last_weight AS rule, raw_pred AS raw, adjusted AS calibrated
+           FROM routed)
+, longf AS (
+  SELECT user_id, compound, last_weight, 'rule' AS method, rule AS delta FROM wide
+  UNION ALL SELECT user_id, compound, last_weight, 'raw', raw FROM wide
+  UNION ALL SELECT user_id, compound, last_weight, 'calibrated', calibrated FROM wide)
+SELECT user_id, compound, method, round(delta, 6) AS delta, round(last_weight + delta, 6) AS next_weight,
+       CASE WHEN delta > 0 THEN '↑' WHEN delta < 0 THEN '↓' WHEN delta = 0 THEN '→' END AS direction
+FROM longf""")(
+    lambda spark, d: __import__("liftlake.operators.recommend", fromlist=["x"]).delta_comparison(
+        _recommendation_inputs(spark, d)))
+
+
+def _recommendation_inputs(spark, d):
+    sessions = A.sessions(spark, d)
+    rule = recommend.next_load_rule(sessions)
+    scores = C.apply_affine(C.next_scores(sessions), _calib(spark, d))
+    return rule.join(scores.select(*KEY, "raw_pred", "adjusted"), list(KEY), "left")
+
+
+register("m15_calibration_uplift", S.with_ctes(S.SESSIONS) + f"""
+, scored AS (
+  SELECT *, avg(weight) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) - weight AS raw_pred,
+         lead(weight) OVER ({_W}) - weight AS y
+  FROM sessions)
+, usable AS (
+  SELECT *, row_number() OVER ({_W}) AS pos FROM scored WHERE raw_pred IS NOT NULL AND y IS NOT NULL)
+, fit AS (
+  SELECT user_id, compound, count(*) AS n, min(raw_pred) AS xmin, max(raw_pred) AS xmax, avg(y) AS ybar,
+         regr_slope(y, raw_pred) AS slope, regr_intercept(y, raw_pred) AS icpt
+  FROM usable WHERE pos <= 12 GROUP BY 1, 2)
+, fit2 AS (
+  SELECT user_id, compound,
+         CASE WHEN n >= 8 AND NOT (xmin = xmax AND xmin = 0) THEN
+           least(greatest(CASE WHEN xmin = xmax THEN ybar / (xmin * 2.0::DOUBLE) ELSE slope END, 0.6::DOUBLE),
+                 1.4::DOUBLE) END AS a,
+         CASE WHEN n >= 8 AND NOT (xmin = xmax AND xmin = 0) THEN
+           CASE WHEN xmin = xmax THEN ybar / 2.0::DOUBLE ELSE icpt END END AS b
+  FROM fit)
+, ev AS (
+  SELECT u.*, u.raw_pred * COALESCE(f.a, 1.0::DOUBLE) + COALESCE(f.b, 0.0::DOUBLE) AS cal
+  FROM usable u LEFT JOIN fit2 f ON u.user_id = f.user_id AND u.compound = f.compound WHERE u.pos > 12)
+SELECT user_id, compound, count(*) AS held_out,
+       round(avg(abs(y - raw_pred)), 6) AS mae_raw, round(avg(abs(y - cal)), 6) AS mae_calibrated,
+       round(sqrt(avg((y - raw_pred) * (y - raw_pred))), 6) AS rmse_raw,
+       round(sqrt(avg((y - cal) * (y - cal))), 6) AS rmse_calibrated
+FROM ev GROUP BY 1, 2""")(
+    lambda spark, d: C.uplift_report(_scored(spark, d)).select(
+        *KEY, "held_out", *[_r(c).alias(c) for c in ["mae_raw", "mae_calibrated", "rmse_raw", "rmse_calibrated"]]))
