@@ -108,3 +108,29 @@ def delta_comparison(df: DataFrame) -> DataFrame:
     return longf.select(*KEY, "method", F.round("delta", 6).alias("delta"),
                         F.round(F.col("last_weight") + F.col("delta"), 6).alias("next_weight"),
                         direction("delta").alias("direction"))
+
+
+def log_newest_sessions(sessions: DataFrame, rule: RuleParams = RuleParams(),
+                        reason: str = "normal") -> DataFrame:
+    """R4 in batch: treat each key's newest session as the one being logged.
+
+    Its backward load delta is taken against the previous session (0 for a
+    first session) and a pending audit row records the recommendation the
+    history before it produced (rule based; ``insufficient_data`` with no
+    history). Newest two rows per key come from a WindowGroupLimit.
+    """
+    two = last_n(sessions, 2, rank_col="_rr")
+    row = F.struct("ts", "event_id", "weight", "reps", "rpe")
+    g = two.groupBy(*KEY).agg(F.max(F.when(F.col("_rr") == 1, row)).alias("new"),
+                              F.max(F.when(F.col("_rr") == 2, row)).alias("prev"))
+    s = rule_progression(F.col("prev.weight"), F.col("prev.reps"), F.col("prev.rpe"), rule)
+    has_prev = F.col("prev").isNotNull()
+    return g.select(
+        *KEY, F.col("new.ts").alias("ts"), F.col("new.event_id").alias("event_id"),
+        F.col("new.weight").alias("weight"), F.col("new.reps").alias("reps"), F.col("new.rpe").alias("rpe"),
+        F.when(has_prev, F.coalesce(F.col("new.weight") - F.col("prev.weight"), F.lit(0.0)))
+         .otherwise(F.lit(0.0)).alias("load_delta"),
+        F.lit(reason).alias("deviation_reason"),
+        F.when(has_prev, F.lit("rule_based")).otherwise(F.lit("insufficient_data")).alias("prediction_source"),
+        F.when(has_prev, s["suggested_weight"]).alias("recommended_weight"),
+        F.lit("pending").alias("prediction_status"))

@@ -695,3 +695,33 @@ SELECT user_id, compound, count(*) AS held_out,
 FROM ev GROUP BY 1, 2""")(
     lambda spark, d: C.uplift_report(_scored(spark, d)).select(
         *KEY, "held_out", *[_r(c).alias(c) for c in ["mae_raw", "mae_calibrated", "rmse_raw", "rmse_calibrated"]]))
+
+_R4_RULE = S.rule_sql("p.weight", "p.reps", "p.rpe")
+register("r4_log_sessions", S.with_ctes(S.SESSIONS) + f"""
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr FROM sessions)
+, n AS (SELECT * FROM ranked WHERE rr = 1)
+, p AS (SELECT * FROM ranked WHERE rr = 2)
+SELECT n.user_id, n.compound, n.ts, n.event_id, n.weight, n.reps, n.rpe,
+       CASE WHEN p.user_id IS NOT NULL THEN COALESCE(n.weight - p.weight, 0.0::DOUBLE) ELSE 0.0::DOUBLE END
+         AS load_delta,
+       'normal' AS deviation_reason,
+       CASE WHEN p.user_id IS NOT NULL THEN 'rule_based' ELSE 'insufficient_data' END AS prediction_source,
+       CASE WHEN p.user_id IS NOT NULL THEN {_R4_RULE['suggested_weight']} END AS recommended_weight,
+       'pending' AS prediction_status
+FROM n LEFT JOIN p ON n.user_id = p.user_id AND n.compound = p.compound""")(
+    lambda spark, d: recommend.log_newest_sessions(A.sessions(spark, d)))
+
+from liftlake.sources import store  # noqa: E402
+
+register("io6_prediction_log", S.with_ctes(S.SESSIONS) + _SCORED + f"""
+, seqd AS (SELECT *, row_number() OVER ({_W}) AS seq FROM scored)
+SELECT s.event_id AS id, s.user_id, s.compound, CAST(s.seq - 1 AS INTEGER) AS session_index,
+       round(s.raw_pred, 6) AS predicted_raw,
+       round(s.raw_pred * COALESCE(c.a, 1.0::DOUBLE) + COALESCE(c.b, 0.0::DOUBLE), 6) AS predicted_adjusted,
+       s.y AS actual, 'model' AS source, s.ts AS created_at
+FROM seqd s LEFT JOIN calib c ON s.user_id = c.user_id AND s.compound = c.compound
+WHERE s.raw_pred IS NOT NULL""")(
+    lambda spark, d: store.prediction_rows(C.apply_affine(_scored(spark, d), _calib(spark, d)))
+    .where(F.col("predicted_raw").isNotNull())
+    .withColumns({"predicted_raw": _r("predicted_raw"), "predicted_adjusted": _r("predicted_adjusted")}))
