@@ -126,3 +126,24 @@ def keyword_compounds(name: str | Column, keywords) -> Column:
     n = col(name)
     hits = [F.when(n.rlike("(?i)" + pat), F.lit(comp)) for comp, pat in keywords]
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
+
+
+def _sql_literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_table(spark, rows, names, types):
+    """A small fixed table built on the JVM (a local relation: no Python
+    worker, no RDD), e.g. a dimension of a few dozen rows. One SQL call."""
+    cols = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(names, types))
+    if not rows:
+        nulls = ", ".join(f"CAST(NULL AS {t}) AS {n}" for n, t in zip(names, types))
+        return spark.sql(f"SELECT {nulls} WHERE false")
+    values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({', '.join(names)})")

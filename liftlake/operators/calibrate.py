@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftlake.functions.scalar import local_table
 from liftlake.operators.scan import KeyedScan
 from liftlake.operators.sequence import chronological_split, last_n
 from liftlake.schema import KEY, ORDER, CalibrationConfig  # noqa: F401
@@ -89,8 +90,8 @@ def refit(state: DataFrame | None, fits: DataFrame, cfg: CalibrationConfig = Cal
     last_calibrated_size, runs and ``refit`` (whether it changed now).
     """
     if state is None:
-        state = fits.sparkSession.createDataFrame(
-            [], "user_id long, compound string, a double, b double, last_calibrated_size int, runs int")
+        state = local_table(fits.sparkSession, [], ["user_id", "compound", *STATE_COLS],
+                            ["long", "string", "double", "double", "int", "int"])
     j = state.select(*KEY, *STATE_COLS).join(fits, list(KEY), "full_outer")
     last = F.coalesce(F.col("last_calibrated_size"), F.lit(0))
     due = (last == 0) | ((F.col("available") - last) >= cfg.refit_every)

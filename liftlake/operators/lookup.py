@@ -8,13 +8,14 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.functions.scalar import keyword_compounds
+from liftlake.functions.scalar import keyword_compounds, local_table
 from liftlake.schema import COMPOUNDS, COMPOUND_KEYWORDS, EXERCISES, KEY
 
 
 def exercise_dim(spark: SparkSession) -> DataFrame:
     """The fixed 70-row dimension (exercise, parent, scale); always broadcast."""
-    return F.broadcast(spark.createDataFrame(list(EXERCISES), "exercise string, parent string, scale double"))
+    return F.broadcast(local_table(spark, EXERCISES, ["exercise", "parent", "scale"],
+                                   ["string", "string", "double"]))
 
 
 def with_parent(df: DataFrame, spark: SparkSession, exercise: str = "exercise_normalized") -> DataFrame:
@@ -59,7 +60,7 @@ def categorize(exercises: DataFrame, spark: SparkSession, exercise: str = "exerc
         "category", F.when(F.col("parent_compound").isin(list(COMPOUNDS)), F.col("parent_compound"))
                      .otherwise(F.lit("other")))
     lists = mapped.groupBy("category").agg(F.sort_array(F.collect_list("exercise_normalized")).alias("exercises"))
-    base = spark.createDataFrame([(c,) for c in COMPOUNDS], "category string")
+    base = local_table(spark, [(c,) for c in COMPOUNDS], ["category"], ["string"])
     fixed = base.join(lists, "category", "left").select(
         "category", F.coalesce(F.col("exercises"), F.array().cast("array<string>")).alias("exercises"))
     other = lists.where(F.col("category") == "other")

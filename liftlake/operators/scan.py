@@ -64,11 +64,17 @@ class KeyedScan:
     # -- construction --------------------------------------------------------
     @classmethod
     def build(cls, df: DataFrame, key: Sequence[str], order: Sequence[str],
-              hot_rows: int | None = None, broadcast_rows: int | None = None) -> "KeyedScan":
+              hot_rows: int | None = None, broadcast_rows: int | None = None,
+              assume_cold: bool = False) -> "KeyedScan":
+        """``assume_cold``: the caller knows no key can be hot (e.g. a coarser
+        key of the same rows was checked and none was), so skip the check."""
         key, order = tuple(key), tuple(order)
         hot_rows = hot_rows or _conf_int(df, "liftlake.scan.hotRows", DEFAULT_HOT_ROWS)
         broadcast_rows = broadcast_rows or _conf_int(df, "liftlake.scan.broadcastRows",
                                                      DEFAULT_BROADCAST_ROWS)
+        if assume_cold:
+            return cls(df.withColumn("_chunk", F.lit(0).cast("long")), key, order, False, 0,
+                       broadcast_rows or DEFAULT_BROADCAST_ROWS)
         tcol = order[0]
         t = _time_number(F.col(tcol), dict(df.dtypes)[tcol])
         per_key = (df.select(*key, t.alias("_t"))

@@ -99,9 +99,9 @@ def chronological_split(df: DataFrame, fraction: float = 0.8, key: Sequence[str]
 
 
 def rolling_mean(df: DataFrame, value: str, n: int, key: Sequence[str], order: Sequence[str],
-                 name: str, hot_rows: int | None = None) -> DataFrame:
+                 name: str, hot_rows: int | None = None, assume_cold: bool = False) -> DataFrame:
     """Mean of the last ``n`` rows including the current one (min 1)."""
-    scan = KeyedScan.build(df, key, order, hot_rows)
+    scan = KeyedScan.build(df, key, order, hot_rows, assume_cold=assume_cold)
     out = scan.df
     if not scan.hot:
         w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(n - 1), 0)
@@ -115,7 +115,8 @@ def rolling_mean(df: DataFrame, value: str, n: int, key: Sequence[str], order: S
 
 
 def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order: Sequence[str],
-                  name: str, fill_mean: bool = True, hot_rows: int | None = None) -> DataFrame:
+                  name: str, fill_mean: bool = True, hot_rows: int | None = None,
+                  assume_cold: bool = False) -> DataFrame:
     """Least-squares slope of ``value`` against position over the last
     ``n`` rows (min 2 rows, else NULL); NULLs filled with the mean of all
     slopes when ``fill_mean``.
@@ -123,7 +124,7 @@ def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order:
     Position is the row's index inside the window, so the slope equals the
     regression on 0..k-1 as in the reference's per-window fit.
     """
-    scan = KeyedScan.build(df, key, order, hot_rows)
+    scan = KeyedScan.build(df, key, order, hot_rows, assume_cold=assume_cold)
     out = scan.with_seq(scan.df, "_sx")
     if not scan.hot:
         w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(n - 1), 0)
@@ -144,7 +145,7 @@ def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order:
         out = out.drop(*[f"_rs{i}" for i in range(1, n)])
     out = scan.finish(out.drop("_sx"))
     if fill_mean:
-        mean = out.agg(F.avg(name).alias("_fill"))
-        out = out.crossJoin(F.broadcast(mean)).withColumn(
-            name, F.coalesce(F.col(name), F.col("_fill"))).drop("_fill")
+        # a fitted scalar: one small aggregate, applied as a literal
+        fill = out.agg(F.avg(name)).first()[0]
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(fill).cast("double")))
     return out

@@ -725,3 +725,84 @@ WHERE s.raw_pred IS NOT NULL""")(
     lambda spark, d: store.prediction_rows(C.apply_affine(_scored(spark, d), _calib(spark, d)))
     .where(F.col("predicted_raw").isNotNull())
     .withColumns({"predicted_raw": _r("predicted_raw"), "predicted_adjusted": _r("predicted_adjusted")}))
+
+
+# ---------------------------------------------------------------------------
+# Step 6: model features (M1), clipping and preparation
+# ---------------------------------------------------------------------------
+from liftlake.operators import features as FE  # noqa: E402
+
+_APP = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+_M1_SQL = _MERGE_SQL + f"""
+, f0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, exercise_normalized ORDER BY date, {_APP}) AS pos
+         FROM merged WHERE date IS NOT NULL)
+, f1 AS (
+  SELECT *, CAST(date_sub('day', min(date) OVER (PARTITION BY user_id), date) AS INTEGER) AS days_since_first_workout,
+         CAST(COALESCE(date_sub('day', lag(date) OVER (PARTITION BY user_id ORDER BY date, {_APP}), date), 0)
+              AS INTEGER) AS days_since_last_workout,
+         CAST(dense_rank() OVER (PARTITION BY user_id, exercise_normalized ORDER BY date) AS INTEGER) AS session_number,
+         avg(effective_load) OVER (PARTITION BY user_id, exercise_normalized ORDER BY date, {_APP}
+                                   ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_avg_load_last_3_sessions,
+         CASE WHEN count(*) OVER w5 >= 2 THEN regr_slope(effective_load, pos) OVER w5 END AS slope0
+  FROM f0
+  WINDOW w5 AS (PARTITION BY user_id, exercise_normalized ORDER BY date, {_APP} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+, f2 AS (
+  SELECT * EXCLUDE (rpe), COALESCE(slope0, avg(slope0) OVER ()) AS rolling_trend_load,
+         CASE WHEN rpe IS NULL THEN 1 ELSE 0 END AS rpe_missing,
+         COALESCE(rpe, (SELECT median(rpe) FROM f0)) AS rpe
+  FROM f1)
+, f3 AS (
+  SELECT *, CASE WHEN rpe >= 0 AND rpe <= 5 THEN 'Low' WHEN rpe > 5 AND rpe <= 7 THEN 'Medium'
+                 WHEN rpe > 7 AND rpe <= 10 THEN 'High' END AS rpe_binned,
+         row_number() OVER (PARTITION BY user_id, days_since_first_workout, workout_name, exercise_normalized
+                            ORDER BY set_volume DESC, {_APP}) = 1 AS is_top_set,
+         CASE WHEN reps >= 0 AND reps <= 5 THEN 'Strength' WHEN reps > 5 AND reps <= 15 THEN 'Hypertrophy'
+              WHEN reps > 15 THEN 'Endurance' END AS reps_binned,
+         CAST(epoch(date) AS BIGINT) AS date_epoch
+  FROM f2)
+, m1 AS (
+  SELECT *, CASE rpe_binned WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3 END AS rpe_ordinal FROM f3)
+"""
+_M1_COLS = ["user_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date", "exercise_normalized",
+            "days_since_first_workout", "days_since_last_workout", "session_number",
+            "rolling_avg_load_last_3_sessions", "rolling_trend_load", "rpe", "rpe_missing", "rpe_binned",
+            "rpe_ordinal", "is_top_set", "reps_binned", "date_epoch"]
+
+
+def _m1(spark, d, hot_rows=None):
+    out = FE.feature_step(_merged(spark, d), tiebreak=clean.APPEARANCE, hot_rows=hot_rows)
+    return out.select(*_M1_COLS).withColumns({
+        "rolling_avg_load_last_3_sessions": _r("rolling_avg_load_last_3_sessions"),
+        "rolling_trend_load": _r("rolling_trend_load")})
+
+
+_M1_OUT = f"""
+SELECT {", ".join(c if c not in ("rolling_avg_load_last_3_sessions", "rolling_trend_load") else f"round({c}, 6) AS {c}"
+                  for c in _M1_COLS)} FROM m1"""
+register("m1_feature_step", _M1_SQL + _M1_OUT)(lambda spark, d: _m1(spark, d))
+register("m1_feature_step_hotkeys", _M1_SQL + _M1_OUT)(lambda spark, d: _m1(spark, d, hot_rows=6))
+
+_SESSION_FEATS_SQL = _PERIOD_SQL + f"""
+, sf0 AS (
+  SELECT *, COALESCE(weight, 0.0::DOUBLE) * COALESCE(CAST(reps AS DOUBLE), 0.0::DOUBLE) AS set_volume,
+         COALESCE(weight, 0.0::DOUBLE) * (COALESCE(rpe, 0.0::DOUBLE) / 10.0::DOUBLE) AS effective_load
+  FROM periodized)
+, sf1 AS (
+  SELECT *, avg(effective_load) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+           AS rolling_avg_load_last_3_sessions,
+         CASE WHEN count(*) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= 2
+              THEN regr_slope(effective_load, seq) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS slope0
+  FROM sf0)
+, sfeat AS (SELECT * EXCLUDE (slope0), COALESCE(slope0, avg(slope0) OVER ()) AS rolling_trend_load FROM sf1)
+"""
+_CLIPC = ["weight", "effective_load", "set_volume", "rolling_avg_load_last_3_sessions", "rolling_trend_load",
+          "percent_of_max", "cycle_weight_trend", "max_weight_so_far"]
+_BOUNDS = ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in _CLIPC)
+_CLIPPED = ", ".join(f"round(CASE WHEN s.{c} IS NULL THEN NULL ELSE least(greatest(s.{c}, b.lo_{c}), b.hi_{c}) END, 6)"
+                     f" AS {c}" for c in _CLIPC)
+register("a6_m3_prepare_clipped", _SESSION_FEATS_SQL + f"""
+, bnd AS (SELECT compound, {_BOUNDS} FROM sfeat GROUP BY compound)
+SELECT s.user_id, s.compound, s.event_id, {_CLIPPED}, s.rpe, s.next_load_delta
+FROM sfeat s JOIN bnd b ON s.compound = b.compound WHERE s.next_load_delta IS NOT NULL""")(
+    lambda spark, d: FE.prepare(FE.session_features(_periodized(spark, d)))
+    .select(*KEY, "event_id", *[_r(c).alias(c) for c in _CLIPC], "rpe", "next_load_delta"))

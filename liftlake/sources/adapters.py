@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.scalar import nan_to_null
+from liftlake.functions.scalar import local_table, nan_to_null
 from liftlake.schema import EXERCISES, KEY, ORDER, UNMAPPED_EXERCISES
 
 # event_type -> compound; 'error' rows are not sessions.
@@ -79,7 +79,7 @@ def exercise_catalog() -> list[tuple[int, str, str]]:
 
 
 def exercise_catalog_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(exercise_catalog(), "ex_idx long, ex_norm string, ex_display string")
+    return local_table(spark, exercise_catalog(), ["ex_idx", "ex_norm", "ex_display"], ["long", "string", "string"])
 
 
 def sets(spark: SparkSession, sf_dir: str) -> DataFrame:

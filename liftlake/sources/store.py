@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from liftlake.functions.scalar import local_table
 from liftlake.operators.scan import KeyedScan
 from liftlake.schema import (BASELINE_COLUMNS, COMPOUNDS, EXPORT_COLUMNS, KEY, ORDER)
 
@@ -222,7 +223,7 @@ def save_model(model, path: str, metadata: dict, overwrite: bool = True) -> None
     w = model.write()
     (w.overwrite() if overwrite else w).save(os.path.join(path, "model"))
     spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "doc string") \
+    local_table(spark, [(json.dumps(metadata, sort_keys=True),)], ["doc"], ["string"]) \
          .coalesce(1).write.mode("overwrite").text(os.path.join(path, "metadata"))
 
 
