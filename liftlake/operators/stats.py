@@ -18,3 +18,133 @@ def dataset_stats(df: DataFrame, session: Sequence[str] = ("user_id", "workout_n
                     F.countDistinct("exercise_name").alias("exercises"),
                     F.countDistinct(F.to_date("date")).alias("dates"))
     return totals.crossJoin(per_session)
+
+
+NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def _is_numeric(dtype: str) -> bool:
+    return dtype in NUMERIC or dtype.startswith("decimal")
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row per column -- dtype, null count, non-null count and, for
+    numeric columns, mean, sample stddev, min, max. One aggregation pass."""
+    aggs, rows = [], []
+    for i, (c, t) in enumerate(df.dtypes):
+        x = F.col(f"`{c}`")
+        aggs += [F.count_if(x.isNull()).alias(f"n{i}"), F.count(x).alias(f"c{i}")]
+        if _is_numeric(t):
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                     F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
+            stats = [F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")]
+        else:
+            stats = [F.lit(None).cast("double")] * 4
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"),
+                             F.col(f"n{i}").alias("nulls"), F.col(f"c{i}").alias("non_null"),
+                             stats[0].alias("mean"), stats[1].alias("stddev"),
+                             stats[2].alias("min"), stats[3].alias("max")))
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def cardinality(df: DataFrame, small: int = 20) -> DataFrame:
+    """Distinct count per column; the sorted values (as strings) for
+    columns with at most ``small`` distinct values. Exact distinct counts in
+    one pass; values collected only for the small columns (bounded)."""
+    cols = df.dtypes
+    counts = df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}") for i, (c, _) in enumerate(cols)]).first()
+    small_cols = [(i, c) for i, (c, _) in enumerate(cols) if counts[f"d{i}"] <= small]
+    vals = {}
+    if small_cols:
+        r = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"v{i}")
+                     for i, c in small_cols]).first()
+        vals = {i: r[f"v{i}"] for i, _ in small_cols}
+    from liftlake.functions.scalar import local_table
+    spark = df.sparkSession
+    base = local_table(spark, [(c, int(counts[f"d{i}"]), _is_numeric(t)) for i, (c, t) in enumerate(cols)],
+                       ["column_name", "distinct_count", "numeric"], ["string", "bigint", "boolean"])
+    pairs = [(c, v) for i, c in small_cols for v in vals[i]]
+    lists = (local_table(spark, pairs, ["column_name", "v"], ["string", "string"])
+             .groupBy("column_name").agg(F.sort_array(F.collect_list("v")).alias("_vals")))
+    return base.join(lists, "column_name", "left").select(
+        "column_name", "distinct_count", "numeric",
+        F.when(F.col("distinct_count") <= small,
+               F.coalesce(F.col("_vals"), F.array().cast("array<string>"))).alias("values"))
+
+
+def binned_mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10,
+                              threshold: float = 0.15) -> DataFrame:
+    """A20 (re-aimed): mutual information (nats) of each feature with the
+    target after equal-frequency binning (cut points = exact quantiles i/bins),
+    sorted descending, ``selected`` when >= threshold. Not the kNN estimator.
+
+    Bin counts are a grouped aggregate (features x bins^2 rows), so the work
+    is one pass over the data plus one small fit."""
+    from liftlake.operators.features import fit_quantiles
+    probs = [i / bins for i in range(1, bins)]
+    cols = features + [target]
+    cuts = fit_quantiles(df, cols, probs)[()]
+
+    def bin_of(c):
+        arr = F.array(*[F.lit(float(v)) for v in cuts[c]]) if cuts[c] else F.array().cast("array<double>")
+        return F.size(F.filter(arr, lambda q: q < F.col(f"`{c}`").cast("double")))
+
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bx"),
+                               F.col(f"`{f}`").isNotNull().alias("ok")) for f in features])
+    long = (df.where(F.col(target).isNotNull()).select(bin_of(target).alias("by"), F.inline(pairs))
+            .where(F.col("ok")))
+    cell = long.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    from pyspark.sql import Window
+    wf = Window.partitionBy("feature")
+    cell = cell.withColumns({
+        "_t": F.sum("n").over(wf),
+        "_nx": F.sum("n").over(wf.partitionBy("feature", "bx")),
+        "_ny": F.sum("n").over(wf.partitionBy("feature", "by")),
+    })
+    p = F.col("n") / F.col("_t")
+    term = p * F.log(F.col("n") * F.col("_t") / (F.col("_nx") * F.col("_ny")))
+    mi = cell.groupBy("feature").agg(F.sum(term).alias("mi"))
+    return mi.select("feature", F.round("mi", 6).alias("mi"), (F.col("mi") >= threshold).alias("selected"))
+
+
+def history_slice_stats(periodized: DataFrame, n: int = 14) -> DataFrame:
+    """Per key over its newest ``n`` sessions: weight range, mean RPE and
+    the range of the session-to-session change inside the slice (the slice's
+    first row counts as 0). The slice is bounded, so its window is cheap."""
+    from pyspark.sql import Window
+    from liftlake.operators.sequence import last_n
+    from liftlake.schema import KEY
+    sl = last_n(periodized, n, rank_col="_rr")
+    sl = sl.withColumn("_m", F.max("_rr").over(Window.partitionBy(*KEY)))
+    d = F.when(F.col("_rr") == F.col("_m"), F.lit(0.0)).otherwise(F.col("load_delta"))
+    return sl.groupBy(*KEY).agg(F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"),
+                                F.round(F.avg("rpe"), 6).alias("mean_rpe"),
+                                F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
+
+
+def per_key_delta(df: DataFrame, key: list[str], order: list[str], value: str = "weight",
+                  name: str = "load_delta", hot_rows: int | None = None) -> DataFrame:
+    """W1 on any keyed table: value - previous value, first row 0."""
+    from liftlake.operators.scan import KeyedScan
+    scan = KeyedScan.build(df, key, order, hot_rows)
+    out = scan.with_lags(scan.df, value, 1, "_pv")
+    return scan.finish(out.withColumn(name, F.coalesce(F.col(value) - F.col("_pv1"), F.lit(0.0))).drop("_pv1"))
+
+
+def min_data_guards(df: DataFrame, order: list[str], compound: str = "compound", min_rows: int = 50,
+                    min_top: int = 20, min_targets: int = 10) -> DataFrame:
+    """Per compound, rows / top sets / top sets with a next top set, and
+    whether training may proceed (else the first failed guard)."""
+    from liftlake.operators.scan import KeyedScan
+    top = df.where((F.col("set_order") == 1) & F.col("weight").isNotNull() & F.col("date").isNotNull())
+    scan = KeyedScan.build(top, ["user_id", compound], order)
+    nxt = scan.finish(scan.with_lead1(scan.df, "weight", "_nxt"))
+    tg = nxt.groupBy(compound).agg(F.count(F.lit(1)).alias("n_top_sets"),
+                                   F.count("_nxt").alias("n_targets"))
+    g = df.groupBy(compound).agg(F.count(F.lit(1)).alias("n_rows")).join(tg, compound, "left")
+    nt, ng = F.coalesce(F.col("n_top_sets"), F.lit(0)), F.coalesce(F.col("n_targets"), F.lit(0))
+    return g.select(compound, "n_rows", nt.alias("n_top_sets"), ng.alias("n_targets"),
+                    ((F.col("n_rows") >= min_rows) & (nt >= min_top) & (ng >= min_targets)).alias("trainable"),
+                    F.when(F.col("n_rows") < min_rows, F.lit("too_few_rows"))
+                     .when(nt < min_top, F.lit("too_few_top_sets"))
+                     .when(ng < min_targets, F.lit("too_few_targets")).alias("skip_reason"))

@@ -806,3 +806,128 @@ SELECT s.user_id, s.compound, s.event_id, {_CLIPPED}, s.rpe, s.next_load_delta
 FROM sfeat s JOIN bnd b ON s.compound = b.compound WHERE s.next_load_delta IS NOT NULL""")(
     lambda spark, d: FE.prepare(FE.session_features(_periodized(spark, d)))
     .select(*KEY, "event_id", *[_r(c).alias(c) for c in _CLIPC], "rpe", "next_load_delta"))
+
+
+# ---------------------------------------------------------------------------
+# Step 6b: profiling (A17, A18), mutual information (A20), slices (A21),
+# metric averages (A22), learned scale factors (A23), data guards
+# ---------------------------------------------------------------------------
+from liftlake.operators import stats as ST  # noqa: E402
+
+_MERGED_TYPES = [("date", "timestamp_ntz"), ("distance", "double"), ("duration", "double"),
+                 ("effective_load", "double"), ("exercise_name", "string"), ("exercise_normalized", "string"),
+                 ("l_linenumber", "int"), ("l_orderkey", "bigint"), ("l_partkey", "bigint"),
+                 ("l_suppkey", "bigint"), ("notes", "string"), ("reps", "double"), ("rpe", "double"),
+                 ("seconds", "double"), ("set_order", "double"), ("set_volume", "double"), ("source", "string"),
+                 ("user_id", "bigint"), ("weight", "double"), ("workout_name", "string"),
+                 ("workout_notes", "string")]
+_NUMT = ("double", "int", "bigint")
+
+
+def _profile_sql_row(c, t):
+    if t in _NUMT:
+        stats = (f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, "
+                 f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max")
+    else:
+        stats = "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS stddev, CAST(NULL AS DOUBLE) AS min, " \
+                "CAST(NULL AS DOUBLE) AS max"
+    return (f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(*) - count({c}) AS nulls, count({c}) AS non_null, "
+            f"{stats} FROM merged")
+
+
+register("a17_profile", _MERGE_SQL + "\n UNION ALL ".join(_profile_sql_row(c, t) for c, t in _MERGED_TYPES))(
+    lambda spark, d: ST.profile(_merged(spark, d)).withColumns({"mean": _r("mean"), "stddev": _r("stddev")}))
+
+
+def _card_sql_row(c, t):
+    num = "true" if t in _NUMT else "false"
+    return (f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, {num} AS numeric, "
+            f"CASE WHEN count(DISTINCT {c}) <= 20 THEN COALESCE(list_sort(list(DISTINCT CAST({c} AS VARCHAR)) "
+            f"FILTER (WHERE {c} IS NOT NULL)), []::VARCHAR[]) END AS \"values\" FROM merged")
+
+
+register("a18_cardinality", _MERGE_SQL + "\n UNION ALL ".join(_card_sql_row(c, t) for c, t in _MERGED_TYPES))(
+    lambda spark, d: ST.cardinality(_merged(spark, d)))
+
+_MI_FEATURES = ["weight", "reps", "rpe", "load_delta", "cycle_number", "weeks_in_cycle", "max_weight_so_far",
+                "percent_of_max", "cycle_weight_trend"]
+_PROBS = "[" + ", ".join(repr(i / 10) for i in range(1, 10)) + "]"
+_MI_SQL = _PERIOD_SQL + f"""
+, cuts AS (SELECT {", ".join(f"quantile_cont({c}, {_PROBS}) AS q_{c}" for c in _MI_FEATURES + ["next_load_delta"])}
+           FROM periodized)
+, binned AS (
+  SELECT len(list_filter(q_next_load_delta, lambda q: q < next_load_delta)) AS bin_y,
+         {", ".join(f"CASE WHEN {c} IS NOT NULL THEN len(list_filter(q_{c}, lambda q: q < CAST({c} AS DOUBLE))) END AS b_{c}"
+                    for c in _MI_FEATURES)}
+  FROM periodized, cuts WHERE next_load_delta IS NOT NULL)
+, longf AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, b_{c} AS bx, bin_y FROM binned WHERE b_{c} IS NOT NULL"
+                               for c in _MI_FEATURES)})
+, cell AS (SELECT feature, bx, bin_y, count(*) AS n FROM longf GROUP BY 1, 2, 3)
+, cell2 AS (
+  SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bx) AS nx,
+         sum(n) OVER (PARTITION BY feature, bin_y) AS ny FROM cell)
+SELECT feature, round(sum(CAST(n AS DOUBLE) / t * ln(CAST(n AS DOUBLE) * t / (nx * ny))), 6) AS mi,
+       sum(CAST(n AS DOUBLE) / t * ln(CAST(n AS DOUBLE) * t / (nx * ny))) >= 0.15 AS selected
+FROM cell2 GROUP BY feature"""
+register("a20_mutual_information", _MI_SQL)(
+    lambda spark, d: ST.binned_mutual_information(_periodized(spark, d), _MI_FEATURES, "next_load_delta"))
+
+register("a21_history_slice_stats", _PERIOD_SQL + """
+, sl AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr,
+         count(*) OVER (PARTITION BY user_id, compound) AS n FROM periodized)
+, s2 AS (SELECT *, CASE WHEN rr = least(n, 14) THEN 0.0::DOUBLE ELSE load_delta END AS slice_delta
+         FROM sl WHERE rr <= 14)
+SELECT user_id, compound, min(weight) AS min_weight, max(weight) AS max_weight, round(avg(rpe), 6) AS mean_rpe,
+       min(slice_delta) AS min_delta, max(slice_delta) AS max_delta
+FROM s2 GROUP BY 1, 2""")(
+    lambda spark, d: ST.history_slice_stats(_periodized(spark, d), 14))
+
+register("a22_average_compound_metrics", _AUDIT_CTES + """
+, m AS (
+  SELECT compound, avg(abs(actual_weight - recommended_weight)) AS mae,
+         avg((actual_weight - recommended_weight) * (actual_weight - recommended_weight)) AS mse,
+         var_pop(actual_weight) AS v
+  FROM audit_done WHERE actual_weight IS NOT NULL AND recommended_weight IS NOT NULL GROUP BY 1)
+SELECT round(avg(mae), 6) AS avg_mae, round(avg(sqrt(mse)), 6) AS avg_rmse,
+       round(avg(CASE WHEN v > 0 THEN 1.0::DOUBLE - mse / v END), 6) AS avg_r2, count(*) AS compounds FROM m""")(
+    lambda spark, d: quality.regression_metrics(A.session_audit(spark, d), "actual_weight", "recommended_weight",
+                                                ["compound"])
+    .agg(_r(F.avg("mae")).alias("avg_mae"), _r(F.avg("rmse")).alias("avg_rmse"), _r(F.avg("r2")).alias("avg_r2"),
+         F.count(F.lit(1)).alias("compounds")))
+
+register("a23_learned_scale_factors", _PARENT_SQL + f"""
+, d AS (
+  SELECT *, COALESCE(weight - lag(weight) OVER (PARTITION BY user_id, exercise_normalized ORDER BY date, {_APP}),
+                     0.0::DOUBLE) AS load_delta
+  FROM parented WHERE date IS NOT NULL)
+, means AS (SELECT parent_compound, exercise_normalized, avg(load_delta) AS m FROM d GROUP BY 1, 2)
+, par AS (SELECT parent_compound, m AS pm FROM means WHERE exercise_normalized = parent_compound)
+SELECT means.parent_compound, exercise_normalized, round(m / NULLIF(pm, 0.0::DOUBLE), 6) AS learned_scale
+FROM means LEFT JOIN par ON means.parent_compound = par.parent_compound""")(
+    lambda spark, d: lookup.learned_scale_factors(
+        ST.per_key_delta(_top_sets(spark, d).where(F.col("date").isNotNull()), ["user_id", "exercise_normalized"],
+                         ["date", *clean.APPEARANCE]),
+        spark).withColumn("learned_scale", _r("learned_scale")))
+
+_KW_MERGED = " UNION ALL ".join(
+    f"SELECT *, {S._q(c)} AS compound FROM merged WHERE regexp_matches(exercise_name, {S._q(p)}, 'i')"
+    for c, p in __import__("liftlake.schema", fromlist=["x"]).COMPOUND_KEYWORDS)
+register("m13_min_data_guards", _MERGE_SQL + f"""
+, kw AS ({_KW_MERGED})
+, top AS (SELECT * FROM kw WHERE set_order = 1 AND weight IS NOT NULL AND date IS NOT NULL)
+, tgt AS (
+  SELECT compound, count(*) FILTER (WHERE nxt IS NOT NULL) AS n_targets FROM (
+    SELECT *, lead(weight) OVER (PARTITION BY user_id, compound ORDER BY date, {_APP}) AS nxt FROM top)
+  GROUP BY compound)
+, g AS (
+  SELECT k.compound, count(*) AS n_rows,
+         (SELECT count(*) FROM top t WHERE t.compound = k.compound) AS n_top_sets
+  FROM kw k GROUP BY k.compound)
+SELECT g.compound, g.n_rows, g.n_top_sets, COALESCE(tgt.n_targets, 0) AS n_targets,
+       g.n_rows >= 50 AND g.n_top_sets >= 20 AND COALESCE(tgt.n_targets, 0) >= 10 AS trainable,
+       CASE WHEN g.n_rows < 50 THEN 'too_few_rows' WHEN g.n_top_sets < 20 THEN 'too_few_top_sets'
+            WHEN COALESCE(tgt.n_targets, 0) < 10 THEN 'too_few_targets' END AS skip_reason
+FROM g LEFT JOIN tgt ON g.compound = tgt.compound""")(
+    lambda spark, d: ST.min_data_guards(lookup.keyword_classify(_merged(spark, d), "exercise_name"),
+                                        order=["date", *clean.APPEARANCE]))
