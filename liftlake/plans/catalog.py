@@ -931,3 +931,23 @@ SELECT g.compound, g.n_rows, g.n_top_sets, COALESCE(tgt.n_targets, 0) AS n_targe
 FROM g LEFT JOIN tgt ON g.compound = tgt.compound""")(
     lambda spark, d: ST.min_data_guards(lookup.keyword_classify(_merged(spark, d), "exercise_name"),
                                         order=["date", *clean.APPEARANCE]))
+
+
+# ---------------------------------------------------------------------------
+# Step 7: model pipeline (M4-M12, M14); rows-only checks (no SQL oracle)
+# ---------------------------------------------------------------------------
+from liftlake.operators import ml as ML  # noqa: E402
+
+
+def _prepared(spark, d):
+    return FE.prepare(FE.session_features(_periodized(spark, d)))
+
+
+def _m14(spark, d):
+    report, _ = ML.train_validate(_prepared(spark, d))
+    return report
+
+
+register("m14_train_validate_forest")(_m14)
+register("m9_model_comparison")(lambda spark, d: ML.compare_models(_prepared(spark, d)))
+register("m10_m11_cross_validation")(lambda spark, d: ML.cross_validate(_prepared(spark, d)))
