@@ -951,3 +951,16 @@ def _m14(spark, d):
 register("m14_train_validate_forest")(_m14)
 register("m9_model_comparison")(lambda spark, d: ML.compare_models(_prepared(spark, d)))
 register("m10_m11_cross_validation")(lambda spark, d: ML.cross_validate(_prepared(spark, d)))
+
+
+# ---------------------------------------------------------------------------
+# Step 8: streaming (ST1): stream == batch W1
+# ---------------------------------------------------------------------------
+def _st1(spark, d):
+    from liftlake.streaming import ingest
+    out = ingest.run_to_table(ingest.session_ingest(ingest.sessions_stream(spark, d)), "st1_ingest", spark)
+    return out.where(~F.col("late")).select(*KEY, "event_id", "weight", "load_delta")
+
+
+register("st1_stream_session_ingest", _PERIOD_SQL + """
+SELECT user_id, compound, event_id, weight, load_delta FROM periodized""")(_st1)

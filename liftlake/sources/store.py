@@ -167,9 +167,12 @@ def _versions(root: str) -> list[int]:
     return sorted(out)
 
 
-def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """Newest complete snapshot (one with ``_SUCCESS``), or None."""
-    versions = _versions(root)
+def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None,
+                  before: int | None = None) -> DataFrame | None:
+    """Newest complete snapshot (one with ``_SUCCESS``), or None; with
+    ``before`` only versions below it (a retried batch ignores its own
+    earlier partial output)."""
+    versions = [v for v in _versions(root) if before is None or v < before]
     if not versions:
         return spark.createDataFrame([], schema) if schema is not None else None
     return spark.read.parquet(os.path.join(root, f"v={versions[-1]}"))
