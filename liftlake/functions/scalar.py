@@ -147,3 +147,9 @@ def local_table(spark, rows, names, types):
         return spark.sql(f"SELECT {nulls} WHERE false")
     values = ", ".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in rows)
     return spark.sql(f"SELECT {cols} FROM VALUES {values} AS t({', '.join(names)})")
+
+
+def stable_round(c: str | Column, digits: int = 6) -> Column:
+    """Round to ``digits`` places, half away from zero, after snapping to 12
+    places: last-bit noise from summation order cannot flip the result."""
+    return F.round(F.round(col(c), 12), digits)

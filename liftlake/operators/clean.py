@@ -7,11 +7,12 @@ from typing import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.scalar import nan_to_null, normalize_exercise, strip_ws
+from liftlake.functions.scalar import nan_to_null, normalize_exercise, stable_round, strip_ws
 from liftlake.schema import EXPORT_COLUMNS, EXPORT_NUMERIC, EXPORT_STRINGS
 
 # Columns that identify a set row in appearance order (tie-break of every sort).
-APPEARANCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+APPEARANCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+              "l_discount", "l_returnflag")
 
 
 def standardize(df: DataFrame, mapping: dict[str, str] = EXPORT_COLUMNS) -> DataFrame:
@@ -63,7 +64,7 @@ def clean_export(df: DataFrame, strict_names: bool = False) -> DataFrame:
 def rpe_lookup(df: DataFrame, by: str = "exercise_name") -> DataFrame:
     """A1: mean RPE per exercise (NULLs ignored), rounded to 9 places so the
     lookup does not depend on summation order."""
-    return df.groupBy(by).agg(F.round(F.avg("rpe"), 9).alias("rpe_mean"))
+    return df.groupBy(by).agg(stable_round(F.avg("rpe"), 9).alias("rpe_mean"))
 
 
 def impute_rpe(df: DataFrame, lookup: DataFrame, by: str = "exercise_name") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators.quality import regression_metrics
 from liftlake.operators.scan import KeyedScan
-from liftlake.schema import COMPOUNDS, KEY, ORDER, ForestParams
+from liftlake.schema import COMPOUNDS, KEY, ORDER, ForestParams  # noqa: F401
 
 NUMERIC_FEATURES = ("weight", "reps", "rpe", "effective_load", "set_volume", "rolling_avg_load_last_3_sessions",
                     "rolling_trend_load", "percent_of_max", "cycle_weight_trend", "max_weight_so_far",

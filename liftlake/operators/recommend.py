@@ -105,8 +105,9 @@ def delta_comparison(df: DataFrame) -> DataFrame:
                      F.col("raw_pred").alias("raw"), F.col("adjusted").alias("calibrated"))
     longf = wide.select(*KEY, "last_weight", F.expr(
         "stack(3, 'rule', rule, 'raw', raw, 'calibrated', calibrated) AS (method, delta)"))
-    return longf.select(*KEY, "method", F.round("delta", 6).alias("delta"),
-                        F.round(F.col("last_weight") + F.col("delta"), 6).alias("next_weight"),
+    from liftlake.functions.scalar import stable_round
+    return longf.select(*KEY, "method", stable_round("delta", 6).alias("delta"),
+                        stable_round(F.col("last_weight") + F.col("delta"), 6).alias("next_weight"),
                         direction("delta").alias("direction"))
 
 

@@ -7,12 +7,14 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftlake.functions.scalar import stable_round
+
 
 def dataset_stats(df: DataFrame, session: Sequence[str] = ("user_id", "workout_name", "date")) -> DataFrame:
     """A2: rows, workouts, exercises, distinct dates, mean sets per session."""
     per_session = (df.where(F.col("workout_name").isNotNull() & F.col("date").isNotNull())
                    .groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
-                   .agg(F.round(F.avg("_n"), 6).alias("avg_sets_per_session")))
+                   .agg(stable_round(F.avg("_n"), 6).alias("avg_sets_per_session")))
     totals = df.agg(F.count(F.lit(1)).alias("rows"),
                     F.countDistinct("workout_name").alias("workouts"),
                     F.countDistinct("exercise_name").alias("exercises"),
@@ -104,7 +106,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
     p = F.col("n") / F.col("_t")
     term = p * F.log(F.col("n") * F.col("_t") / (F.col("_nx") * F.col("_ny")))
     mi = cell.groupBy("feature").agg(F.sum(term).alias("mi"))
-    return mi.select("feature", F.round("mi", 6).alias("mi"), (F.col("mi") >= threshold).alias("selected"))
+    return mi.select("feature", stable_round("mi", 6).alias("mi"), (F.col("mi") >= threshold).alias("selected"))
 
 
 def history_slice_stats(periodized: DataFrame, n: int = 14) -> DataFrame:
@@ -118,7 +120,7 @@ def history_slice_stats(periodized: DataFrame, n: int = 14) -> DataFrame:
     sl = sl.withColumn("_m", F.max("_rr").over(Window.partitionBy(*KEY)))
     d = F.when(F.col("_rr") == F.col("_m"), F.lit(0.0)).otherwise(F.col("load_delta"))
     return sl.groupBy(*KEY).agg(F.min("weight").alias("min_weight"), F.max("weight").alias("max_weight"),
-                                F.round(F.avg("rpe"), 6).alias("mean_rpe"),
+                                stable_round(F.avg("rpe"), 6).alias("mean_rpe"),
                                 F.min(d).alias("min_delta"), F.max(d).alias("max_delta"))
 
 

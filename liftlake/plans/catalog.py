@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftlake.functions.scalar import stable_round
 from liftlake.operators import recommend, sequence
 from liftlake.plans import sql as S
 from liftlake.schema import KEY, ORDER
@@ -24,13 +25,13 @@ def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = S.stable_round_sql(sql)
         return fn
     return deco
 
 
 def _r(c, digits: int = 6):
-    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+    return stable_round(c, digits)
 
 
 # ---------------------------------------------------------------------------
@@ -181,6 +182,7 @@ WHERE recent_rank <= 50""")(
 from liftlake.operators import clean, lookup  # noqa: E402
 
 _EXPORT_CTES = S.with_ctes(S.catalog_values(), S.SETS, S.EXPORT)
+_APP = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag"
 
 
 def _strip(c):
@@ -193,7 +195,8 @@ def _num(c):
 
 _CLEAN_SQL = _EXPORT_CTES + f"""
 , cleaned0 AS (
-  SELECT user_id, source, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  SELECT user_id, source, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
+         l_returnflag,
          TRY_CAST("Date" AS TIMESTAMP) AS date, {_strip('"Workout Name"')} AS workout_name,
          {_num('"Duration"')} AS duration, {_strip('"Exercise Name"')} AS exercise_name,
          {_num('"Set Order"')} AS set_order, {_num('"Weight"')} AS weight, {_num('"Reps"')} AS reps,
@@ -207,7 +210,8 @@ _CLEAN_SQL = _EXPORT_CTES + f"""
   FROM cleaned0)
 """
 
-_MERGED_COLS = sorted(["user_id", "source", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "date",
+_MERGED_COLS = sorted(["user_id", "source", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                       "l_extendedprice", "l_discount", "l_returnflag", "date",
                        "workout_name", "duration", "exercise_name", "set_order", "weight", "reps", "distance",
                        "seconds", "notes", "workout_notes", "rpe", "exercise_normalized", "set_volume",
                        "effective_load"])
@@ -217,7 +221,8 @@ _MERGE_SQL = _CLEAN_SQL + f"""
 , lite AS (
   SELECT c.* EXCLUDE (rpe, set_order, set_volume, effective_load), k.rpe_mean AS rpe,
          CAST(row_number() OVER (PARTITION BY c.user_id, c.workout_name, c.date
-                                 ORDER BY c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_suppkey) AS DOUBLE)
+                                 ORDER BY c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_suppkey, c.l_quantity,
+                                          c.l_extendedprice, c.l_discount, c.l_returnflag) AS DOUBLE)
            AS set_order
   FROM cleaned c LEFT JOIN rpe_lookup k ON c.exercise_name = k.exercise_name
   WHERE c.source = 'lite')
@@ -249,8 +254,8 @@ GROUP BY exercise_name""")(
 
 register("j4_preprocess_merge", _MERGE_SQL + "SELECT * FROM merged")(_merged)
 
-register("w15_assign_set_order", _MERGE_SQL + """
-SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, set_order FROM merged WHERE source = 'lite'""")(
+register("w15_assign_set_order", _MERGE_SQL + f"""
+SELECT user_id, {_APP}, set_order FROM merged WHERE source = 'lite'""")(
     lambda spark, d: _merged(spark, d).where(F.col("source") == "lite")
     .select("user_id", *clean.APPEARANCE, "set_order"))
 
@@ -276,14 +281,14 @@ def _top_sets(spark, d):
     return m.where(F.col("set_order") == 1).dropna(subset=["weight", "reps", "exercise_name"])
 
 
-register("pf10_top_sets", _TOP_SQL + """
-SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, exercise_normalized, weight, reps
+register("pf10_top_sets", _TOP_SQL + f"""
+SELECT user_id, {_APP}, exercise_normalized, weight, reps
 FROM top_sets""")(
     lambda spark, d: _top_sets(spark, d).select("user_id", *clean.APPEARANCE, "exercise_normalized",
                                                 "weight", "reps"))
 
-register("pf9_cardio_rows", _MERGE_SQL + """
-SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, distance FROM merged WHERE distance IS NOT NULL""")(
+register("pf9_cardio_rows", _MERGE_SQL + f"""
+SELECT user_id, {_APP}, distance FROM merged WHERE distance IS NOT NULL""")(
     lambda spark, d: _merged(spark, d).where(F.col("distance").isNotNull())
     .select("user_id", *clean.APPEARANCE, "distance"))
 
@@ -291,7 +296,7 @@ _KW = " UNION ALL ".join(
     f"SELECT *, {S._q(c)} AS compound FROM export WHERE regexp_matches(\"Exercise Name\", {S._q(p)}, 'i')"
     for c, p in __import__("liftlake.schema", fromlist=["x"]).COMPOUND_KEYWORDS)
 register("pf12_keyword_compound", _EXPORT_CTES + f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "Exercise Name" AS exercise_name, compound
+SELECT {_APP}, "Exercise Name" AS exercise_name, compound
 FROM ({_KW})""")(
     lambda spark, d: lookup.keyword_classify(A.export_raw(spark, d), "Exercise Name")
     .select(*clean.APPEARANCE, F.col("Exercise Name").alias("exercise_name"), "compound"))
@@ -309,8 +314,8 @@ def _parented(spark, d):
     return lookup.with_parent(_top_sets(spark, d), spark)
 
 
-register("j1_j2_parent_and_scale", _PARENT_SQL + """
-SELECT user_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, exercise_normalized, parent_compound,
+register("j1_j2_parent_and_scale", _PARENT_SQL + f"""
+SELECT user_id, {_APP}, exercise_normalized, parent_compound,
        scale_factor FROM parented""")(
     lambda spark, d: _parented(spark, d).select("user_id", *clean.APPEARANCE, "exercise_normalized",
                                                 "parent_compound", "scale_factor"))
@@ -732,7 +737,6 @@ WHERE s.raw_pred IS NOT NULL""")(
 # ---------------------------------------------------------------------------
 from liftlake.operators import features as FE  # noqa: E402
 
-_APP = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 _M1_SQL = _MERGE_SQL + f"""
 , f0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, exercise_normalized ORDER BY date, {_APP}) AS pos
          FROM merged WHERE date IS NOT NULL)
@@ -817,7 +821,8 @@ from liftlake.operators import stats as ST  # noqa: E402
 _MERGED_TYPES = [("date", "timestamp_ntz"), ("distance", "double"), ("duration", "double"),
                  ("effective_load", "double"), ("exercise_name", "string"), ("exercise_normalized", "string"),
                  ("l_linenumber", "int"), ("l_orderkey", "bigint"), ("l_partkey", "bigint"),
-                 ("l_suppkey", "bigint"), ("notes", "string"), ("reps", "double"), ("rpe", "double"),
+                 ("l_suppkey", "bigint"), ("l_quantity", "double"), ("l_extendedprice", "double"),
+                 ("l_discount", "double"), ("l_returnflag", "string"), ("notes", "string"), ("reps", "double"), ("rpe", "double"),
                  ("seconds", "double"), ("set_order", "double"), ("set_volume", "double"), ("source", "string"),
                  ("user_id", "bigint"), ("weight", "double"), ("workout_name", "string"),
                  ("workout_notes", "string")]

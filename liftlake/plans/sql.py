@@ -65,7 +65,8 @@ SETS = """sets AS (
          CASE WHEN l.l_linenumber = 7 THEN NULL
               ELSE 5.0::DOUBLE + 50.0::DOUBLE * l.l_discount END AS rpe,
          CASE WHEN l.l_returnflag = 'R' THEN NULL ELSE 0.0::DOUBLE END AS distance,
-         l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
+         l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice, l.l_discount,
+         l.l_returnflag
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
   LEFT JOIN catalog c ON l.l_partkey % 72 = c.ex_idx)"""
 
@@ -121,5 +122,42 @@ EXPORT = """export AS (
          '0' AS "Seconds", CAST(NULL AS VARCHAR) AS "Notes", '' AS "Workout Notes",
          CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(rpe AS VARCHAR) END AS "RPE",
          user_id, CASE WHEN l_orderkey % 5 = 0 THEN 'lite' ELSE 'full' END AS source,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_returnflag
   FROM sets)"""
+
+
+def stable_round_sql(sql: str) -> str:
+    """Rewrite every ``round(x, d)`` as decimal half-away-from-zero rounding of
+    x snapped to 12 places -- the same rule as ``stable_round`` in Spark."""
+    out, i, n = [], 0, len(sql)
+    low = sql.lower()
+    while i < n:
+        j = low.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            break
+        if j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, args, start = 1, j + 6, [], j + 6
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                args.append(sql[start:k])
+                start = k + 1
+            k += 1
+        args.append(sql[start:k - 1])
+        out.append(sql[i:j])
+        if len(args) == 2 and args[1].strip().isdigit():
+            inner = stable_round_sql(args[0])
+            d = args[1].strip()
+            out.append(f"CAST(round(CAST(round({inner}, 12) AS DECIMAL(38, 12)), {d}) AS DOUBLE)")
+        else:
+            out.append("round(" + stable_round_sql(sql[j + 6:k - 1]) + ")")
+        i = k
+    return "".join(out)

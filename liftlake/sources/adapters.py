@@ -86,8 +86,8 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw set log: one row per lineitem, its order giving user, date and workout.
 
     Columns: user_id, date, workout_name, set_order, exercise_name, weight,
-    reps, rpe, distance, plus the lineitem key (l_orderkey, l_linenumber,
-    l_partkey, l_suppkey) as the unique tie-break.
+    reps, rpe, distance, plus the lineitem columns that together identify a
+    row (key, quantity, price, discount, flag) as the unique tie-break.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -113,10 +113,12 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.lit(5.0) + F.lit(50.0) * F.col("l_discount")).alias("rpe"),
         F.when(F.col("l_returnflag") == "R", F.lit(None).cast("double"))
          .otherwise(F.lit(0.0)).alias("distance"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag")
 
 
-SET_ORDER = ("date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+SET_ORDER = ("date", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+             "l_discount", "l_returnflag")
 
 
 def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,4 +150,5 @@ def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(lite, F.lit(None).cast("string")).otherwise(F.col("rpe").cast("string")).alias("RPE"),
         F.col("user_id"),
         F.when(lite, F.lit("lite")).otherwise(F.lit("full")).alias("source"),
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+        "l_returnflag")

@@ -112,8 +112,7 @@ def read_personalization(spark: SparkSession, pattern: str) -> DataFrame:
         F.coalesce(F.map_keys("baseline_offsets"), F.array().cast("array<string>")),
         F.coalesce(F.map_keys("calibration_meta"), F.array().cast("array<string>")),
         F.coalesce(F.map_keys("last_calibration_n"), F.array().cast("array<string>"))))
-    rows = docs.select(uid.alias("user_id"), "*").drop("user_id").withColumn("user_id", uid) \
-               .select("*", F.explode(keys).alias("compound"))
+    rows = docs.withColumn("user_id", uid).select("*", F.explode(keys).alias("compound"))
     trend_raw = F.col("trend_modifiers")[F.col("compound")]
     meta = F.col("calibration_meta")[F.col("compound")]
     return rows.select(
