@@ -106,9 +106,13 @@ def direction(delta: str | Column) -> Column:
 
 
 # -- PF4 / PF5 / PF12 ----------------------------------------------------------
+# The whitespace set stripped at both ends (``trim`` alone strips spaces only).
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def strip_ws(s: str | Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (``trim`` only strips spaces)."""
-    return F.regexp_replace(col(s), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (a character-set trim, no regex)."""
+    return F.btrim(col(s), F.lit(WHITESPACE))
 
 
 def normalize_exercise(name: str | Column, strict: bool = False) -> Column:
@@ -118,7 +122,7 @@ def normalize_exercise(name: str | Column, strict: bool = False) -> Column:
     """
     n = F.translate(F.lower(strip_ws(name)), " -", "__")
     n = strip_ws(F.split_part(n, F.lit("("), F.lit(1)))
-    return n if strict else F.regexp_replace(n, "_+$", "")
+    return n if strict else F.rtrim(n, F.lit("_"))
 
 
 def keyword_compounds(name: str | Column, keywords) -> Column:

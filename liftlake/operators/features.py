@@ -19,6 +19,7 @@ from liftlake.functions.scalar import reps_bin, rpe_bin, rpe_ordinal
 from liftlake.operators.scan import KeyedScan
 from liftlake.operators.sequence import rolling_mean, rolling_slope
 from liftlake.schema import CLIP_FEATURES
+from liftlake.session import materialize
 
 EXACT_DISTINCT_LIMIT = 1_000_000
 APPROX_ACCURACY = 100_000
@@ -106,50 +107,83 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
                  hot_rows: int | None = None) -> DataFrame:
     """M1: W12, W13, W9, W10, W11, A5, SC3-SC5, W14, PF14 in one plan.
 
-    Rows without a date are dropped first (every feature is ordered by it).
-    ``median_rpe`` / ``slope_fill`` are fitted on the input unless given.
+    Two keyed scans, one shuffle each: by user (days since the first and the
+    previous workout) and by (user, exercise) (session number as a running
+    count of date changes, rolling mean and slope, and the top-set flag,
+    whose window is satisfied by the same partitioning). The two fitted
+    scalars (mean slope, median RPE) come from one aggregate over the
+    checkpointed scan output. Rows without a date are dropped first.
     """
-    df = df.where(F.col(date).isNotNull())
+    df = materialize(df.where(F.col(date).isNotNull()))
     order = (date, *tiebreak)
-    # Days since the user's first workout (aggregate + join, skew safe)
-    first = df.groupBy(user).agg(F.min(date).alias("_first"))
-    df = df.join(first, user, "left").withColumn(
-        "days_since_first_workout", F.expr(f"timestampdiff(DAY, _first, {date})").cast("int")).drop("_first")
-    # Days since the user's previous row
-    scan = KeyedScan.build(df, [user], order, hot_rows)
-    # no (user, exercise) key can be hot when no user is
-    cold = not scan.hot
-    d2 = scan.with_lags(scan.df, date, 1, "_pd")
-    df = scan.finish(d2.withColumn("days_since_last_workout", F.coalesce(
-        F.expr(f"timestampdiff(DAY, _pd1, {date})"), F.lit(0)).cast("int")).drop("_pd1"))
-    # Dense rank of the date per (user, exercise), via the distinct dates
-    days = df.select(user, exercise, date).distinct()
-    days = days.withColumn("session_number", F.row_number().over(
-        Window.partitionBy(user, exercise).orderBy(date)).cast("int"))
-    df = df.join(days, [user, exercise, date], "left")
-    # W10 / W11 over (user, exercise) in date order
-    df = rolling_mean(df, "effective_load", n_rolling, [user, exercise], order,
-                      f"rolling_avg_load_last_{n_rolling}_sessions", hot_rows, assume_cold=cold)
-    df = rolling_slope(df, "effective_load", n_trend, [user, exercise], order, "rolling_trend_load",
-                       fill_mean=False, hot_rows=hot_rows, assume_cold=cold)
+    d = F.col(date)
+    # by user: W12 (first date so far = the user's first date) and W13
+    su = KeyedScan.build(df, [user], order, hot_rows)
+    cold = not su.hot  # no (user, exercise) key can be hot when no user is
+    out = su.with_lags(su.df, date, 1, "_pd")
+    out = su.with_running(out, {"_first": ("first", d)})
+    out = su.finish(out.withColumns({
+        "days_since_first_workout": F.expr(f"timestampdiff(DAY, _first, {date})").cast("int"),
+        "days_since_last_workout": F.coalesce(F.expr(f"timestampdiff(DAY, _pd1, {date})"), F.lit(0)).cast("int"),
+    }).drop("_first", "_pd1"))
+    # by (user, exercise): W9, W10, W11, W14
+    se = KeyedScan.build(out, [user, exercise], order, hot_rows, assume_cold=cold)
+    out = se.with_seq(se.df, "_sx")
+    out = se.with_lags(out, date, 1, "_ed")
+    out = se.with_running(out, {"session_number": ("sum", F.when(
+        F.col("_ed1").isNull() | (F.col("_ed1") != d), F.lit(1)).otherwise(F.lit(0)))})
+    out = out.withColumn("session_number", F.col("session_number").cast("int")).drop("_ed1")
+    rm = f"rolling_avg_load_last_{n_rolling}_sessions"
+    if se.hot:
+        depth = max(n_rolling, n_trend) - 1
+        out = se.with_lags(out, "effective_load", depth, "_el")
+        lags = [F.col(f"_el{i}") for i in range(1, depth + 1)]
+        vals = [F.col("effective_load")] + lags[:n_rolling - 1]
+        total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
+        cnt = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
+        out = out.withColumn(rm, F.when(cnt > 0, total / cnt))
+        ys = list(reversed(lags[:n_trend - 1])) + [F.col("effective_load")]
+        xs = [F.col("_sx") - (n_trend - 1 - j) for j in range(n_trend)]
+        out = out.withColumn("rolling_trend_load", _slope_of(xs, ys)).drop(*[f"_el{i}" for i in range(1, depth + 1)])
+    else:
+        w = se.window()
+        out = out.withColumns({
+            rm: F.avg("effective_load").over(w.rowsBetween(-(n_rolling - 1), 0)),
+            "rolling_trend_load": F.regr_slope(F.col("effective_load"), F.col("_sx").cast("double"))
+                                   .over(w.rowsBetween(-(n_trend - 1), 0)),
+        })
+    top = Window.partitionBy(*se.parts, "days_since_first_workout", "workout_name").orderBy(
+        F.col("set_volume").desc(), *[F.col(c) for c in tiebreak])
+    out = out.withColumn("is_top_set", F.row_number().over(top) == 1)
+    out = materialize(se.finish(out.drop("_sx")))
     if slope_fill is None or median_rpe is None:
         # both fitted scalars in one aggregate pass
-        fit = df.agg(F.avg("rolling_trend_load").alias("s"), F.approx_count_distinct("rpe").alias("d"),
-                     F.percentile_approx("rpe", 0.5, APPROX_ACCURACY).alias("ma"),
-                     F.percentile(F.when(F.lit(True), F.col("rpe")), 0.5).alias("me")).first()
+        fit = out.agg(F.avg("rolling_trend_load").alias("s"), F.approx_count_distinct("rpe").alias("d"),
+                      F.percentile_approx("rpe", 0.5, APPROX_ACCURACY).alias("ma"),
+                      F.percentile(F.col("rpe"), 0.5).alias("me")).first()
         slope_fill = fit["s"] if slope_fill is None else slope_fill
         if median_rpe is None:
             median_rpe = fit["me"] if (fit["d"] or 0) <= EXACT_DISTINCT_LIMIT else fit["ma"]
-    df = df.withColumn("rolling_trend_load",
-                       F.coalesce(F.col("rolling_trend_load"), F.lit(slope_fill).cast("double")))
-    # A5 + SC3 + SC4
-    df = impute_median_rpe(df, median_rpe)
-    df = df.withColumn("rpe_binned", rpe_bin("rpe")).withColumn("rpe_ordinal", rpe_ordinal("rpe_binned"))
-    # First max set volume per (user, day, workout, exercise)
-    df = top_set_flag(df, [user, "days_since_first_workout", "workout_name", exercise], list(tiebreak))
-    # SC5 + PF14
-    return df.withColumns({"reps_binned": reps_bin("reps"),
-                           "date_epoch": F.unix_seconds(F.col(date).cast("timestamp"))})
+    out = out.withColumn("rolling_trend_load",
+                         F.coalesce(F.col("rolling_trend_load"), F.lit(slope_fill).cast("double")))
+    # A5 + SC3 + SC4 + SC5 + PF14
+    out = impute_median_rpe(out, median_rpe)
+    return out.withColumns({"rpe_binned": rpe_bin("rpe")}).withColumns({
+        "rpe_ordinal": rpe_ordinal("rpe_binned"), "reps_binned": reps_bin("reps"),
+        "date_epoch": F.unix_seconds(d.cast("timestamp"))})
+
+
+def _slope_of(xs, ys):
+    """Least-squares slope over the non-null (x, y) pairs; NULL below 2 pairs."""
+    pairs = F.filter(F.array(*[F.struct(x.cast("double").alias("x"), y.alias("y")) for x, y in zip(xs, ys)]),
+                     lambda p: p["y"].isNotNull())
+    k = F.size(pairs).cast("double")
+    sx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"])
+    sy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["y"])
+    sxx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
+    sxy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["y"])
+    den = k * sxx - sx * sx
+    return F.when((k >= 2) & (den != 0), (k * sxy - sx * sy) / den)
 
 
 def top_set_flag(df: DataFrame, group: Sequence[str], appearance: Sequence[str],
@@ -183,7 +217,7 @@ def prepare(df: DataFrame, target: str = "next_load_delta", by: Sequence[str] =
     the rows with a target. Raises when the target is absent."""
     if target not in df.columns:
         raise ValueError(f"Target column '{target}' not found in data.")
-    out = clip_columns(df, CLIP_FEATURES, by=by, bounds=bounds)
+    out = clip_columns(materialize(df), CLIP_FEATURES, by=by, bounds=bounds)
     out = drop_constant_rpe(out)
     out = out.where(F.col(target).isNotNull())
     return out.drop(*[c for c in drop if c in out.columns])

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators.quality import regression_metrics
 from liftlake.operators.scan import KeyedScan
+from liftlake.session import materialize
 from liftlake.schema import COMPOUNDS, KEY, ORDER, ForestParams  # noqa: F401
 
 NUMERIC_FEATURES = ("weight", "reps", "rpe", "effective_load", "set_volume", "rolling_avg_load_last_3_sessions",
@@ -151,7 +152,7 @@ def train_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, ki
                    fraction: float = 0.8) -> tuple[DataFrame, dict[str, CompoundModel]]:
     """M14 (+M7): per compound, fit on each key's first 80 % and report
     MAE / MSE / RMSE / R^2 on train and validation rows."""
-    split = with_split(prepared, fraction).persist()
+    split = materialize(with_split(prepared, fraction), force=True)
     reports, models = [], {}
     for comp in compounds:
         part = split.where(F.col("compound") == comp)
@@ -188,7 +189,7 @@ def cross_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, k:
                    max_mean_drop: float = 0.0, max_std: float = 0.5) -> DataFrame:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
     (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile)."""
-    folded = contiguous_folds(prepared, k).persist()
+    folded = materialize(contiguous_folds(prepared, k), force=True)
     rows = None
     for comp in compounds:
         part = folded.where(F.col("compound") == comp)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators.scan import KeyedScan
 from liftlake.schema import KEY, ORDER
+from liftlake.session import materialize
 
 DELOAD_DROP = 0.15
 
@@ -146,6 +147,7 @@ def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order:
     out = scan.finish(out.drop("_sx"))
     if fill_mean:
         # a fitted scalar: one small aggregate, applied as a literal
+        out = materialize(out)
         fill = out.agg(F.avg(name)).first()[0]
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(fill).cast("double")))
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import stable_round
+from liftlake.session import materialize
 
 
 def dataset_stats(df: DataFrame, session: Sequence[str] = ("user_id", "workout_name", "date")) -> DataFrame:
@@ -53,6 +54,7 @@ def cardinality(df: DataFrame, small: int = 20) -> DataFrame:
     """Distinct count per column; the sorted values (as strings) for
     columns with at most ``small`` distinct values. Exact distinct counts in
     one pass; values collected only for the small columns (bounded)."""
+    df = materialize(df)
     cols = df.dtypes
     counts = df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}") for i, (c, _) in enumerate(cols)]).first()
     small_cols = [(i, c) for i, (c, _) in enumerate(cols) if counts[f"d{i}"] <= small]
@@ -85,6 +87,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
     from liftlake.operators.features import fit_quantiles
     probs = [i / bins for i in range(1, bins)]
     cols = features + [target]
+    df = materialize(df.select(*cols))
     cuts = fit_quantiles(df, cols, probs)[()]
 
     def bin_of(c):

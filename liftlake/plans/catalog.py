@@ -186,7 +186,7 @@ _APP = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedpr
 
 
 def _strip(c):
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return S.strip_sql(c)
 
 
 def _num(c):

@@ -71,10 +71,16 @@ SETS = """sets AS (
   LEFT JOIN catalog c ON l.l_partkey % 72 = c.ex_idx)"""
 
 # Normalised exercise name (PF4 + PF5) of a SQL expression.
+WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def strip_sql(e: str) -> str:
+    return f"trim({e}, {WS})"
+
+
 def norm_sql(e: str) -> str:
-    stripped = f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
-    cut = f"split_part(translate(lower({stripped}), ' -', '__'), '(', 1)"
-    return f"regexp_replace(regexp_replace({cut}, '^\\s+|\\s+$', '', 'g'), '_+$', '')"
+    cut = f"split_part(translate(lower({strip_sql(e)}), ' -', '__'), '(', 1)"
+    return f"rtrim({strip_sql(cut)}, '_')"
 
 
 def plate_sql(x: str, plate: float = 2.5) -> str:

@@ -22,6 +22,7 @@ CORE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -59,3 +60,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+_COSTLY = ("Join", "Window", "Aggregate", "Union", "Generate", "Expand")
+
+
+def is_costly(df) -> bool:
+    """True when re-running ``df`` means shuffles, joins or windows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(tok in plan for tok in _COSTLY)
+
+
+def materialize(df, force: bool = False):
+    """Cut the lineage of a costly intermediate that several passes read.
+
+    A reliable, eager ``checkpoint()`` into the shared checkpoint folder: the
+    later passes read files instead of recomputing joins and windows, and a
+    lost executor costs a re-read, not a recompute. Plain scans are returned
+    as they are (re-reading them is as cheap as reading a checkpoint)."""
+    if not force and not is_costly(df):
+        return df
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
