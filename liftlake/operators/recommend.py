@@ -135,3 +135,10 @@ def log_newest_sessions(sessions: DataFrame, rule: RuleParams = RuleParams(),
         F.when(has_prev, F.lit("rule_based")).otherwise(F.lit("insufficient_data")).alias("prediction_source"),
         F.when(has_prev, s["suggested_weight"]).alias("recommended_weight"),
         F.lit("pending").alias("prediction_status"))
+
+
+def append_sessions(history: DataFrame, new: DataFrame) -> DataFrame:
+    """SO2: append newly logged sessions to the history (bag union by name,
+    columns of the history)."""
+    cols = [c for c in history.columns if c in new.columns]
+    return history.select(*cols).unionByName(new.select(*cols))

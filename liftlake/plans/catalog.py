@@ -969,3 +969,65 @@ def _st1(spark, d):
 
 register("st1_stream_session_ingest", _PERIOD_SQL + """
 SELECT user_id, compound, event_id, weight, load_delta FROM periodized""")(_st1)
+
+
+# ---------------------------------------------------------------------------
+# Remaining projections / top-k / set operations (PF15, PF20, PF22, SL2, SO2)
+# ---------------------------------------------------------------------------
+from liftlake.schema import DEVIATION_REASONS  # noqa: E402
+
+register("pf20_validate_sessions", _AUDIT_CTES + f"""
+SELECT user_id, compound, event_id,
+       CASE WHEN weight IS NULL OR weight <= 0 THEN 'weight_not_positive'
+            WHEN reps IS NULL OR reps <= 0 OR CAST(reps AS DOUBLE) <> floor(CAST(reps AS DOUBLE))
+              THEN 'reps_not_positive_integer'
+            WHEN rpe IS NULL OR rpe < 1 OR rpe > 10 THEN 'rpe_out_of_range'
+            WHEN deviation_reason NOT IN ({", ".join(S._q(r) for r in DEVIATION_REASONS)}) THEN 'unknown_reason'
+       END AS reject_reason
+FROM audit""")(
+    lambda spark, d: clean.validate_sessions(A.session_audit(spark, d), DEVIATION_REASONS)
+    .select(*KEY, "event_id", "reject_reason"))
+
+register("pf15_synthetic_date_spine", S.with_ctes(S.SESSIONS) + f"""
+SELECT user_id, compound, event_id,
+       DATE '2024-01-01' + CAST(2 * (row_number() OVER ({_W}) - 1) AS INTEGER) AS date
+FROM sessions""")(
+    lambda spark, d: clean.synthetic_dates(A.sessions(spark, d), KEY, ORDER).select(*KEY, "event_id", "date"))
+
+register("pf22_scoring_frame", S.with_ctes(S.SESSIONS) + """
+SELECT user_id, compound, event_id, weight, reps, COALESCE(rpe, 8.0::DOUBLE) AS rpe FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rn
+  FROM sessions) WHERE rn = 1""")(
+    lambda spark, d: clean.scoring_frame(
+        sequence.last_per_key(A.sessions(spark, d), cols=["event_id", "weight", "reps", "rpe"]))
+    .select(*KEY, "event_id", "weight", "reps", "rpe"))
+
+register("sl2_newest_predictions", S.with_ctes(S.SESSIONS) + _SCORED + f"""
+, seqd AS (SELECT *, row_number() OVER ({_W}) AS seq FROM scored)
+, preds AS (
+  SELECT s.event_id AS id, s.user_id, s.compound, CAST(s.seq - 1 AS INTEGER) AS session_index,
+         round(s.raw_pred * COALESCE(c.a, 1.0::DOUBLE) + COALESCE(c.b, 0.0::DOUBLE), 6) AS predicted_adjusted,
+         s.ts AS created_at
+  FROM seqd s LEFT JOIN calib c ON s.user_id = c.user_id AND s.compound = c.compound
+  WHERE s.raw_pred IS NOT NULL)
+SELECT user_id, compound, id, session_index, predicted_adjusted, recent_rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY user_id, compound ORDER BY created_at DESC, id DESC) AS INTEGER)
+           AS recent_rank FROM preds) WHERE recent_rank <= 5""")(
+    lambda spark, d: sequence.last_n(
+        store.prediction_rows(C.apply_affine(_scored(spark, d), _calib(spark, d)))
+        .where(F.col("predicted_raw").isNotNull()), 5, order=("created_at", "id"))
+    .select(*KEY, "id", "session_index", _r("predicted_adjusted").alias("predicted_adjusted"), "recent_rank"))
+
+register("so2_append_logged_sessions", S.with_ctes(S.SESSIONS) + """
+, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr FROM sessions)
+SELECT user_id, compound, event_id, weight, reps, rpe FROM ranked WHERE rr > 1
+UNION ALL
+SELECT user_id, compound, event_id, weight, reps, rpe FROM ranked WHERE rr = 1""")(
+    lambda spark, d: _append_logged(spark, d))
+
+
+def _append_logged(spark, d):
+    new = recommend.log_newest_sessions(A.sessions(spark, d))
+    history = A.sessions(spark, d).join(new.select("event_id"), "event_id", "left_anti")
+    return recommend.append_sessions(history, new).select(*KEY, "event_id", "weight", "reps", "rpe")
