@@ -78,8 +78,11 @@ def build_pipeline(numeric: Sequence[str], categorical: Sequence[str], label: st
 
 
 def _prep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    cols = {c: F.col(c).cast("double") for c in numeric}
-    cols.update({f"{c}__str": F.col(c).cast("string") for c in categorical})
+    """Feature columns as the pipeline expects them; a training feature the
+    frame lacks is added as 0 (PF19: align validation columns to training)."""
+    cols = {c: F.col(c).cast("double") if c in df.columns else F.lit(0.0) for c in numeric}
+    cols.update({f"{c}__str": F.col(c).cast("string") if c in df.columns else F.lit("0")
+                 for c in categorical})
     return df.withColumns(cols)
 
 
