@@ -77,10 +77,13 @@ def impute_rpe(df: DataFrame, lookup: DataFrame, by: str = "exercise_name") -> D
 
 
 def assign_set_order(df: DataFrame, group: Sequence[str] = ("user_id", "workout_name", "date"),
-                     appearance: Sequence[str] = APPEARANCE) -> DataFrame:
-    """Set order = position of appearance inside (user, workout, date)."""
-    w = Window.partitionBy(*group).orderBy(*appearance)
-    return df.withColumn("set_order", F.row_number().over(w).cast("double"))
+                     appearance: Sequence[str] = APPEARANCE, hot_rows: int | None = None) -> DataFrame:
+    """Set order = position of appearance inside (user, workout, date),
+    as a skew-safe keyed scan (a huge group is split by appearance range)."""
+    from liftlake.operators.scan import KeyedScan
+    scan = KeyedScan.build(df, group, appearance, hot_rows)
+    out = scan.with_seq(scan.df, "set_order")
+    return scan.finish(out.withColumn("set_order", F.col("set_order").cast("double")))
 
 
 def union_common(a: DataFrame, b: DataFrame) -> DataFrame:

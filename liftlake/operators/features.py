@@ -170,7 +170,14 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
     out = impute_median_rpe(out, median_rpe)
     return out.withColumns({"rpe_binned": rpe_bin("rpe")}).withColumns({
         "rpe_ordinal": rpe_ordinal("rpe_binned"), "reps_binned": reps_bin("reps"),
-        "date_epoch": F.unix_seconds(d.cast("timestamp"))})
+        "date_epoch": _epoch_seconds(df, date)})
+
+
+def _epoch_seconds(df: DataFrame, c: str):
+    """PF14: seconds since 1970-01-01 of the wall-clock value (zone-less)."""
+    if dict(df.dtypes)[c] == "timestamp_ntz":
+        return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c))
+    return F.unix_seconds(F.col(c))
 
 
 def _slope_of(xs, ys):

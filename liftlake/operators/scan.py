@@ -45,8 +45,12 @@ def _conf_int(df: DataFrame, name: str, default: int) -> int:
 
 
 def _time_number(c: Column, dtype: str) -> Column:
+    """A monotone number for the order's time column, independent of the
+    session time zone (zone-less timestamps are not shifted through it)."""
+    if dtype == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
     if dtype.startswith("timestamp"):
-        return F.unix_micros(c.cast("timestamp"))
+        return F.unix_micros(c)
     if dtype == "date":
         return F.unix_date(c).cast("long")
     return c.cast("long")

@@ -176,11 +176,21 @@ def quality_refresh(stream: DataFrame, root: str, checkpoint: str):
             "event_id", F.col("weight").alias("actual_weight"),
             (F.col("weight") - F.col("recommended_weight")).alias("accuracy_delta"))
         closures.write.mode("overwrite").parquet(_batch_dir(root, "closures", epoch))
-        new = log_newest_sessions(batch).select(
+        # the previous session of a key may be in an earlier batch: keep the
+        # newest session per key as a small snapshot and log against it
+        last_cols = ["user_id", "compound", "ts", "event_id", "weight", "reps", "rpe"]
+        prior = read_snapshot(spark, os.path.join(root, "last_session"), before=epoch)
+        window_rows = batch.select(*last_cols)
+        if prior is not None:
+            window_rows = window_rows.unionByName(prior.select(*last_cols).join(keys, list(KEY), "left_semi"))
+        new = log_newest_sessions(window_rows).select(
             *KEY, "ts", "event_id", "weight", "reps", "rpe", "deviation_reason", "prediction_source",
             "recommended_weight", F.lit(None).cast("double").alias("actual_weight"),
             F.lit(None).cast("double").alias("accuracy_delta"), "prediction_status")
         new.write.mode("overwrite").parquet(_batch_dir(root, "audit", epoch))
+        newest_rows = last_per_key(batch, cols=last_cols[2:]).select(*last_cols)
+        upsert(prior.select(*last_cols) if prior is not None else None, newest_rows).write.mode("overwrite") \
+            .parquet(os.path.join(root, "last_session", f"v={epoch}"))
         # the audit view of the touched keys after this batch
         rows = _read_upto(spark, root, "audit", epoch, T.StructType(list(AUDIT_SCHEMA.fields)))
         closed = _read_upto(spark, root, "closures", epoch, closure_schema)

@@ -63,3 +63,12 @@ def test_last_per_key_equals_max_seq(spark):
 def test_wholestage_and_pushdown(spark):
     plan = sessions(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(event_type" in plan or "PushedFilters" in plan
+
+
+def test_set_order_hot_split_matches(spark):
+    from liftlake.operators.clean import APPEARANCE, assign_set_order
+    from liftlake.sources.adapters import sets
+    s = sets(spark, SF_SMALL)
+    a = {tuple(r[:-1]): r[-1] for r in assign_set_order(s).select(*APPEARANCE, "set_order").collect()}
+    b = {tuple(r[:-1]): r[-1] for r in assign_set_order(s, hot_rows=2).select(*APPEARANCE, "set_order").collect()}
+    assert a == b

@@ -75,6 +75,9 @@ def test_quality_refresh_runs_incrementally(spark, scratch):
     assert audit.count() > 0 and closures.count() > 0
     # every closure refers to a pending audit from an earlier batch
     assert closures.join(audit, "event_id", "left_anti").count() == 0
+    # only a key's very first logged session can lack a previous one
+    per_key = audit.where(F.col("prediction_source") == "insufficient_data").groupBy("user_id", "compound").count()
+    assert per_key.where(F.col("count") > 1).count() == 0
     from liftlake.sources.store import read_snapshot
     quality = read_snapshot(spark, os.path.join(root, "quality"))
     keys = sessions(spark, SF_SMALL).select("user_id").distinct().count()
