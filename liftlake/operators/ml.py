@@ -3,8 +3,8 @@
 One ``Pipeline`` per compound: mean imputation + standard scaling of the
 numeric features (M4), index + one-hot of categoricals with unknowns mapped
 to the all-zero vector (M5), and a random forest (M6). Every fit is a
-distributed job over that compound's rows; the four compounds are fitted in
-turn (M7). Spark's forest bins continuous features and has no minimum
+distributed job over that compound's rows; the compounds (and CV folds) are
+fitted as concurrent Spark jobs from a few driver threads (M7). Spark's forest bins continuous features and has no minimum
 split size, so its trees are not the reference's trees; parameters that do
 exist are kept.
 """
@@ -145,6 +145,16 @@ class CompoundModel:
                    target=meta["target_column"], model=model, created_at=meta["created_at"])
 
 
+def _parallel(fn, items, workers: int | None = None):
+    """Run independent fits as concurrent Spark jobs (driver threads); each
+    fit is itself distributed. Results come back in input order."""
+    from concurrent.futures import ThreadPoolExecutor
+    items = list(items)
+    workers = workers or min(4, len(items)) or 1
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(fn, items))
+
+
 def with_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
     """W18 per key, used for train / validation."""
     from liftlake.operators.sequence import chronological_split
@@ -156,14 +166,18 @@ def train_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, ki
     """M14 (+M7): per compound, fit on each key's first 80 % and report
     MAE / MSE / RMSE / R^2 on train and validation rows."""
     split = materialize(with_split(prepared, fraction), force=True)
-    reports, models = [], {}
-    for comp in compounds:
+
+    def fit_one(comp):
         part = split.where(F.col("compound") == comp)
-        train = part.where(F.col("split") == "train")
-        model = CompoundModel(name=comp, kind=kind, overrides=COMPOUND_OVERRIDES.get(comp, {})).fit(train)
+        model = CompoundModel(name=comp, kind=kind, overrides=COMPOUND_OVERRIDES.get(comp, {})).fit(
+            part.where(F.col("split") == "train"))
+        return comp, model, model.evaluate(part, ["split"]).withColumn("compound", F.lit(comp)) \
+            .withColumn("model", F.lit(kind))
+
+    reports, models = [], {}
+    for comp, model, rep in _parallel(fit_one, compounds):
         models[comp] = model
-        reports.append(model.evaluate(part, ["split"]).withColumn("compound", F.lit(comp))
-                       .withColumn("model", F.lit(kind)))
+        reports.append(rep)
     out = reports[0]
     for r in reports[1:]:
         out = out.unionByName(r)
@@ -193,15 +207,20 @@ def cross_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, k:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
     (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile)."""
     folded = materialize(contiguous_folds(prepared, k), force=True)
-    rows = None
-    for comp in compounds:
+
+    def fit_fold(task):
+        comp, f = task
         part = folded.where(F.col("compound") == comp)
-        for f in range(k):
-            model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
-            m = model.evaluate(part.where(F.col("fold") == f)).select(
-                F.lit(comp).alias("compound"), F.lit(f).alias("fold"), "r2")
-            rows = m if rows is None else rows.unionByName(m)
-    return gate_cv(rows, max_mean_drop, max_std)
+        model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
+        # evaluate now: the fold's R^2 is a one-row result
+        r = model.evaluate(part.where(F.col("fold") == f)).first()
+        return comp, f, r["r2"] if r is not None else None
+
+    rows = _parallel(fit_fold, [(c, f) for c in compounds for f in range(k)])
+    spark = prepared.sparkSession
+    from liftlake.functions.scalar import local_table
+    folds = local_table(spark, rows, ["compound", "fold", "r2"], ["string", "int", "double"])
+    return gate_cv(folds, max_mean_drop, max_std)
 
 
 def gate_cv(folds: DataFrame, max_mean_drop: float = 0.0, max_std: float = 0.5) -> DataFrame:
