@@ -13,14 +13,18 @@ from liftlake.session import materialize
 
 def dataset_stats(df: DataFrame, session: Sequence[str] = ("user_id", "workout_name", "date")) -> DataFrame:
     """A2: rows, workouts, exercises, distinct dates, mean sets per session."""
+    none_l, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
     per_session = (df.where(F.col("workout_name").isNotNull() & F.col("date").isNotNull())
                    .groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
-                   .agg(stable_round(F.avg("_n"), 6).alias("avg_sets_per_session")))
+                   .agg(none_l.alias("rows"), none_l.alias("workouts"), none_l.alias("exercises"),
+                        none_l.alias("dates"), stable_round(F.avg("_n"), 6).alias("avg_sets_per_session")))
     totals = df.agg(F.count(F.lit(1)).alias("rows"),
                     F.countDistinct("workout_name").alias("workouts"),
                     F.countDistinct("exercise_name").alias("exercises"),
-                    F.countDistinct(F.to_date("date")).alias("dates"))
-    return totals.crossJoin(per_session)
+                    F.countDistinct(F.to_date("date")).alias("dates"),
+                    none_d.alias("avg_sets_per_session"))
+    # two one-row aggregates folded into one row (no join)
+    return totals.unionByName(per_session).agg(*[F.max(c).alias(c) for c in totals.columns])
 
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
