@@ -53,7 +53,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     path = tempfile.mkdtemp(prefix="liftlake-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
+    try:  # record it where later readers look; some sessions refuse core keys
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:
+        pass
     spark.sparkContext.setCheckpointDir(path)
     return path
 
