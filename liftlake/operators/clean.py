@@ -81,6 +81,7 @@ def assign_set_order(df: DataFrame, group: Sequence[str] = ("user_id", "workout_
     """Set order = position of appearance inside (user, workout, date),
     as a skew-safe keyed scan (a huge group is split by appearance range)."""
     from liftlake.operators.scan import KeyedScan
+    # the hot-key pass needs only the key and order columns (pruned scan)
     scan = KeyedScan.build(df, group, appearance, hot_rows)
     out = scan.with_seq(scan.df, "set_order")
     return scan.finish(out.withColumn("set_order", F.col("set_order").cast("double")))
@@ -102,9 +103,8 @@ def preprocess(export: DataFrame, source_col: str = "source") -> DataFrame:
     """
     full = clean_export(export.where(F.col(source_col) == "full"))
     lite_raw = export.where(F.col(source_col) == "lite").drop("RPE", "Set Order")
-    lite = clean_export(lite_raw).drop("set_volume", "effective_load")
-    lite = impute_rpe(lite, rpe_lookup(full))
-    lite = add_set_features(assign_set_order(lite))
+    lite = assign_set_order(clean_export(lite_raw).drop("set_volume", "effective_load"))
+    lite = add_set_features(impute_rpe(lite, rpe_lookup(full)))
     return union_common(full, lite)
 
 
