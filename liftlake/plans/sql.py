@@ -134,7 +134,7 @@ EXPORT = """export AS (
 
 def stable_round_sql(sql: str) -> str:
     """Rewrite every ``round(x, d)`` as decimal half-away-from-zero rounding of
-    x snapped to 12 places -- the same rule as ``stable_round`` in Spark."""
+    x snapped to 9 places -- the same rule as ``stable_round`` in Spark."""
     out, i, n = [], 0, len(sql)
     low = sql.lower()
     while i < n:
@@ -162,7 +162,7 @@ def stable_round_sql(sql: str) -> str:
         if len(args) == 2 and args[1].strip().isdigit():
             inner = stable_round_sql(args[0])
             d = args[1].strip()
-            out.append(f"CAST(round(CAST(round({inner}, 12) AS DECIMAL(38, 12)), {d}) AS DOUBLE)")
+            out.append(f"CAST(round(CAST(round({inner}, 9) AS DECIMAL(38, 9)), {d}) AS DOUBLE)")
         else:
             out.append("round(" + stable_round_sql(sql[j + 6:k - 1]) + ")")
         i = k
