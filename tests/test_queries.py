@@ -18,7 +18,7 @@ def con():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_oracle(spark, con, name):
-    info = compare(spark, con, name, entry.queries()[name], SQL[name], SF_SMALL)
+    info = compare(spark, con, name, entry.queries()[name], SQL[name], SF_SMALL, strict=True)
     assert info["status"] == "OK", info
 
 
