@@ -77,7 +77,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date:
                    F.octet_length("html").cast("long").alias("payload_bytes"))
      .groupBy(*same).agg(F.first("html").alias("payload")).write.parquet(f"{path}/payloads"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    first = rows.groupBy(*same).agg(F.min(order).alias("first")).withColumnsRenamed({c: f"_{c}" for c in same})
+    # Stored, so that the join below exchanges both sides itself and a hot payload's rows can be split.
+    first = stored(rows.groupBy(*same).agg(F.min(order).alias("first")).withColumnsRenamed({c: f"_{c}" for c in same}), "warc-first")
     match = (rows["digest"] == first["_digest"]) & (rows["payload_digest"] == first["_payload_digest"]) & (rows["payload_bytes"] == first["_payload_bytes"])
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & (F.col("row") != F.col("first.row"))
     records = (rows.join(first, match)
