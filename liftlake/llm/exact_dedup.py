@@ -94,7 +94,8 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     classes = (survivors.groupBy("length", "digest")
                .agg(F.max(F.struct(F.col("doc_id"), F.col("row"))).alias("keep"), F.count("*").alias("group_size"))
                .filter("group_size > 1"))
-    c = classes.select(F.col("length").alias("_length"), F.col("digest").alias("_digest"), "keep", "group_size")
+    # Stored, so that the join exchanges both sides itself and a hot group's rows can be split.
+    c = stored(classes.select(F.col("length").alias("_length"), F.col("digest").alias("_digest"), "keep", "group_size"), "classes")
     joined = rows.join(c, (rows["digest"] == c["_digest"]) & (rows["length"] == c["_length"]) & rows["survivor"], "left")
     return joined.select(
         "doc_id", "text_key", "digest",
