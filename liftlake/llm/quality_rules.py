@@ -25,7 +25,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.llm.common import let, words_of
+from liftlake.llm.common import let, stored, words_of
 
 # Fixed values of the base rule's contract.
 SYMBOLS = "#*$%&|<>"
@@ -211,8 +211,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> list[dict]:
     by_doc = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("q"))
     order = F.xxhash64(F.lit("quality-rules"), "doc_id")
     chosen = by_doc.orderBy(order, "doc_id").limit(SAMPLE_ROWS).withColumnsRenamed({"doc_id": "_id"})
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")))
-    rows = rows.filter(~base_failed()).select(
+    # Stored: else the filter on statistics moves below the join and every document is measured.
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")), "labelled-sample")
+    rows = with_statistics(sample).filter(~base_failed()).select(
         *[F.col(f).cast("double") for f in FEATURES], (F.col("q") <= 0.5).cast("int").alias("bad"),
         F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(3)).cast("int").alias("part"), order.alias("o"), "doc_id")
     return sorted((r.asDict() for r in rows.collect()), key=lambda r: (r["o"], r["doc_id"]))
