@@ -24,6 +24,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 # a run of megabyte texts still fits a worker.
 BATCH_ROWS = 512
 
+# Rows numbered by one window group: 2 ** CELL_BITS.
+CELL_BITS = 14
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -106,11 +109,12 @@ def whole_rows(docs: DataFrame, *more) -> DataFrame:
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """Add ``name``: gapless positions from 0 among the rows of each ``key`` (not null).
 
-    The rows are stored with the number of the task that wrote them. A window
-    then numbers the rows of each (key, task), and a window over one row per
-    (key, task) gives the offsets; a key holding every row is still numbered
-    by all tasks."""
-    df = stored(df.withColumn("_cell", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "unnumbered")
+    The rows are stored with a row number, whose high bits name a cell of at
+    most 2 ** CELL_BITS rows that one task wrote. A window then numbers the rows
+    of each (key, cell), and a window over one row per (key, cell) gives the
+    offsets; a key holding every row is still numbered by all tasks."""
+    df = stored(df.withColumn("_row", F.monotonically_increasing_id()), "unnumbered")
+    df = df.withColumn("_cell", F.shiftright("_row", CELL_BITS))
     before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = df.groupBy(key, "_cell").count()
     offsets = counts.select(key, "_cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
