@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import exact_dedup, mixing, packing, quality_rules, sharding, simhash, warc
+from liftlake.llm import exact_dedup, line_dedup, mixing, packing, pii, quality_rules, secrets, sharding, simhash, warc
 from liftlake.llm.common import stored, table
 
 
@@ -36,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_dedup(table(spark, sf_dir, "documents"), shingle=3, max_distance=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "kept")
@@ -51,13 +55,26 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a parameter of the operator; this one only serves the query."""
+    rows = pii.pseudonymise(table(spark, sf_dir, "documents"), key="key of the registered query")
+    return rows.select("doc_id", "text", F.size("found").alias("n_found"), F.col("found.kind").alias("kinds"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = stored(secrets.format_labels(secrets.findings(docs, path=F.col("source"))), "findings")
+    return secrets.scan(found, secrets.train(found))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_shards, op2_packing, op3_mixing, op4_quality_rules, op6_simhash, op7_exact_dedup, op8_warc, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_shards, op2_packing, op3_mixing, op4_quality_rules, op5_line_dedup, op6_simhash, op7_exact_dedup, op8_warc, op9_pii, op10_secret_scan, pipeline)}
 
 ORACLE = {
     "op7_exact_dedup": """
