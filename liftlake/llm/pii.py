@@ -12,7 +12,8 @@ and kind alone, so equal values get equal pseudonyms in every document and
 different values different ones; ``reveal`` inverts it.
 
 Domains: cards keep length and separators, their check digit is recomputed;
-phone numbers keep the country code, numbers of plan +1 stay valid there; dates
+phone numbers keep the country code, in plan +1 the area and
+exchange codes never begin with 0; dates
 stay in 1900 to 2099; a mail address keeps its domain; an IBAN keeps its country.
 Invalid candidates and all other text stay as they are.
 
@@ -181,11 +182,11 @@ def _phone(m: Column, key: str, invert: bool) -> Column:
 
     def out(national: Column, code: Column, rest: Column) -> Column:
         area, exchange, line = (F.substr(national, F.lit(s), F.lit(n)).cast("long") for s, n in ((1, 3), (4, 3), (7, 4)))
-        plan1 = (F.length(national) == 10) & code.isin("", "1") & (area >= 200) & (exchange >= 200)
-        side = F.lit(80_000).cast("long")
-        one = let(permute_number((area - 200) * 8_000_000 + (exchange - 200) * 10_000 + line, side, side, key, "phone+1", invert),
-                  lambda v: F.concat((F.floor(v / 8_000_000) + 200).cast("string"),
-                                     (F.pmod(F.floor(v / 10_000), F.lit(800)) + 200).cast("string"), _padded(F.pmod(v, F.lit(10_000)), F.lit(4))))
+        plan1 = (F.length(national) == 10) & code.isin("", "1") & (area >= 100) & (exchange >= 100)
+        side = F.lit(90_000).cast("long")
+        one = let(permute_number((area - 100) * 9_000_000 + (exchange - 100) * 10_000 + line, side, side, key, "phone+1", invert),
+                  lambda v: F.concat((F.floor(v / 9_000_000) + 100).cast("string"),
+                                     (F.pmod(F.floor(v / 10_000), F.lit(900)) + 100).cast("string"), _padded(F.pmod(v, F.lit(10_000)), F.lit(4))))
         other = m.startswith("+") & F.length(national).between(6, 15) & ~code.isin("1")
         new = F.when(plan1, one).when(other, _permuted_digits(national, key, "phone", invert))
         head = F.when(code == "", F.lit("")).otherwise(F.concat(F.lit("+"), code))
