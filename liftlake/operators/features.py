@@ -3,9 +3,9 @@
 Statistics the reference recomputes on every batch (median RPE, clip
 bounds, constant-column check) are *fitted* here: computed once as a small
 aggregate, brought to the driver as a handful of numbers, and applied as
-literals. Exact percentiles are used while a column's value map is small;
-above ``EXACT_DISTINCT_LIMIT`` distinct values the approximate percentile
-(relative rank error 1/accuracy) keeps memory bounded.
+literals or joined per group. Quantiles are exact at every size: values are
+counted, range-partitioned, and ranked by cumulative counts, so no task holds
+a column.
 """
 
 from __future__ import annotations
@@ -16,40 +16,55 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import reps_bin, rpe_bin, rpe_ordinal
-from liftlake.operators.scan import KeyedScan
-from liftlake.operators.sequence import rolling_mean, rolling_slope
+from liftlake.operators.scan import KeyedScan, null_safe_join
+from liftlake.operators.sequence import rolling_mean, rolling_slope, window_slope
 from liftlake.schema import CLIP_FEATURES
 from liftlake.session import materialize
 
-EXACT_DISTINCT_LIMIT = 1_000_000
-APPROX_ACCURACY = 100_000
 
+def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles (linear interpolation) of each column per ``by`` group:
+    by..., column_name, quantiles (array; absent for columns without values).
 
-def _exact_ok(df: DataFrame, cols: Sequence[str], exact: bool | None) -> dict[str, bool]:
-    if exact is not None:
-        return {c: exact for c in cols}
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return {c: (row[c] or 0) <= EXACT_DISTINCT_LIMIT for c in cols}
+    Three small shuffles of distinct values, none on the rows' keys: count
+    per value, range-partition by (group, column, value), and cumulative
+    counts from per-partition totals. Each probability then picks its two
+    neighbouring ranks."""
+    keys = [*by, "column_name"]
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in cols])
+    counts = (df.select(*by, F.inline(values)).where(F.col("_v").isNotNull())
+              .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
+    ranged = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), force=True)
+    of_key, parts = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part")
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m")).select(
+        *keys, "_part", F.coalesce(F.sum("_m").over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_m").over(of_key).alias("_total"))
+    joined = null_safe_join(ranged, totals, [*keys, "_part"])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = joined.withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
 
+    def at(rank):   # the value of a 0-based rank
+        return F.max(F.when((F.col("_end") - F.col("_n") <= rank) & (rank < F.col("_end")), F.col("_v")))
 
-def fit_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                  exact: bool | None = None, by: Sequence[str] = ()) -> dict:
-    """{group tuple: {col: [q...]}} for each column (one aggregation pass)."""
-    mode = _exact_ok(df, cols, exact)
-    aggs = []
-    for c in cols:
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        q = (F.percentile(F.col(c), arr) if mode[c]
-             else F.percentile_approx(F.col(c), arr, APPROX_ACCURACY))
-        aggs.append(q.alias(c))
-    rows = df.groupBy(*by).agg(*aggs).collect()
-    return {tuple(r[b] for b in by): {c: r[c] for c in cols} for r in rows}
+    picks, quantiles = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("_total") - 1)
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"),
+                  F.max(place - F.floor(place)).alias(f"_f{i}")]
+        lo, hi, f = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_f{i}")
+        quantiles.append(F.when(lo == hi, lo).otherwise((1 - f) * lo + f * hi))
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, F.array(*quantiles).alias("quantiles"))
+
+
+def fit_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """{column: [quantile, ...]} over the whole table: one row per column to the driver."""
+    rows = {r["column_name"]: list(r["quantiles"]) for r in quantile_table(df, cols, probs).collect()}
+    return {c: rows.get(c) for c in cols}
 
 
-def fit_median(df: DataFrame, col: str, exact: bool | None = None) -> float | None:
-    q = fit_quantiles(df, [col], [0.5], exact)
-    vals = q.get((), {}).get(col)
-    return vals[0] if vals else None
+def fit_median(df: DataFrame, col: str) -> float | None:
+    q = fit_quantiles(df, [col], [0.5])[col]
+    return q[0] if q else None
 
 
 # -- A5 -------------------------------------------------------------------------------
@@ -64,40 +79,51 @@ def impute_median_rpe(df: DataFrame, median: float | None = None) -> DataFrame:
 
 
 # -- A6 -------------------------------------------------------------------------------
+def fit_bounds(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: float = 0.01, upper: float = 0.99,
+               by: Sequence[str] = ()) -> DataFrame:
+    """Clip bounds per ``by`` group: one row per group, ``_bounds`` maps a column to [low, high]."""
+    cols = [c for c in cols if c in df.columns]
+    rows = quantile_table(df, cols, [lower, upper], by)
+    return materialize(rows.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column_name", "quantiles"))).alias("_bounds")),
+                       force=True)
+
+
 def clip_columns(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: float = 0.01,
-                 upper: float = 0.99, by: Sequence[str] = (), bounds: dict | None = None) -> DataFrame:
+                 upper: float = 0.99, by: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
     """Clip each present column to its [lower, upper] quantiles (linear
-    interpolation), fitted per ``by`` group."""
+    interpolation), fitted per ``by`` group; ``bounds`` of an earlier fit
+    are applied as they are. Groups without bounds stay unclipped."""
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    bounds = bounds or fit_quantiles(df, cols, [lower, upper], by=by)
-    out = df
+    bounds = fit_bounds(df, cols, lower, upper, by) if bounds is None else bounds
+    if by:
+        out = null_safe_join(df, bounds, by)
+    else:
+        row = bounds.first()
+        fitted = F.create_map(*[x for c, q in (row["_bounds"] if row else {}).items()
+                                for x in (F.lit(c), F.array(*[F.lit(v) for v in q]))]) if row else F.lit(None).cast("map<string,array<double>>")
+        out = df.withColumn("_bounds", fitted)
     for c in cols:
-        lo_expr, hi_expr = None, None
-        for g, qs in bounds.items():
-            if qs[c] is None:
-                continue
-            cond = F.lit(True)
-            for b, v in zip(by, g):
-                cond = cond & (F.col(b) == F.lit(v))
-            lo_expr = (F.when(cond, F.lit(qs[c][0])) if lo_expr is None else lo_expr.when(cond, F.lit(qs[c][0])))
-            hi_expr = (F.when(cond, F.lit(qs[c][1])) if hi_expr is None else hi_expr.when(cond, F.lit(qs[c][1])))
-        if lo_expr is None:
-            continue
-        v = F.col(c)
-        out = out.withColumn(c, F.when(v.isNull(), v).otherwise(F.least(F.greatest(v, lo_expr), hi_expr)))
-    return out
+        v, q = F.col(c), F.col("_bounds")[c]
+        out = out.withColumn(c, F.when(v.isNull() | q.isNull(), v).otherwise(F.least(F.greatest(v, q[0]), q[1])))
+    return out.drop("_bounds")
 
 
 # -- A7 -------------------------------------------------------------------------------
-def drop_constant_rpe(df: DataFrame, col: str = "rpe") -> DataFrame:
+def drop_constant_rpe(df: DataFrame, col: str = "rpe", by: Sequence[str] = ()) -> DataFrame:
     """Drop ``rpe`` when it has at most one distinct non-null value
-    (min == max, checked in one cheap aggregate)."""
+    (min == max, checked in one cheap aggregate). With ``by`` the check is per
+    group: groups where it is constant get NULL, and the column goes only
+    when it is constant in all of them."""
     if col not in df.columns:
         return df
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    return df.drop(col) if r["lo"] is None or r["lo"] == r["hi"] else df
+    spans = materialize(df.groupBy(*by).agg((F.coalesce(F.min(col) < F.max(col), F.lit(False))).alias("_varies")), force=True)
+    if spans.where("_varies").isEmpty():
+        return df.drop(col)
+    if not by:
+        return df
+    return null_safe_join(df, spans, by).withColumn(col, F.when(F.col("_varies"), F.col(col))).drop("_varies")
 
 
 # -- M1 -------------------------------------------------------------------------------
@@ -109,12 +135,14 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
 
     Two keyed scans, one shuffle each: by user (days since the first and the
     previous workout) and by (user, exercise) (session number as a running
-    count of date changes, rolling mean and slope, and the top-set flag,
-    whose window is satisfied by the same partitioning). The two fitted
-    scalars (mean slope, median RPE) come from one aggregate over the
-    checkpointed scan output. Rows without a date are dropped first.
+    count of date changes, rolling mean and slope). The top set of each day
+    comes from a partial aggregate. The two fitted scalars (mean slope, median
+    RPE) are computed over the checkpointed scan output. Rows without a date
+    have no place in a sequence: they stay, with null date features.
     """
-    df = materialize(df.where(F.col(date).isNotNull()))
+    df = materialize(df)
+    undated = df.where(F.col(date).isNull())
+    df = df.where(F.col(date).isNotNull())
     order = (date, *tiebreak)
     d = F.col(date)
     # by user: W12 (first date so far = the user's first date) and W13
@@ -143,8 +171,7 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
         cnt = sum((v.isNotNull().cast("int") for v in vals), F.lit(0))
         out = out.withColumn(rm, F.when(cnt > 0, total / cnt))
         ys = list(reversed(lags[:n_trend - 1])) + [F.col("effective_load")]
-        xs = [F.col("_sx") - (n_trend - 1 - j) for j in range(n_trend)]
-        out = out.withColumn("rolling_trend_load", _slope_of(xs, ys)).drop(*[f"_el{i}" for i in range(1, depth + 1)])
+        out = out.withColumn("rolling_trend_load", window_slope(ys)).drop(*[f"_el{i}" for i in range(1, depth + 1)])
     else:
         w = se.window()
         out = out.withColumns({
@@ -152,18 +179,14 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
             "rolling_trend_load": F.regr_slope(F.col("effective_load"), F.col("_sx").cast("double"))
                                    .over(w.rowsBetween(-(n_trend - 1), 0)),
         })
-    top = Window.partitionBy(*se.parts, "days_since_first_workout", "workout_name").orderBy(
-        F.col("set_volume").desc(), *[F.col(c) for c in tiebreak])
-    out = out.withColumn("is_top_set", F.row_number().over(top) == 1)
-    out = materialize(se.finish(out.drop("_sx")))
-    if slope_fill is None or median_rpe is None:
-        # both fitted scalars in one aggregate pass
-        fit = out.agg(F.avg("rolling_trend_load").alias("s"), F.approx_count_distinct("rpe").alias("d"),
-                      F.percentile_approx("rpe", 0.5, APPROX_ACCURACY).alias("ma"),
-                      F.percentile(F.col("rpe"), 0.5).alias("me")).first()
-        slope_fill = fit["s"] if slope_fill is None else slope_fill
-        if median_rpe is None:
-            median_rpe = fit["me"] if (fit["d"] or 0) <= EXACT_DISTINCT_LIMIT else fit["ma"]
+    out = se.finish(out.drop("_sx"))
+    top = [user, "days_since_first_workout", "workout_name", exercise]
+    out = top_set_flag(materialize(out), top, tiebreak)
+    out = materialize(out.unionByName(undated.withColumn("is_top_set", F.lit(False)), allowMissingColumns=True))
+    if slope_fill is None:
+        slope_fill = out.agg(F.avg("rolling_trend_load")).first()[0]
+    if median_rpe is None:
+        median_rpe = fit_median(out, "rpe")
     out = out.withColumn("rolling_trend_load",
                          F.coalesce(F.col("rolling_trend_load"), F.lit(slope_fill).cast("double")))
     # A5 + SC3 + SC4 + SC5 + PF14
@@ -180,51 +203,40 @@ def _epoch_seconds(df: DataFrame, c: str):
     return F.unix_seconds(F.col(c))
 
 
-def _slope_of(xs, ys):
-    """Least-squares slope over the non-null (x, y) pairs; NULL below 2 pairs."""
-    pairs = F.filter(F.array(*[F.struct(x.cast("double").alias("x"), y.alias("y")) for x, y in zip(xs, ys)]),
-                     lambda p: p["y"].isNotNull())
-    k = F.size(pairs).cast("double")
-    sx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"])
-    sy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["y"])
-    sxx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
-    sxy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["y"])
-    den = k * sxx - sx * sx
-    return F.when((k >= 2) & (den != 0), (k * sxy - sx * sy) / den)
-
-
 def top_set_flag(df: DataFrame, group: Sequence[str], appearance: Sequence[str],
                  volume: str = "set_volume") -> DataFrame:
     """``is_top_set`` marks the first row (appearance order) with the
-    group's largest volume. The winner per group is a partial aggregate, so a
-    huge group is reduced map-side before the shuffle."""
+    group's largest volume; groups with a null part have none. The winner per
+    group is a partial aggregate, so a huge group is reduced map-side before
+    the shuffle."""
     ident = F.struct(*[F.col(c) for c in appearance])
     rank_key = F.struct((-F.col(volume)).alias("v"), *[F.col(c) for c in appearance])
     winners = df.where(F.col(volume).isNotNull()).groupBy(*group).agg(F.min_by(ident, rank_key).alias("_win"))
-    j = df.join(winners.withColumnsRenamed({g: f"_g_{g}" for g in group}),
-                [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], "left")
     flag = F.coalesce(F.col("_win") == ident, F.lit(False))
-    return j.withColumn("is_top_set", flag).drop("_win", *[f"_g_{g}" for g in group])
+    return df.join(winners, list(group), "left").withColumn("is_top_set", flag).drop("_win")
 
 
 # -- M3 -------------------------------------------------------------------------------
 def session_features(periodized: DataFrame, key: Sequence[str] = ("user_id", "compound"),
-                     order: Sequence[str] = ("ts", "event_id"), hot_rows: int | None = None) -> DataFrame:
+                     order: Sequence[str] = ("ts", "event_id"), hot_rows: int | None = None,
+                     fill_slope: bool = True) -> DataFrame:
     """Set features (PF6, PF7) and rolling load features (W10, W11) on the
-    periodized session table, the frame M3 prepares for training."""
+    periodized session table, the frame M3 prepares for training. Training
+    leaves missing slopes null (``fill_slope=False``): the pipeline's imputer
+    fills them from the training rows alone."""
     from liftlake.operators.clean import add_set_features
     df = add_set_features(periodized)
     df = rolling_mean(df, "effective_load", 3, key, order, "rolling_avg_load_last_3_sessions", hot_rows)
-    return rolling_slope(df, "effective_load", 5, key, order, "rolling_trend_load", True, hot_rows)
+    return rolling_slope(df, "effective_load", 5, key, order, "rolling_trend_load", fill_slope, hot_rows)
 
 
 def prepare(df: DataFrame, target: str = "next_load_delta", by: Sequence[str] = ("compound",),
-            drop: Sequence[str] = ("date",), bounds: dict | None = None) -> DataFrame:
-    """M3: clip the feature columns per compound, drop a constant RPE, keep
+            drop: Sequence[str] = ("date",), bounds: DataFrame | None = None) -> DataFrame:
+    """M3: clip the feature columns and drop a constant RPE per compound, keep
     the rows with a target. Raises when the target is absent."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data.")
+        raise ValueError(f"no column {target!r} to predict")
     out = clip_columns(materialize(df), CLIP_FEATURES, by=by, bounds=bounds)
-    out = drop_constant_rpe(out)
+    out = drop_constant_rpe(out, by=by)
     out = out.where(F.col(target).isNotNull())
     return out.drop(*[c for c in drop if c in out.columns])

@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.operators.quality import regression_metrics
@@ -104,8 +104,11 @@ class CompoundModel:
 
     def fit(self, df: DataFrame) -> "CompoundModel":
         if self.target not in df.columns:
-            raise ValueError(f"Target column '{self.target}' not found in data.")
+            raise ValueError(f"no column {self.target!r} to fit")
         num, cat = self.features_of(df)
+        # a feature without any value in the training rows (A7) is left out
+        known = df.where(F.col(self.target).isNotNull()).agg(*[F.count(c).alias(c) for c in num]).first()
+        num = [c for c in num if known[c]]
         self.numeric, self.categorical = tuple(num), tuple(cat)
         data = _prep(df.where(F.col(self.target).isNotNull()), num, cat)
         self.model = build_pipeline(num, cat, self.target, self.kind, self.params, self.overrides).fit(data)
@@ -161,36 +164,52 @@ def with_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
     return chronological_split(df, fraction)
 
 
-def train_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, kind: str = "rf",
-                   fraction: float = 0.8) -> tuple[DataFrame, dict[str, CompoundModel]]:
-    """M14 (+M7): per compound, fit on each key's first 80 % and report
-    MAE / MSE / RMSE / R^2 on train and validation rows."""
-    split = materialize(with_split(prepared, fraction), force=True)
+def split_then_prepare(features: DataFrame, fraction: float = 0.8) -> DataFrame:
+    """W18 first, then M3 with the clip bounds of the training rows: nothing
+    fitted sees a validation row. Adds ``split``; only rows with a target."""
+    from liftlake.operators.features import fit_bounds, prepare
+    split = materialize(with_split(features.where(F.col(TARGET).isNotNull()), fraction), force=True)
+    return materialize(prepare(split, bounds=fit_bounds(split.where(F.col("split") == "train"), by=("compound",))), force=True)
 
-    def fit_one(comp):
+
+def train_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, kind: str | Sequence[str] = "rf",
+                   fraction: float = 0.8, min_targets: int = 10) -> tuple[DataFrame, dict[str, CompoundModel]]:
+    """M14 (+M7, M13): per compound, fit on each key's first 80 % and report
+    MAE / MSE / RMSE / R^2 on train and validation rows. ``features`` are
+    session features before M3. Compounds with fewer than ``min_targets``
+    training rows are not fitted: one row with ``status`` = 'skipped'."""
+    kinds = [kind] if isinstance(kind, str) else list(kind)
+    split = split_then_prepare(features, fraction)
+    train_rows = split.where(F.col("split") == "train").groupBy("compound").count()
+    enough = {r["compound"] for r in train_rows.where(F.col("compound").isin(list(compounds)) & (F.col("count") >= min_targets)).collect()}
+
+    def fit_one(task):
+        comp, k = task
         part = split.where(F.col("compound") == comp)
-        model = CompoundModel(name=comp, kind=kind, overrides=COMPOUND_OVERRIDES.get(comp, {})).fit(
+        model = CompoundModel(name=comp, kind=k, overrides=COMPOUND_OVERRIDES.get(comp, {}) if k == "rf" else {}).fit(
             part.where(F.col("split") == "train"))
-        return comp, model, model.evaluate(part, ["split"]).withColumn("compound", F.lit(comp)) \
-            .withColumn("model", F.lit(kind))
-
-    reports, models = [], {}
-    for comp, model, rep in _parallel(fit_one, compounds):
-        models[comp] = model
-        reports.append(rep)
-    out = reports[0]
-    for r in reports[1:]:
-        out = out.unionByName(r)
+        return task, model, model.evaluate(part, ["split"]).withColumns(
+            {"compound": F.lit(comp), "model": F.lit(k), "status": F.lit("fitted")})
+
+    from liftlake.functions.scalar import local_table
+    skipped = [(c, k) for c in compounds for k in kinds if c not in enough]
+    out = local_table(split.sparkSession, skipped, ["compound", "model"], ["string", "string"]).withColumn("status", F.lit("skipped"))
+    models = {}
+    for (comp, k), model, rep in _parallel(fit_one, [(c, k) for k in kinds for c in compounds if c in enough]):
+        models[comp if len(kinds) == 1 else f"{comp}/{k}"] = model
+        out = rep.unionByName(out, allowMissingColumns=True)
     return out, models
 
 
-def compare_models(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS) -> DataFrame:
-    """M9: random forest vs linear vs boosted trees, same split."""
-    out = None
-    for kind in ("rf", "linear", "gbt"):
-        rep, _ = train_validate(prepared, compounds, kind)
-        out = rep if out is None else out.unionByName(rep)
-    return out
+def compare_models(features: DataFrame, compounds: Sequence[str] = COMPOUNDS) -> DataFrame:
+    """M9 + SL3: random forest vs linear vs boosted trees on one split;
+    ``model_rank`` orders a compound's models by validation R^2."""
+    report, _ = train_validate(features, compounds, ("rf", "linear", "gbt"))
+    report = materialize(report, force=True)
+    order = F.when(F.col("split") == "valid", F.col("r2"))
+    best = report.groupBy("compound", "model").agg(F.max(order).alias("_r2"))
+    rank = F.row_number().over(Window.partitionBy("compound").orderBy(F.desc_nulls_last("_r2"), "model"))
+    return report.join(best.select("compound", "model", rank.alias("model_rank")), ["compound", "model"])
 
 
 def contiguous_folds(df: DataFrame, k: int = 5) -> DataFrame:
@@ -202,22 +221,24 @@ def contiguous_folds(df: DataFrame, k: int = 5) -> DataFrame:
         "fold", F.floor((F.col("_pos") - 1) * k / F.col("_n")).cast("int")).drop("_pos", "_n")
 
 
-def cross_validate(prepared: DataFrame, compounds: Sequence[str] = COMPOUNDS, k: int = 5, kind: str = "rf",
+def cross_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, k: int = 5, kind: str = "rf",
                    max_mean_drop: float = 0.0, max_std: float = 0.5) -> DataFrame:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
     (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile)."""
-    folded = materialize(contiguous_folds(prepared, k), force=True)
+    from liftlake.operators.features import fit_bounds, prepare
+    folded = materialize(contiguous_folds(features.where(F.col(TARGET).isNotNull()), k), force=True)
 
     def fit_fold(task):
         comp, f = task
         part = folded.where(F.col("compound") == comp)
+        part = prepare(part, bounds=fit_bounds(part.where(F.col("fold") != f), by=("compound",)))
         model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
         # evaluate now: the fold's R^2 is a one-row result
         r = model.evaluate(part.where(F.col("fold") == f)).first()
         return comp, f, r["r2"] if r is not None else None
 
     rows = _parallel(fit_fold, [(c, f) for c in compounds for f in range(k)])
-    spark = prepared.sparkSession
+    spark = features.sparkSession
     from liftlake.functions.scalar import local_table
     folds = local_table(spark, rows, ["compound", "fold", "r2"], ["string", "int", "double"])
     return gate_cv(folds, max_mean_drop, max_std)

@@ -38,7 +38,7 @@ def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ())
         F.var_pop(F.col(y)).alias("_var"), F.count(F.lit(1)).alias("n"))
     r2 = F.when(F.col("_var") > 0, F.lit(1.0) - F.col("mse") / F.col("_var"))
     return agg.select(*by, "n", "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"),
-                      F.greatest(F.lit(0), (r2 * 100).cast("int")).alias("accuracy_pct")).drop("_var")
+                      F.greatest(F.lit(0.0), r2 * 100).cast("int").alias("accuracy_pct")).drop("_var")
 
 
 # -- IO9 ----------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import rule_progression
+from liftlake.operators.scan import KeyedScan
 from liftlake.operators.sequence import last_n, last_per_key, periodization
 from liftlake.schema import COMPOUNDS, KEY, ORDER, RouteParams, RuleParams
 
@@ -137,6 +138,23 @@ def log_newest_sessions(sessions: DataFrame, rule: RuleParams = RuleParams(),
         F.lit("pending").alias("prediction_status"))
 
 
+def log_sessions(sessions: DataFrame, rule: RuleParams = RuleParams(), reason: str = "normal",
+                 hot_rows: int | None = None) -> DataFrame:
+    """R4 for every session: one pending audit row each, with the load delta to
+    the key's previous session and the recommendation that session led to."""
+    scan = KeyedScan.build(sessions.withColumn("_logged", F.struct("weight", "reps", "rpe")), KEY, ORDER, hot_rows)
+    df = scan.finish(scan.with_lags(scan.df, "_logged", 1, "_before"))
+    prev = F.col("_before1")
+    s = rule_progression(prev["weight"], prev["reps"], prev["rpe"], rule)
+    return df.select(
+        *KEY, "ts", "event_id", "weight", "reps", "rpe",
+        F.coalesce(F.col("weight") - prev["weight"], F.lit(0.0)).alias("load_delta"),
+        F.lit(reason).alias("deviation_reason"),
+        F.when(prev.isNotNull(), F.lit("rule_based")).otherwise(F.lit("insufficient_data")).alias("prediction_source"),
+        F.when(prev.isNotNull(), s["suggested_weight"]).alias("recommended_weight"),
+        F.lit("pending").alias("prediction_status"))
+
+
 def append_sessions(history: DataFrame, new: DataFrame) -> DataFrame:
     """SO2: append newly logged sessions to the history (bag union by name,
     columns of the history)."""

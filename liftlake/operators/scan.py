@@ -6,17 +6,19 @@ far") are window functions partitioned by a key. A plain
 holding a third of the data would stall the job. ``KeyedScan`` splits such
 hot keys:
 
-1. A light pre-aggregation (key columns and the time column only, partial
-   aggregation before the shuffle) counts rows per key and finds the keys
-   above ``hot_rows``. Their number is bounded by ``rows / hot_rows``.
-2. Rows of a hot key get a ``_chunk`` number: equal-width slices of its time
-   range, so each chunk is a contiguous run of the key's order. Other keys
-   keep chunk 0. Windows then partition by ``key + _chunk``.
+1. A light pre-aggregation (key columns only, partial aggregation before the
+   shuffle) counts rows per key and finds the keys above ``hot_rows``. Their
+   number is bounded by ``rows / hot_rows``.
+2. The rows of hot keys are range-partitioned and sorted by key and the full
+   order tuple, cut every ``hot_rows`` rows and checkpointed. Each ``_chunk`` is
+   a contiguous run of its key's order of at most ``hot_rows`` rows, whatever
+   the values are. Other keys keep chunk 0. Windows then partition by
+   ``key + _chunk``. Null key parts are a key like any other.
 3. Running quantities are computed per chunk and then corrected with a carry
    table: one row per non-empty hot chunk, holding the chunk's aggregate,
    prefix-combined over the earlier chunks of the same key. The carry table
    is bounded by the number of hot chunks; it is broadcast when that bound is
-   under ``broadcast_rows``, otherwise joined on ``key + _chunk`` (which the
+   under ``broadcast_rows`` (200,000 rows of at most a few hundred bytes), otherwise joined on ``key + _chunk`` (which the
    windowed side is already partitioned by).
 
 When no key is hot, the scan is a plain window partitioned by the key, with
@@ -31,9 +33,10 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from liftlake.session import materialize
+
 DEFAULT_HOT_ROWS = 2_000_000
-DEFAULT_BROADCAST_ROWS = 2_000_000
-CHUNKS_PER_HOT_SHARE = 4
+DEFAULT_BROADCAST_ROWS = 200_000
 
 
 def _conf_int(df: DataFrame, name: str, default: int) -> int:
@@ -44,16 +47,11 @@ def _conf_int(df: DataFrame, name: str, default: int) -> int:
     return int(value) if value else default
 
 
-def _time_number(c: Column, dtype: str) -> Column:
-    """A monotone number for the order's time column, independent of the
-    session time zone (zone-less timestamps are not shifted through it)."""
-    if dtype == "timestamp_ntz":
-        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
-    if dtype.startswith("timestamp"):
-        return F.unix_micros(c)
-    if dtype == "date":
-        return F.unix_date(c).cast("long")
-    return c.cast("long")
+def null_safe_join(df: DataFrame, right: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Left join on ``cols`` that matches null with null; keeps df's columns."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
+    on = [df[c].eqNullSafe(renamed[f"_r_{c}"]) for c in cols]
+    return df.join(renamed, on, "left").drop(*[f"_r_{c}" for c in cols])
 
 
 @dataclass
@@ -79,32 +77,29 @@ class KeyedScan:
         if assume_cold:
             return cls(df.withColumn("_chunk", F.lit(0).cast("long")), key, order, False, 0,
                        broadcast_rows or DEFAULT_BROADCAST_ROWS)
-        tcol = order[0]
-        t = _time_number(F.col(tcol), dict(df.dtypes)[tcol])
-        per_key = (df.select(*key, t.alias("_t"))
-                   .groupBy(*key)
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_t0"),
-                        F.max("_t").alias("_t1")))
-        hot_keys = (per_key.where(F.col("_n") > hot_rows)
-                    .withColumn("_m", (F.ceil(F.col("_n") / F.lit(hot_rows))
-                                       * CHUNKS_PER_HOT_SHARE).cast("long"))
-                    .withColumn("_w", F.greatest(F.lit(1).cast("long"), F.ceil(
-                        (F.col("_t1") - F.col("_t0") + 1) / F.col("_m")).cast("long"))))
-        # One small driver-side row: how many hot keys and chunks exist.
-        stats = hot_keys.agg(F.count(F.lit(1)).alias("k"), F.sum("_m").alias("m")).first()
-        n_hot, n_chunks = int(stats["k"] or 0), int(stats["m"] or 0)
+        hot_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+                    .where(F.col("_n") > hot_rows))
+        # One small driver-side row: how many hot keys and rows exist.
+        stats = hot_keys.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
+        n_hot, n_rows = int(stats["k"] or 0), int(stats["n"] or 0)
         if n_hot == 0:
             out = df.withColumn("_chunk", F.lit(0).cast("long"))
             return cls(out, key, order, False, 0, broadcast_rows)
-        lookup = hot_keys.select(*key, "_t0", "_w")
+        lookup = hot_keys.select(*key, F.lit(True).alias("_hot"))
         lookup = F.broadcast(lookup) if n_hot <= broadcast_rows else lookup
-        out = (df.join(lookup, list(key), "left")
-               .withColumn("_hot", F.col("_w").isNotNull())
-               .withColumn("_chunk", F.coalesce(
-                   F.floor((_time_number(F.col(tcol), dict(df.dtypes)[tcol]) - F.col("_t0"))
-                           / F.col("_w")).cast("long"), F.lit(0).cast("long")))
-               .drop("_t0", "_w"))
-        return cls(out, key, order, True, n_chunks + n_hot, broadcast_rows)
+        flagged = null_safe_join(df, lookup, key).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        # Sorted range partitions, cut every ``hot_rows`` rows. Checkpointed: the
+        # row numbers are fixed from here on.
+        low = F.lit((1 << 33) - 1)
+        split = (flagged.where("_hot").repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+                 .withColumn("_id", F.monotonically_increasing_id())
+                 .withColumn("_chunk", F.col("_id") - F.col("_id").bitwiseAND(low)
+                             + F.floor(F.col("_id").bitwiseAND(low) / hot_rows).cast("long") + 1).drop("_id"))
+        split = materialize(split, force=True)
+        out = flagged.where(~F.col("_hot")).withColumn("_chunk", F.lit(0).cast("long")).unionByName(split)
+        # chunks, one more per range partition, and keys that share one
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        return cls(out, key, order, True, -(-n_rows // hot_rows) + parts + n_hot, broadcast_rows)
 
     # -- windows -------------------------------------------------------------
     @property
@@ -120,7 +115,7 @@ class KeyedScan:
     def _carry_join(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         if self.carry_rows <= self.broadcast_rows:
             carry = F.broadcast(carry)
-        return df.join(carry, [*self.key, "_chunk"], "left")
+        return null_safe_join(df, carry, [*self.key, "_chunk"])
 
     def _chunk_window(self):
         return Window.partitionBy(*self.key).orderBy("_chunk")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.operators.scan import KeyedScan
@@ -115,6 +115,21 @@ def rolling_mean(df: DataFrame, value: str, n: int, key: Sequence[str], order: S
     return scan.finish(out.drop(*[f"_rm{i}" for i in range(1, n)]))
 
 
+def window_slope(ys: Sequence[Column]) -> Column:
+    """Least-squares slope of the non-null ``ys`` against their place in the
+    window (0, 1, ...); NULL below 2 values. Places inside the window keep the
+    sums small however long the key's history is."""
+    pairs = F.filter(F.array(*[F.struct(F.lit(float(j)).alias("x"), y.alias("y")) for j, y in enumerate(ys)]),
+                     lambda p: p["y"].isNotNull())
+    k = F.size(pairs).cast("double")
+    sx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"])
+    sy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["y"])
+    sxx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
+    sxy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["y"])
+    den = k * sxx - sx * sx
+    return F.when((k >= 2) & (den != 0), (k * sxy - sx * sy) / den)
+
+
 def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order: Sequence[str],
                   name: str, fill_mean: bool = True, hot_rows: int | None = None,
                   assume_cold: bool = False) -> DataFrame:
@@ -133,16 +148,7 @@ def rolling_slope(df: DataFrame, value: str, n: int, key: Sequence[str], order:
     else:
         out = scan.with_lags(out, value, n - 1, "_rs")
         ys = [F.col(f"_rs{i}") for i in range(n - 1, 0, -1)] + [F.col(value)]
-        xs = [F.col("_sx") - (n - 1 - j) for j in range(n)]
-        pairs = F.filter(F.array(*[F.struct(x.cast("double").alias("x"), y.alias("y"))
-                                   for x, y in zip(xs, ys)]), lambda p: p["y"].isNotNull())
-        k = F.size(pairs).cast("double")
-        sx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"])
-        sy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["y"])
-        sxx = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["x"])
-        sxy = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + p["x"] * p["y"])
-        den = k * sxx - sx * sx
-        out = out.withColumn(name, F.when((k >= 2) & (den != 0), (k * sxy - sx * sy) / den))
+        out = out.withColumn(name, window_slope(ys))
         out = out.drop(*[f"_rs{i}" for i in range(1, n)])
     out = scan.finish(out.drop("_sx"))
     if fill_mean:

@@ -92,7 +92,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
     probs = [i / bins for i in range(1, bins)]
     cols = features + [target]
     df = materialize(df.select(*cols))
-    cuts = fit_quantiles(df, cols, probs)[()]
+    cuts = fit_quantiles(df, cols, probs)
 
     def bin_of(c):
         arr = F.array(*[F.lit(float(v)) for v in cuts[c]]) if cuts[c] else F.array().cast("array<double>")

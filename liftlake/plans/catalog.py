@@ -717,6 +717,19 @@ SELECT n.user_id, n.compound, n.ts, n.event_id, n.weight, n.reps, n.rpe,
 FROM n LEFT JOIN p ON n.user_id = p.user_id AND n.compound = p.compound""")(
     lambda spark, d: recommend.log_newest_sessions(A.sessions(spark, d)))
 
+_R4_ALL = S.with_ctes(S.SESSIONS) + f"""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts, event_id) AS rr FROM sessions)
+SELECT n.user_id, n.compound, n.ts, n.event_id, n.weight, n.reps, n.rpe,
+       CASE WHEN p.user_id IS NOT NULL THEN COALESCE(n.weight - p.weight, 0.0::DOUBLE) ELSE 0.0::DOUBLE END
+         AS load_delta,
+       'normal' AS deviation_reason,
+       CASE WHEN p.user_id IS NOT NULL THEN 'rule_based' ELSE 'insufficient_data' END AS prediction_source,
+       CASE WHEN p.user_id IS NOT NULL THEN {_R4_RULE['suggested_weight']} END AS recommended_weight,
+       'pending' AS prediction_status
+FROM ranked n LEFT JOIN ranked p ON n.user_id = p.user_id AND n.compound = p.compound AND n.rr = p.rr + 1"""
+register("r4_log_all_sessions", _R4_ALL)(lambda spark, d: recommend.log_sessions(A.sessions(spark, d)))
+register("r4_log_all_sessions_hotkeys", _R4_ALL)(lambda spark, d: recommend.log_sessions(A.sessions(spark, d), hot_rows=6))
+
 from liftlake.sources import store  # noqa: E402
 
 register("io6_prediction_log", S.with_ctes(S.SESSIONS) + _SCORED + f"""
@@ -753,11 +766,12 @@ _M1_SQL = _MERGE_SQL + f"""
 , f2 AS (
   SELECT * EXCLUDE (rpe), COALESCE(slope0, avg(slope0) OVER ()) AS rolling_trend_load,
          CASE WHEN rpe IS NULL THEN 1 ELSE 0 END AS rpe_missing,
-         COALESCE(rpe, (SELECT median(rpe) FROM f0)) AS rpe
-  FROM f1)
+         COALESCE(rpe, (SELECT median(rpe) FROM merged)) AS rpe
+  FROM (SELECT * FROM f1 UNION ALL BY NAME SELECT * FROM merged WHERE date IS NULL))
 , f3 AS (
   SELECT *, CASE WHEN rpe >= 0 AND rpe <= 5 THEN 'Low' WHEN rpe > 5 AND rpe <= 7 THEN 'Medium'
                  WHEN rpe > 7 AND rpe <= 10 THEN 'High' END AS rpe_binned,
+         date IS NOT NULL AND workout_name IS NOT NULL AND
          row_number() OVER (PARTITION BY user_id, days_since_first_workout, workout_name, exercise_normalized
                             ORDER BY set_volume DESC, {_APP}) = 1 AS is_top_set,
          CASE WHEN reps >= 0 AND reps <= 5 THEN 'Strength' WHEN reps > 5 AND reps <= 15 THEN 'Hypertrophy'
@@ -945,7 +959,7 @@ from liftlake.operators import ml as ML  # noqa: E402
 
 
 def _prepared(spark, d):
-    return FE.prepare(FE.session_features(_periodized(spark, d)))
+    return FE.session_features(_periodized(spark, d), fill_slope=False)
 
 
 def _m14(spark, d):

@@ -42,8 +42,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` if set.
 
-    Only when the session names none (local tests) is a fresh scratch folder
-    created and registered.
+    Only when a local session names none (tests) is a fresh scratch folder
+    created and registered. On a cluster a folder of the driver's own disk
+    would not be seen by the executors, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -52,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="liftlake-ckpt-", dir="/tmp")
     try:  # record it where later readers look; some sessions refuse core keys
         spark.conf.set("spark.checkpoint.dir", path)

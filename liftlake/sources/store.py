@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from liftlake.functions.scalar import local_table
 from liftlake.operators.scan import KeyedScan
-from liftlake.schema import (BASELINE_COLUMNS, COMPOUNDS, EXPORT_COLUMNS, KEY, ORDER)
+from liftlake.schema import (BASELINE_COLUMNS, COMPOUNDS, KEY, ORDER)
 
 
 # -- IO1 ----------------------------------------------------------------------------
@@ -37,10 +37,6 @@ def read_baseline_csv(spark: SparkSession, path: str) -> DataFrame:
              .withColumn("reps", F.col("reps").try_cast("int"))
 
 
-def export_columns_present(df: DataFrame) -> list[str]:
-    return [c for c in EXPORT_COLUMNS if c in df.columns]
-
-
 # -- IO2 ----------------------------------------------------------------------------
 HISTORY_SCHEMA = T.StructType([
     T.StructField("weight", T.DoubleType()), T.StructField("reps", T.DoubleType()),
@@ -100,18 +96,21 @@ PERSONALIZATION_SCHEMA = T.StructType([
 ])
 
 
-def read_personalization(spark: SparkSession, pattern: str) -> DataFrame:
+def read_personalization(spark: SparkSession, pattern: str, lines: bool = False) -> DataFrame:
     """All personalization documents as rows (user_id, compound, a, b, trend,
     last_calibrated_size, runs), tolerant of the three layouts. A document
-    without ``user_id`` takes its folder name."""
-    docs = (spark.read.option("multiLine", True).schema(PERSONALIZATION_SCHEMA).json(pattern)
+    without ``user_id`` takes its folder name. One document per file, or one
+    per line (``lines``), as ``write_personalization`` leaves them."""
+    docs = (spark.read.option("multiLine", not lines).schema(PERSONALIZATION_SCHEMA).json(pattern)
             .withColumn("_path", F.col("_metadata.file_path")))
     uid = F.coalesce(F.col("user_id"), F.regexp_extract("_path", r"/([^/]+)/[^/]+\.json$", 1))
     keys = F.array_distinct(F.concat(
         F.coalesce(F.map_keys("scaling_factors"), F.array().cast("array<string>")),
         F.coalesce(F.map_keys("baseline_offsets"), F.array().cast("array<string>")),
         F.coalesce(F.map_keys("calibration_meta"), F.array().cast("array<string>")),
-        F.coalesce(F.map_keys("last_calibration_n"), F.array().cast("array<string>"))))
+        F.coalesce(F.map_keys("last_calibration_n"), F.array().cast("array<string>")),
+        F.coalesce(F.map_keys("trend_modifiers"), F.array().cast("array<string>")),
+        F.coalesce(F.map_keys("calibration_runs"), F.array().cast("array<string>"))))
     rows = docs.withColumn("user_id", uid).select("*", F.explode(keys).alias("compound"))
     trend_raw = F.col("trend_modifiers")[F.col("compound")]
     meta = F.col("calibration_meta")[F.col("compound")]
@@ -140,8 +139,10 @@ def personalization_documents(state: DataFrame) -> DataFrame:
                          F.col("runs").cast("int").alias("runs"))).alias("calibration_meta"))
 
 
-def write_personalization(state: DataFrame, path: str) -> None:
-    personalization_documents(state).write.mode("overwrite").partitionBy("user_id").json(path)
+def write_personalization(state: DataFrame, path: str, users_per_file: int = 1_000_000) -> None:
+    """One document per line, user id included, in files of a bounded number of users."""
+    (personalization_documents(state).write.mode("overwrite")
+     .option("maxRecordsPerFile", users_per_file).json(path))
 
 
 # -- IO5 ------------------------------------------------------------------------------
@@ -156,14 +157,17 @@ def write_processed(df: DataFrame, path: str, partition_by: Sequence[str] = ("co
 
 
 # -- snapshots and IO7 ---------------------------------------------------------------
-def _versions(root: str) -> list[int]:
-    if not os.path.isdir(root):
-        return []
-    out = []
-    for name in os.listdir(root):
-        if name.startswith("v=") and os.path.exists(os.path.join(root, name, "_SUCCESS")):
-            out.append(int(name[2:]))
-    return sorted(out)
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names below ``path`` in the file system the path belongs to; none if it is absent."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    names = [n for n in _children(spark, root) if n.startswith("v=")]
+    return sorted(int(n[2:]) for n in names if "_SUCCESS" in _children(spark, f"{root}/{n}"))
 
 
 def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None = None,
@@ -171,7 +175,7 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
     """Newest complete snapshot (one with ``_SUCCESS``), or None; with
     ``before`` only versions below it (a retried batch ignores its own
     earlier partial output)."""
-    versions = [v for v in _versions(root) if before is None or v < before]
+    versions = [v for v in _versions(spark, root) if before is None or v < before]
     if not versions:
         return spark.createDataFrame([], schema) if schema is not None else None
     return spark.read.parquet(os.path.join(root, f"v={versions[-1]}"))
@@ -179,7 +183,7 @@ def read_snapshot(spark: SparkSession, root: str, schema: T.StructType | None =
 
 def write_snapshot(df: DataFrame, root: str) -> str:
     """Write the next version; readers of the previous one are unaffected."""
-    versions = _versions(root)
+    versions = _versions(df.sparkSession, root)
     path = os.path.join(root, f"v={(versions[-1] + 1) if versions else 0}")
     df.write.mode("overwrite").parquet(path)
     return path
@@ -220,11 +224,11 @@ def append_predictions(rows: DataFrame, root: str) -> None:
 # -- IO8 ------------------------------------------------------------------------------
 def save_model(model, path: str, metadata: dict, overwrite: bool = True) -> None:
     """A fitted ``PipelineModel`` plus a metadata document next to it."""
-    if not overwrite and os.path.exists(path):
+    spark = SparkSession.getActiveSession()
+    if not overwrite and _children(spark, path):
         raise FileExistsError(path)
     w = model.write()
     (w.overwrite() if overwrite else w).save(os.path.join(path, "model"))
-    spark = SparkSession.getActiveSession()
     local_table(spark, [(json.dumps(metadata, sort_keys=True),)], ["doc"], ["string"]) \
          .coalesce(1).write.mode("overwrite").text(os.path.join(path, "metadata"))
 

@@ -135,8 +135,9 @@ def _batch_dir(root: str, table: str, epoch: int) -> str:
 
 def _read_upto(spark: SparkSession, root: str, table: str, epoch: int, schema: T.StructType) -> DataFrame:
     """Append-only table: every batch directory up to and including ``epoch``."""
+    from liftlake.sources.store import _children as children
     path = os.path.join(root, table)
-    if not os.path.isdir(path):
+    if not children(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema.add("batch", T.LongType()) if "batch" not in schema.names else schema) \
         .parquet(path).where(F.col("batch") <= epoch).drop("batch")

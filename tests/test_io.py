@@ -56,8 +56,25 @@ def test_personalization_layouts(spark, scratch):
                                   "user_id string, compound string, a double, b double, trend double, "
                                   "last_calibrated_size int, runs int")
     store.write_personalization(state, os.path.join(scratch, "out"))
-    back = spark.read.json(os.path.join(scratch, "out"))
-    assert back.count() == 3
+    back = store.read_personalization(spark, os.path.join(scratch, "out"), lines=True)
+    cols = state.columns
+    assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, state.select(*cols).collect()))
+
+
+def test_keys_of_any_map_are_read(spark, scratch):
+    os.makedirs(os.path.join(scratch, "q", "u9"))
+    with open(os.path.join(scratch, "q", "u9", "personalization.json"), "w") as f:
+        json.dump({"user_id": "u9", "trend_modifiers": {"squat": 0.9}, "calibration_runs": {"seated_row": 2}}, f)
+    rows = {r["compound"]: r for r in store.read_personalization(spark, os.path.join(scratch, "q", "*", "personalization.json")).collect()}
+    assert rows["squat"]["trend"] == 0.9 and rows["seated_row"]["runs"] == 2
+
+
+def test_snapshots_through_a_uri(spark, scratch):
+    root = f"file://{scratch}/uri"
+    df = spark.createDataFrame([(1, "squat")], "user_id long, compound string")
+    assert store.read_snapshot(spark, root) is None
+    assert [store.write_snapshot(df, root), store.write_snapshot(df.union(df), root)] == [f"{root}/v=0", f"{root}/v=1"]
+    assert store.read_snapshot(spark, root).count() == 2 and store.read_snapshot(spark, root, before=1).count() == 1
 
 
 def test_upsert_and_snapshots(spark, scratch):

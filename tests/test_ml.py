@@ -48,3 +48,21 @@ def test_cv_gate(spark):
                                   [("bench_press", i, 0.2) for i in range(5)], "compound string, fold int, r2 double")
     out = {r["compound"]: r["accepted"] for r in ML.gate_cv(folds).collect()}
     assert out == {"squat": False, "bench_press": True}
+
+
+def test_compounds_without_rows_are_reported_not_fitted(spark):
+    feats = FE.session_features(sequence.periodization(sessions(spark, SF_SMALL)), fill_slope=False)
+    few = feats.where(F.col("compound") == "squat")
+    report, models = ML.train_validate(few, kind="linear")
+    rows = {(r["compound"], r["status"]) for r in report.collect()}
+    assert set(models) == {"squat"} and ("seated_row", "skipped") in rows and ("squat", "fitted") in rows
+
+
+def test_nothing_fitted_sees_validation_rows(spark):
+    feats = FE.session_features(sequence.periodization(sessions(spark, SF_SMALL)), fill_slope=False)
+    out = ML.split_then_prepare(feats)
+    bounds = {r["compound"]: r["_bounds"] for r in FE.fit_bounds(
+        ML.with_split(feats.where("next_load_delta IS NOT NULL")).where("split = 'train'"), by=["compound"]).collect()}
+    for r in out.groupBy("compound").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")).collect():
+        lo, hi = bounds[r["compound"]]["weight"]
+        assert lo <= r["lo"] and r["hi"] <= hi
