@@ -112,6 +112,14 @@ def delta_comparison(df: DataFrame) -> DataFrame:
                         direction("delta").alias("direction"))
 
 
+def route_then_refresh(last: DataFrame, quality: DataFrame, scores: DataFrame, calibration: DataFrame,
+                       audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """R2: route on the gate as it stands in the snapshot ``quality``, and refresh
+    the gate from the audit log for the next run. Returns both tables."""
+    from liftlake.operators.quality import refresh_quality
+    return route(last, quality, scores, calibration), refresh_quality(quality, audit)
+
+
 def log_newest_sessions(sessions: DataFrame, rule: RuleParams = RuleParams(),
                         reason: str = "normal") -> DataFrame:
     """R4 in batch: treat each key's newest session as the one being logged.

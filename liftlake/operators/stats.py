@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import stable_round
@@ -84,7 +84,7 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
                               threshold: float = 0.15) -> DataFrame:
     """A20 (re-aimed): mutual information (nats) of each feature with the
     target after equal-frequency binning (cut points = exact quantiles i/bins),
-    sorted descending, ``selected`` when >= threshold. Not the kNN estimator.
+    ranked descending (``mi_rank``), ``selected`` when >= threshold. Not the kNN estimator.
 
     Bin counts are a grouped aggregate (features x bins^2 rows), so the work
     is one pass over the data plus one small fit."""
@@ -103,7 +103,6 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
     long = (df.where(F.col(target).isNotNull()).select(bin_of(target).alias("by"), F.inline(pairs))
             .where(F.col("ok")))
     cell = long.groupBy("feature", "bx", "by").agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
     wf = Window.partitionBy("feature")
     cell = cell.withColumns({
         "_t": F.sum("n").over(wf),
@@ -113,14 +112,15 @@ def binned_mutual_information(df: DataFrame, features: list[str], target: str, b
     p = F.col("n") / F.col("_t")
     term = p * F.log(F.col("n") * F.col("_t") / (F.col("_nx") * F.col("_ny")))
     mi = cell.groupBy("feature").agg(F.sum(term).alias("mi"))
-    return mi.select("feature", stable_round("mi", 6).alias("mi"), (F.col("mi") >= threshold).alias("selected"))
+    out = mi.select("feature", stable_round("mi", 6).alias("mi"), (F.col("mi") >= threshold).alias("selected"))
+    # SL3: one row per feature, so one task ranks a bounded table
+    return out.withColumn("mi_rank", F.row_number().over(Window.orderBy(F.desc("mi"), "feature")).cast("long"))
 
 
 def history_slice_stats(periodized: DataFrame, n: int = 14) -> DataFrame:
     """Per key over its newest ``n`` sessions: weight range, mean RPE and
     the range of the session-to-session change inside the slice (the slice's
     first row counts as 0). The slice is bounded, so its window is cheap."""
-    from pyspark.sql import Window
     from liftlake.operators.sequence import last_n
     from liftlake.schema import KEY
     sl = last_n(periodized, n, rank_col="_rr")

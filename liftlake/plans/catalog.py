@@ -6,6 +6,8 @@ work grows with the data. Names carry the SURVEY §2 operator id.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -701,6 +703,44 @@ FROM ev GROUP BY 1, 2""")(
     lambda spark, d: C.uplift_report(_scored(spark, d)).select(
         *KEY, "held_out", *[_r(c).alias(c) for c in ["mae_raw", "mae_calibrated", "rmse_raw", "rmse_calibrated"]]))
 
+# R2: the gate snapshot of a run knows no audit of the key's three newest sessions.
+_GATE_BLOCK = _GATE_SQL[_GATE_SQL.index(", recent AS"):]
+
+
+def _gate_block(suffix, audit, ledger):
+    named = re.sub(r"\b(recent|g|s|s2|refreshed)\b", rf"\1{suffix}", _GATE_BLOCK)
+    return re.sub(r"\bledger\b", ledger, re.sub(r"\baudit_done\b", audit, named))
+
+
+_R2_SQL = (_AUDIT_CTES + _LEDGER_SQL + """
+, audit_old AS (
+  SELECT * EXCLUDE (rr0) FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, compound ORDER BY ts DESC, event_id DESC) AS rr0 FROM audit_done)
+  WHERE rr0 > 3)
+""" + _gate_block("_t0", "audit_old", "ledger") + _gate_block("_t1", "audit_done", "refreshed_t0")
+    + _R1_SQL[len(_GATE_SQL):].replace("JOIN refreshed q", "JOIN refreshed_t0 q"))
+
+
+def _route_then_refresh(spark, d):
+    sessions, audit = A.sessions(spark, d), A.session_audit(spark, d)
+    newest = sequence.last_n(audit, 3).select("event_id")
+    before = quality.refresh_quality(_ledger(spark, d), audit.join(newest, "event_id", "left_anti"))
+    last = sequence.last_per_key(sessions, cols=["weight", "reps", "rpe"]).select(
+        *KEY, "session_count", F.col("weight").alias("last_weight"), F.col("reps").alias("last_reps"), F.col("rpe").alias("last_rpe"))
+    routed, after = recommend.route_then_refresh(last, before, C.next_scores(sessions), _calib(spark, d), audit)
+    return routed.join(after.select(*KEY, F.col("model_enabled").alias("enabled_next")), list(KEY)).select(
+        *KEY, "session_count", "model_enabled", "source", _r("recommended_weight").alias("recommended_weight"), "enabled_next")
+
+
+register("r2_route_then_refresh", _R2_SQL + """
+SELECT r.user_id, r.compound, r.n AS session_count, r.enabled AS model_enabled,
+       CASE WHEN n = 0 THEN 'insufficient_data' WHEN n <= 15 AND NOT enabled THEN 'rule_based'
+            WHEN model_ok THEN 'model' ELSE 'rule_based' END AS source,
+       round(CASE WHEN n = 0 THEN NULL WHEN n <= 15 AND NOT enabled THEN rule_w
+                  WHEN model_ok THEN last_weight + adjusted ELSE rule_w END, 6) AS recommended_weight,
+       a.model_enabled AS enabled_next
+FROM routed r JOIN refreshed_t1 a ON r.user_id = a.user_id AND r.compound = a.compound""")(_route_then_refresh)
+
 _R4_RULE = S.rule_sql("p.weight", "p.reps", "p.rpe")
 register("r4_log_sessions", S.with_ctes(S.SESSIONS) + f"""
 , ranked AS (
@@ -885,9 +925,10 @@ _MI_SQL = _PERIOD_SQL + f"""
 , cell2 AS (
   SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bx) AS nx,
          sum(n) OVER (PARTITION BY feature, bin_y) AS ny FROM cell)
+SELECT *, row_number() OVER (ORDER BY mi DESC, feature) AS mi_rank FROM (
 SELECT feature, round(sum(CAST(n AS DOUBLE) / t * ln(CAST(n AS DOUBLE) * t / (nx * ny))), 6) AS mi,
        sum(CAST(n AS DOUBLE) / t * ln(CAST(n AS DOUBLE) * t / (nx * ny))) >= 0.15 AS selected
-FROM cell2 GROUP BY feature"""
+FROM cell2 GROUP BY feature)"""
 register("a20_mutual_information", _MI_SQL)(
     lambda spark, d: ST.binned_mutual_information(_periodized(spark, d), _MI_FEATURES, "next_load_delta"))
 
@@ -1002,6 +1043,24 @@ FROM audit""")(
     lambda spark, d: clean.validate_sessions(A.session_audit(spark, d), DEVIATION_REASONS)
     .select(*KEY, "event_id", "reject_reason"))
 
+register("pf20_j9_event_accounting", S.with_ctes(S.SESSIONS, S.AUDIT) + f"""
+, judged AS (
+SELECT event_id,
+       CASE WHEN weight IS NULL OR weight <= 0 THEN 'weight_not_positive'
+            WHEN reps IS NULL OR reps <= 0 THEN 'reps_not_positive_integer'
+            WHEN rpe IS NULL OR rpe < 1 OR rpe > 10 THEN 'rpe_out_of_range' ELSE 'accepted' END AS outcome FROM audit)
+SELECT e.event_type, COALESCE(j.outcome, 'unmapped') AS outcome, count(*) AS events
+FROM events e LEFT JOIN judged j ON e.event_id = j.event_id GROUP BY 1, 2""")(
+    lambda spark, d: _event_accounting(spark, d))
+
+
+def _event_accounting(spark, d):
+    """Every event: accepted, rejected for a reason, or of a type that is no lift."""
+    judged = clean.validate_sessions(A.session_candidates(spark, d).withColumn("deviation_reason", F.lit("normal")), DEVIATION_REASONS)
+    outcome = F.when(F.col("compound").isNull(), F.lit("unmapped")).otherwise(F.coalesce("reject_reason", F.lit("accepted")))
+    return judged.groupBy("event_type", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("events"))
+
+
 register("pf15_synthetic_date_spine", S.with_ctes(S.SESSIONS) + f"""
 SELECT user_id, compound, event_id,
        DATE '2024-01-01' + CAST(2 * (row_number() OVER ({_W}) - 1) AS INTEGER) AS date

@@ -28,10 +28,9 @@ def _event_k() -> F.Column:
     return F.get_json_object(F.col("props"), "$.k").cast("int")
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sessions(user_id, compound, ts, event_id, weight, reps, rpe, k)."""
-    ev = read_table(spark, sf_dir, "events").where(
-        F.col("event_type").isin([e for e, _ in EVENT_COMPOUND]))
+def session_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a session row, with its event_type; compound is null where the type is no lift."""
+    ev = read_table(spark, sf_dir, "events")
     compound = None
     for e, c in EVENT_COMPOUND:
         compound = (F.when(F.col("event_type") == e, F.lit(c)) if compound is None
@@ -43,7 +42,13 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 12 + 1).cast("int").alias("reps"),
         F.when(k % 10 == 0, F.lit(None).cast("double"))
          .otherwise(F.lit(5.0) + (k % 11).cast("double") * F.lit(0.5)).alias("rpe"),
-        k.alias("k"))
+        k.alias("k"), "event_type")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sessions(user_id, compound, ts, event_id, weight, reps, rpe, k): the events that are lifts."""
+    lifts = F.col("event_type").isin([e for e, _ in EVENT_COMPOUND])
+    return session_candidates(spark, sf_dir).where(lifts).drop("event_type")
 
 
 def session_audit(spark: SparkSession, sf_dir: str, pending_newest: int = 0) -> DataFrame:

@@ -118,14 +118,15 @@ def sessions_stream(spark: SparkSession, sf_dir: str, max_files: int | None = No
 
 
 def run_to_table(stream_df: DataFrame, name: str, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """Drive a stream to completion (availableNow) into a memory table."""
+    """Drive a stream to completion (availableNow) into a Parquet table in the
+    shared folder and read it back: the result never passes the driver."""
     import uuid
-    name = f"{name}_{uuid.uuid4().hex[:8]}"
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
-    q = (stream_df.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    root = os.path.join(checkpoint_dir(spark), "streams", f"{name}_{uuid.uuid4().hex[:8]}")
+    out = os.path.join(root, "table")
+    q = (stream_df.writeStream.format("parquet").outputMode("append").option("path", out)
+         .option("checkpointLocation", checkpoint or os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream_df.schema).parquet(out)
 
 
 # -- ST2 / ST3 ---------------------------------------------------------------------------

@@ -54,3 +54,18 @@ def test_gain_in_bounds_on_real_data(spark):
     st = C.calibrate(C.stand_in_scores(sessions(spark, "/root/testdata/sf0.001")))
     lo, hi = st.agg(F.min("a"), F.max("a")).first()
     assert 0.6 - 1e-12 <= lo and hi <= 1.4 + 1e-12
+
+
+def test_routing_sees_the_gate_of_the_snapshot(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["r2_route_then_refresh"](spark, "/root/testdata/sf0.01").collect()
+    flips = [r for r in rows if r["model_enabled"] != r["enabled_next"]]
+    assert flips and all(r["source"] != "model" for r in flips if not r["model_enabled"])
+
+
+def test_every_event_is_accounted_for(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["pf20_j9_event_accounting"](spark, "/root/testdata/sf0.01").collect()
+    assert sum(r["events"] for r in rows) == 10_000 and {"accepted", "unmapped", "rpe_out_of_range"} <= {r["outcome"] for r in rows}
