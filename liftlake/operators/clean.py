@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import nan_to_null, normalize_exercise, stable_round, strip_ws
@@ -118,12 +118,14 @@ def align_to(df: DataFrame, columns: Sequence[str], fill=0) -> DataFrame:
     return df.select(*[F.col(c) if c in df.columns else F.lit(fill).alias(c) for c in columns])
 
 
-def synthetic_dates(df: DataFrame, key: Sequence[str], order: Sequence[str],
-                    start: str = "2024-01-01", every_days: int = 2) -> DataFrame:
-    """PF15: a date spine per key: start, start + every_days, ..."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn("date", F.date_add(F.to_date(F.lit(start)),
-                                            ((F.row_number().over(w) - 1) * every_days).cast("int")))
+def synthetic_dates(df: DataFrame, key: Sequence[str], order: Sequence[str], start: str = "2024-01-01",
+                    every_days: int = 2, hot_rows: int | None = None) -> DataFrame:
+    """PF15: a date spine per key: start, start + every_days, ... (hot keys are split)."""
+    from liftlake.operators.scan import KeyedScan
+    scan = KeyedScan.build(df, key, order, hot_rows)
+    out = scan.with_seq(scan.df, "_place")
+    days = ((F.col("_place") - 1) * every_days).cast("int")
+    return scan.finish(out.withColumn("date", F.date_add(F.to_date(F.lit(start)), days)).drop("_place"))
 
 
 def validate_sessions(df: DataFrame, reasons: Sequence[str]) -> DataFrame:

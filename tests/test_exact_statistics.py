@@ -79,3 +79,12 @@ def test_one_top_set_a_day(spark, hot):
 def test_accuracy_of_a_hopeless_fit_is_zero(spark):
     df = spark.createDataFrame([(100.0, 5e6), (100.0001, -5e6), (100.0, 5e6)], "y double, p double")
     assert quality.regression_metrics(df, "y", "p").first()["accuracy_pct"] == 0
+
+
+def test_date_spine_of_a_hot_key(spark):
+    from liftlake.operators import clean
+
+    df = spark.createDataFrame([(1, i // 3, i) for i in range(200)] + [(2, 5, 1)], "k long, t long, e long")
+    plain, split = (sorted(map(tuple, clean.synthetic_dates(df, ["k"], ["t", "e"], hot_rows=h).select("k", "e", "date").collect()))
+                    for h in (None, 30))
+    assert plain == split
