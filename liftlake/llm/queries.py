@@ -37,7 +37,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(table(spark, sf_dir, "documents")).drop("row")
+    return line_dedup.line_groups(table(spark, sf_dir, "documents"), wide=True).drop("row")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
