@@ -7,6 +7,9 @@ corpus, how much of it dictionary words cover, its path, and the words around
 it. A random forest trained on labelled findings then says which candidates are
 secrets.
 
+Values and names are taken whole, whatever their length; a name may be quoted and
+hold digits and hyphens, and a run of characters is searched from its start once.
+
 Transition counts and the dictionary are gathered from every document; the
 forest is trained on at most ``SAMPLE_ROWS`` labelled findings, chosen by keyed
 hash. Labels come from reviewed findings where there are some; ``format_labels``
@@ -46,8 +49,9 @@ PATH_BUCKETS = 16
 CANDIDATE = re.compile(
     rb"(?P<provider>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[0-9A-Za-z]{36}\b|\bxox[abprs]-[0-9A-Za-z-]{10,72}|\bAIza[0-9A-Za-z_-]{35})"
     rb"|(?P<pem>-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----)"
-    rb"|\b(?P<name>[A-Za-z_]{0,20}(?:password|passwd|secret|token|api_?key|access_?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<assigned>[^\s\"',;]{6,200})"
-    rb"|(?P<long>(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{16,512}(?![0-9A-Za-z+/_=-]))", re.IGNORECASE)
+    rb"|(?<![0-9A-Za-z+/_=-])(?P<name>[0-9A-Za-z+/_=-]*?(?:password|passwd|secret|token|(?:api|access|private)[_-]?key)(?:[_-]?key)?[0-9]*)"
+    rb"[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<assigned>[^\s\"',;]{6,})"
+    rb"|(?P<long>(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{16,}+)", re.IGNORECASE)
 _KINDS = ("provider", "pem", "assigned", "long")
 _WORD = re.compile(rb"[^\W\d_]+")
 _RANDOM = re.compile(rb"[0-9a-f]{12,}|[0-9A-Z]{16,}|[0-9A-Za-z+/_=-]{20,}")

@@ -1,6 +1,8 @@
 """Candidates, features and held-out accuracy of the secret scan."""
 
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -65,3 +67,36 @@ def test_edges(spark, make):
     out = s.scan(found, s.train(found))
     assert {"doc_id", "start", "length", "kind", "score", "is_secret"} <= set(out.columns)
     assert out.count() == sum(1 for _, t in pairs(docs) for _ in s.CANDIDATE.finditer((t or "").encode()))
+
+
+def found_in(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r.doc_id, r.kind, texts[r.doc_id].encode()[r.start:r.start + r.length].decode()) for r in s.findings(docs).collect())
+
+
+def test_values_and_names_are_taken_whole(spark):
+    key = "".join(chr(65 + k * 7 % 26) + str(k % 10) for k in range(1_000))
+    texts = [f"token={key[:300]}", f"see {key} there", '{"password": "x9Kq7Lm2"}', "api-key: x9Kq7Lm2", "secret_key = x9Kq7Lm2", "DB2_PASSWORD=x9Kq7Lm2",
+             "the_production_database_main_password=x9Kq7Lm2", "cmd=--password=x9Kq7Lm2", "a-" * 100_000]
+    want = [(0, "assigned", key[:300]), (1, "long", key), *[(k, "assigned", "x9Kq7Lm2") for k in range(2, 8)], (8, "long", "a-" * 100_000)]
+    assert found_in(spark, texts) == want
+
+
+def test_planted_secrets_and_lookalikes_labelled_by_how_they_were_made(spark):
+    rng = random.Random(6)
+    text = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    word = lambda: rng.choice("river garden window summer market bridge letter forest teacher history".split())
+    both = string.ascii_letters + string.digits
+    made = []
+    for k in range(240):
+        name = rng.choice(["api-key: ", '"password": "', "DB2_PASSWORD=", "secret_key = ", "token="])
+        made.append((k, f"set {name}{text(rng.choice([20, 40, 300]), both)}", 1.0))
+        made.append((k, f"set {rng.choice(['password: ', 'token='])}{word()}_{word()}", 0.0))
+        made.append((k, f"see {word()}-{word()}-{word()}-{word()} here", 0.0))
+        made.append((k, f"key {text(rng.choice([40, 700]), both)} end", 1.0))
+    docs = spark.createDataFrame([(i, t, y) for i, (_, t, y) in enumerate(made)], "doc_id long, text string, label double")
+    found = stored(s.findings(docs).join(docs.select("doc_id", "label"), "doc_id"), "planted")
+    assert {r.doc_id for r in found.filter("label = 1").collect()} == {i for i, m in enumerate(made) if m[2]}
+    held = found.filter("doc_id % 3 = 0")
+    rows = s.scan(held, s.train(found.filter("doc_id % 3 > 0"))).select("doc_id", "is_secret").collect()
+    assert sum(r.is_secret == bool(made[r.doc_id][2]) for r in rows) / len(rows) > 0.95
