@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import exact_dedup, line_dedup, mixing, packing, pii, quality_rules, secrets, sharding, simhash, warc
+from liftlake.llm import (exact_dedup, line_dedup, mixing, packing, periodic, pii, prefix_trie, quality_rules, secrets, sharding, simhash,
+                          url_rules, warc)
 from liftlake.llm.common import stored, table
 
 
@@ -67,6 +68,28 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(found, secrets.train(found))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
+
+
+#: The fixed rules of the registered query.
+URL_RULES = [url_rules.UrlRule("org", "/", "allow"), url_rules.UrlRule("example.org", "/es/", "block"),
+             url_rules.UrlRule("example.org", "/en/1", "block"), url_rules.UrlRule("com", "/fr/", "allow"),
+             url_rules.UrlRule("com", "/de/", "block")]
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge_urls(pages, URL_RULES, rules).select("row.page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +97,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_shards, op2_packing, op3_mixing, op4_quality_rules, op5_line_dedup, op6_simhash, op7_exact_dedup, op8_warc, op9_pii, op10_secret_scan, pipeline)}
+    op1_shards, op2_packing, op3_mixing, op4_quality_rules, op5_line_dedup, op6_simhash, op7_exact_dedup, op8_warc, op9_pii, op10_secret_scan,
+    op11_prefix_trie, op12_periodic_runs, op13_url_filter, pipeline)}
 
 ORACLE = {
     "op7_exact_dedup": """
