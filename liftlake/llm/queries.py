@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from liftlake.llm import (exact_dedup, line_dedup, mixing, packing, periodic, pii, prefix_trie, quality_rules, secrets, sharding, simhash,
+from liftlake.llm import (exact_dedup, line_dedup, mixing, oracles, packing, periodic, pii, prefix_trie, quality_rules, secrets, sharding, simhash,
                           url_rules, warc)
 from liftlake.llm.common import stored, table
 
@@ -100,19 +100,5 @@ QUERIES = {f.__name__: f for f in (
     op1_shards, op2_packing, op3_mixing, op4_quality_rules, op5_line_dedup, op6_simhash, op7_exact_dedup, op8_warc, op9_pii, op10_secret_scan,
     op11_prefix_trie, op12_periodic_runs, op13_url_filter, pipeline)}
 
-ORACLE = {
-    "op7_exact_dedup": """
-        WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents)
-        SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
-               doc_id = max(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256 FROM d
-    """,
-    "op8_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
-        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM p)
-        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
-               list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   1 + ((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), 'string_agg', '') AS payload_digest,
-               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> first_id THEN first_id END AS refers_to, true AS intact FROM f
-    """,
-}
+ORACLE = {"op7_exact_dedup": oracles.EXACT_DEDUP, "op8_warc": oracles.WARC, "op11_prefix_trie": oracles.PREFIX_TRIE,
+          "op12_periodic_runs": oracles.PERIODIC_RUNS, "op13_url_filter": oracles.URL_FILTER}

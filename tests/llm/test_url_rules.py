@@ -57,7 +57,7 @@ def sample_urls(n, seed=4):
     out = []
     for k in range(n):
         host = ".".join(rng.choices(["www", "blog", "m"], k=rng.randint(0, 1)) + [rng.choice(["alpha", "beta", "cheap-pills", "gamma"]), "example", rng.choice(["net", "com"])])
-        url = f"http://{host}/{rng.choice(['en', 'de', 'shop'])}/{k}{rng.choice(['', '.html'])}{rng.choice(['', '?ref=x', '?page=2&ref=x'])}"
+        url = f"http://{host}/{rng.choice(['en', 'de', 'shop'])}/{k}{rng.choice(['', '.html'])}{rng.choice(['', '', '', '?ref=x', '?page=2', '?page=2&ref=x'])}"
         t = plain_tokens(url)
         bad = "host:cheap-pills" in t or {"path:shop", "query:ref=x"} <= t or ("host:beta" in t and "path:de" in t and rng.random() < 0.7)
         out.append((url, rng.random() < 0.95 if bad else rng.random() < 0.03))
