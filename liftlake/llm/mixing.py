@@ -17,8 +17,9 @@ block: no window spans a source.
 
 Defined cases: a null source is a source of its own; a source without tokens is
 read once; null ids and repeated rows are documents like any other; a null text
-has no tokens; an empty table gives an empty result; other columns pass through
-``mix`` untouched.
+has no tokens and is read with its block, at least once; an empty table gives an
+empty result; other columns pass through ``mix`` untouched, whatever their names,
+but for those that it adds (``ADDED``), which replace the table's own.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ SECTIONS = 31                 # exponents tried in one pass of the bisection
 PASSES = 6                    # the exponent is known to 32 ** -6
 
 
+#: Columns that ``mix`` adds.
+ADDED = ("mix_tokens", "mix_doc", "mix_weight", "mix_epoch", "mix_start", "mix_block", "mix_order")
+
+
 def token_count(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
@@ -114,10 +119,11 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     mix_start (tokens of the source read before), mix_block (output block) and
     mix_order (sort key in the block). ``docs`` may bring ``measured``'s
     columns instead of the text. Whole rows move once, to their block."""
-    if "mix_tokens" not in docs.columns:
+    if "text" in docs.columns or not {"mix_tokens", "mix_doc"} <= set(docs.columns):
         docs = measured(docs)
-    names = docs.columns
-    rows = docs.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")))
+    names = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "mix_tokens", "mix_doc",
+                       F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("-")).alias("_source"))
     narrow = stored(rows.select("_source", "mix_tokens", "mix_doc"), "mix-tokens")
     totals = stored(narrow.groupBy("_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")), "mix-sources")
     exponent = find_exponent(totals, target_entropy, max_repeats)
@@ -141,7 +147,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     turns = turns.withColumn("_turn", _keyed("_epoch", "_block", seed=seed + 1))
     before = Window.partitionBy("_source", "_epoch").orderBy("_turn", "_block").rowsBetween(Window.unboundedPreceding, -1)
     first = F.col("_epoch") * F.col("_total") + F.coalesce(F.sum("_size").over(before), F.lit(0))
-    turns = turns.withColumn("_first", first).filter((F.col("_first") < F.col("_budget")) | (F.col("_total") == 0))
+    turns = turns.withColumn("_first", first)
+    # A block without tokens is read once, wherever the permutation puts it.
+    turns = turns.filter((F.col("_first") < F.col("_budget")) | ((F.col("_size") == 0) & (F.col("_epoch") == 0)))
 
     # Documents follow their blocks; a copy is read if it starts inside the budget.
     copies = _with_plan(rows, plan.select("_source", "_blocks", "mix_weight", "_budget")).withColumn("_block", block)
@@ -153,5 +161,5 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     blocks = max(1, -(-int(size) // OUTPUT_TOKENS))
     place = F.floor(F.col("mix_start") / F.greatest(F.col("_budget"), F.lit(1)) * blocks)
     return copies.select(
-        *names, "mix_weight", F.col("_epoch").alias("mix_epoch"), "mix_start",
+        *[F.col(f"row.`{c}`").alias(c) for c in names], "mix_tokens", "mix_doc", "mix_weight", F.col("_epoch").alias("mix_epoch"), "mix_start",
         F.least(place, F.lit(blocks - 1)).cast("long").alias("mix_block"), _keyed("mix_doc", "_epoch", seed=seed + 3).alias("mix_order"))

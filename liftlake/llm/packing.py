@@ -6,14 +6,16 @@ groups of about ``GROUP_TOKENS`` ids, and every group packs its pieces on its
 own: first-fit decreasing over a tournament tree of bin capacities. Groups are
 bounded, so their number and not their size grows with the corpus.
 
-Defined cases: a null text counts as empty and gives the separator alone; null
-ids and repeated rows are packed like any other; an empty table gives an empty
+Defined cases: a null text counts as empty and gives the separator alone; a text
+that holds an added token of the vocabulary gets that token's id, as the file says;
+null ids and repeated rows are packed like any other, each dealt on its own; an empty table gives an empty
 result; a text of any length is cut whole; other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,7 +59,6 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True      # their strings in a text are ordinary text
 
     def check(text: str) -> list[int]:
         return own.encode(text, add_special_tokens=False).ids
@@ -71,10 +72,16 @@ def tokenizer(path: str):
     import tiktoken
 
     special = {t["content"] for t in spec.get("added_tokens", [])}
+    marks = re.compile("|".join(map(re.escape, sorted(special))) or r"(?!)", re.IGNORECASE)
     letters = _byte_alphabet()
     ranks = {bytes(letters[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
     fast = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return fast.encode_ordinary, check
+
+    def encode(text: str) -> list[int]:
+        """The file's own handling wherever a text may hold one of its added tokens."""
+        return check(text) if marks.search(text) else fast.encode_ordinary(text)
+
+    return encode, check
 
 
 def _pieces(path: str, separator: int, length: int, with_ids: bool):
@@ -131,7 +138,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, sep
     asked, the ids. Sequences are padded to ``length``."""
     small_batches(docs.sparkSession)
     extra = ", ids array<int>" if with_ids else ""
-    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1)).alias("pick"))
+    source = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 63) - 1)).alias("pick"))
     pieces = stored(source.mapInArrow(_pieces(tokenizer_path, separator, length, with_ids), _PIECES + extra), "pieces")
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, -(-total // GROUP_TOKENS))

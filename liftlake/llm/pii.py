@@ -12,9 +12,10 @@ and kind alone, so equal values get equal pseudonyms in every document and
 different values different ones; ``reveal`` inverts it.
 
 Domains: cards keep length and separators, their check digit is recomputed;
-phone numbers keep the country code, in plan +1 the area and
-exchange codes never begin with 0; dates
-stay in 1900 to 2099; a mail address keeps its domain; an IBAN keeps its country.
+phone numbers keep the country code (of a number without separators, the listed
+code that it begins with), in plan +1 the area and exchange codes never begin with
+0; dates stay in 1900 to 2099; a mail address keeps its domain; an IBAN, which is
+as long as its country says, keeps its country.
 Invalid candidates and all other text stay as they are.
 
 Defined cases: a null text stays null; an empty text stays empty; null ids and
@@ -31,15 +32,34 @@ from liftlake.llm.common import let
 
 ROUNDS = 10
 
+# Length of an account number (IBAN) by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+
+# Telephone country codes of one and of two digits; all others have three.
+SHORT_CODES = ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 "
+               "60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98").split()
+
+
+def _iban_pattern() -> str:
+    """Each country's number by its length, in one piece or in groups of four."""
+    def of(length: int, countries: str) -> str:
+        fours, rest = divmod(length - 4, 4)
+        return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(of(*x) for x in IBAN_LENGTHS.items())})(?![A-Za-z0-9])"
+
+
 #: kind -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![/-]?[0-9])",
     "card": r"(?<![0-9+])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
-    "phone": r"(?<![0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ -](?:\([0-9]{1,4}\)[ -]?)?[0-9]{2,4}(?:[ -]?[0-9]{2,4}){1,3}"
-             r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "phone": r"(?<![0-9+])(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+(?!1[ .(-])[0-9]{1,3}[ -](?:\([0-9]{1,4}\)[ -]?)?[0-9]{1,4}(?:[ -]?[0-9]{2,4}){1,3}"
+             r"|\+[1-9][0-9]{6,14}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 ANY = "|".join(PATTERNS.values())
@@ -177,8 +197,13 @@ def _date(m: Column, key: str, invert: bool) -> Column:
 
 
 def _phone(m: Column, key: str, invert: bool) -> Column:
-    country = F.when(m.startswith("+"), F.regexp_extract(m, r"^\+([0-9]{1,3})(?=[ .(-])", 1)).otherwise("")
-    plain = F.when(m.startswith("+"), F.regexp_replace(m, r"^\+[0-9]{1,3}(?=[ .(-])", "")).otherwise(m)
+    def by_list(run: Column) -> Column:
+        """The country code: digits set apart by a separator, or the listed code that a longer run begins with."""
+        listed = [F.substring(run, 1, n) for n in (1, 2)]
+        return (F.when(F.length(run) <= 3, run).when(listed[0].isin(SHORT_CODES), listed[0]).when(listed[1].isin(SHORT_CODES), listed[1])
+                .otherwise(F.substring(run, 1, 3)))
+
+    country = F.when(m.startswith("+"), let(F.regexp_extract(m, r"^\+([0-9]+)", 1), by_list)).otherwise("")
 
     def out(national: Column, code: Column, rest: Column) -> Column:
         area, exchange, line = (F.substr(national, F.lit(s), F.lit(n)).cast("long") for s, n in ((1, 3), (4, 3), (7, 4)))
@@ -192,7 +217,10 @@ def _phone(m: Column, key: str, invert: bool) -> Column:
         head = F.when(code == "", F.lit("")).otherwise(F.concat(F.lit("+"), code))
         return let(new, lambda x: F.when(x.isNotNull(), F.concat(head, _refill(rest, x, "[0-9]"))))
 
-    return let(F.coalesce(country, F.lit("")), lambda c: let(plain, lambda p: let(_digits(p), lambda n: out(n, c, p))))
+    def national(code: Column) -> Column:
+        return F.when(code == "", m).otherwise(F.substr(m, F.length(code) + 2, F.length(m)))
+
+    return let(country, lambda c: let(national(c), lambda p: let(_digits(p), lambda n: out(n, c, p))))
 
 
 def _ssn(m: Column, key: str, invert: bool) -> Column:

@@ -89,7 +89,6 @@ def check_pieces(docs, length=2048, **options):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(vocabulary())
-    own.encode_special_tokens = True
     want = Counter()
     for i, t in pairs(docs):
         ids = np.array([*own.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -133,6 +132,24 @@ def test_packing_edges(spark, monkeypatch):
     assert packing.pack_documents(no_docs(spark), vocabulary()).count() == 0
 
 
+def test_added_tokens_in_a_text_get_their_ids(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b ", "<|ENDOFTEXT|>", "<|endoftext", "x " * 3000 + "<|endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check_pieces(docs)
+    ids = {r.doc_id: r.ids for r in packing.pack_documents(docs, vocabulary(), with_ids=True).collect() if r.start == 0}
+    assert ids[0] == [31373, 220, 50256, 995, 1] and ids[1] == [50256, 1]
+
+
+def test_repeated_rows_are_dealt_into_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 10_000)
+    docs = spark.createDataFrame([(1, "one two three " * 80)] * 300, "doc_id long, text string").repartition(3)
+    out = packing.pack_documents(docs, vocabulary()).collect()
+    sizes = Counter()
+    for r in out:
+        sizes[r.sequence_id // packing.BIN_SPAN] += r.length
+    assert len(sizes) > 4 and max(sizes.values()) < 30_000
+
+
 def test_other_vocabularies_use_their_own_library(spark):
     import public_tokenizers
 
@@ -173,6 +190,24 @@ def test_mix_repeats_small_sources_up_to_the_limit(spark, monkeypatch):
             at += n
 
 
+@pytest.mark.parametrize("seed", range(1, 6))
+def test_mix_keeps_documents_without_tokens_wherever_their_block_falls(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50_000)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 500)
+    rows = [(0, "w " * 300_000, "a"), *[(i, ("", None, " ")[i % 3], "a") for i in range(1, 3_001)], (3_001, "one word", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.doc_id for r in mixing.mix(docs, max_repeats=2.0, seed=seed).select("doc_id").collect()} == set(range(3_002))
+
+
+def test_mix_passes_columns_with_any_name(spark):
+    names = ["mix_tokens", "mix_start", "_source", "_block", "_epoch", "_budget", "_first", "_row", "row", "tokens"]
+    docs = spark.createDataFrame([(k, f"text {k}", "ab"[k % 2], *names) for k in range(20)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.mix(docs, max_repeats=1.0)
+    assert len(out.columns) == len(set(out.columns))
+    for r in out.collect():
+        assert all(r[n] == n for n in names if not n.startswith("mix_")) and r.mix_tokens == 2 and r.text == f"text {r.doc_id}"
+
+
 def test_exponent_by_brute_force(spark):
     totals = spark.createDataFrame([("a", 1_000), ("b", 10_000), ("c", 90_000), ("d", 0)], "s string, tokens long")
     p = np.array([1_000, 10_000, 90_000]) / 101_000
