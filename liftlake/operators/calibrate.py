@@ -59,12 +59,12 @@ def usable_window(scored: DataFrame, cfg: CalibrationConfig = CalibrationConfig(
 
 
 def fit_affine(window: DataFrame, cfg: CalibrationConfig = CalibrationConfig(),
-               x: str = "raw_pred", y: str = "y", total: DataFrame | None = None) -> DataFrame:
-    """Per key n, fitted (a, b) or NULLs when no fit is possible.
+               x: str = "raw_pred", y: str = "y", total: DataFrame | None = None, by: tuple = KEY) -> DataFrame:
+    """Per key (or ``by``) n, fitted (a, b) or NULLs when no fit is possible.
 
     ``available`` is n (window cadence) or the key's whole usable count
     (``cfg.cadence == 'total'``, pass ``total`` with key + available)."""
-    g = window.groupBy(*KEY).agg(
+    g = window.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(x).alias("_xmin"), F.max(x).alias("_xmax"),
         F.avg(y).alias("_ybar"), F.regr_slope(F.col(y), F.col(x)).alias("_slope"),
         F.regr_intercept(F.col(y), F.col(x)).alias("_icpt"))
@@ -73,7 +73,7 @@ def fit_affine(window: DataFrame, cfg: CalibrationConfig = CalibrationConfig(),
     a_raw = F.when(const, F.try_divide(F.col("_ybar"), F.col("_xmin") * 2.0)).otherwise(F.col("_slope"))
     b = F.when(const, F.col("_ybar") / 2.0).otherwise(F.col("_icpt"))
     a = F.least(F.greatest(a_raw, F.lit(cfg.gain_low)), F.lit(cfg.gain_high))
-    out = g.select(*KEY, "n", F.when(ok, a).alias("fit_a"), F.when(ok, b).alias("fit_b"))
+    out = g.select(*by, "n", F.when(ok, a).alias("fit_a"), F.when(ok, b).alias("fit_b"))
     if cfg.cadence == "total" and total is not None:
         out = out.join(total, list(KEY), "left")
     else:

@@ -1026,6 +1026,123 @@ register("st1_stream_session_ingest", _PERIOD_SQL + """
 SELECT user_id, compound, event_id, weight, load_delta FROM periodized""")(_st1)
 
 
+# Tables kept by streams (ST1 with rejects, ST2, ST3): the stored sessions come as a stream in ``STREAM_BATCHES`` time
+# slices; the oracle knows nothing of slices.
+STREAM_BATCHES = 2
+
+
+def _stream_root(spark):
+    import uuid
+    from liftlake.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def _streamed(job, spark, d, batches=None, **options):
+    """Tables of a streaming job after all sessions of ``d`` went through it."""
+    from liftlake.streaming import tables as ST
+    root = _stream_root(spark)
+    kept, step = getattr(ST, job)(spark, f"{root}/tables", **options)
+    ST.replay(A.sessions(spark, d).drop("k"), step, root, batches or STREAM_BATCHES)
+    return kept
+
+
+def _st1_accounting(spark, d, batches=None, **options):
+    kept = _streamed("ingest_sessions", spark, d, batches, **options)
+    return kept.outcomes().select(*KEY, "event_id", "outcome", "load_delta", "seq")
+
+
+register("st1_stream_accounting", S.with_ctes(S.SESSIONS) + f"""
+, judged AS (
+  SELECT *, CASE WHEN weight IS NULL OR weight <= 0 THEN 'weight_not_positive'
+                 WHEN reps IS NULL OR reps <= 0 THEN 'reps_not_positive_integer'
+                 WHEN rpe IS NULL OR rpe < 1 OR rpe > 10 THEN 'rpe_out_of_range' ELSE 'accepted' END AS outcome
+  FROM sessions)
+SELECT user_id, compound, event_id, outcome, COALESCE(weight - lag(weight) OVER ({_W}), 0.0::DOUBLE) AS load_delta,
+       row_number() OVER ({_W}) AS seq FROM judged WHERE outcome = 'accepted'
+UNION ALL SELECT user_id, compound, event_id, outcome, NULL, NULL FROM judged WHERE outcome <> 'accepted'""")(_st1_accounting)
+
+_ST2_SQL = S.with_ctes(S.SESSIONS) + f"""
+, ranked AS (SELECT *, row_number() OVER ({_W}) AS rr, lead(event_id) OVER ({_W}) AS next_id, lead(weight) OVER ({_W}) AS next_weight
+             FROM sessions)
+, logged AS (
+  SELECT n.user_id, n.compound, n.ts, n.event_id, n.weight, n.next_id, n.next_weight AS actual_weight, 'normal' AS deviation_reason,
+         CASE WHEN p.user_id IS NOT NULL THEN COALESCE(n.weight - p.weight, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS load_delta,
+         CASE WHEN p.user_id IS NOT NULL THEN 'rule_based' ELSE 'insufficient_data' END AS prediction_source,
+         CASE WHEN p.user_id IS NOT NULL THEN {_R4_RULE['suggested_weight']} END AS recommended_weight
+  FROM ranked n LEFT JOIN ranked p ON n.user_id = p.user_id AND n.compound = p.compound AND n.rr = p.rr + 1)
+, audit_done AS (
+  SELECT *, actual_weight - recommended_weight AS accuracy_delta,
+         CASE WHEN next_id IS NOT NULL THEN 'complete' ELSE 'pending' END AS prediction_status FROM logged)
+"""
+
+register("st2_stream_audit", _ST2_SQL + """
+SELECT user_id, compound, event_id, load_delta, prediction_source, recommended_weight, actual_weight, accuracy_delta, prediction_status
+FROM audit_done""")(lambda spark, d: _streamed("refresh_quality_stream", spark, d).view().select(
+    *KEY, "event_id", "load_delta", "prediction_source", "recommended_weight", "actual_weight", "accuracy_delta", "prediction_status"))
+
+register("st2_stream_quality", _ST2_SQL + _GATE_SQL[len(_AUDIT_CTES):].replace("FROM events)", "FROM sessions)") + """
+SELECT user_id, compound, session_count, round(model_mape, 6) AS model_mape, round(rule_mape, 6) AS rule_mape, model_enabled FROM refreshed""")(
+    lambda spark, d: _streamed("refresh_quality_stream", spark, d).quality.read().withColumns(
+        {"model_mape": _r("model_mape"), "rule_mape": _r("rule_mape")}))
+
+register("st3_stream_calibration", S.with_ctes(S.SESSIONS) + _SCORED + f"""
+, used AS (SELECT user_id, compound, raw_pred AS x, y, row_number() OVER ({_W}) AS u FROM scored WHERE raw_pred IS NOT NULL AND y IS NOT NULL)
+, firsts AS (SELECT user_id, compound, count(*) AS n, min(u) FILTER (WHERE x <> 0) AS z FROM used GROUP BY 1, 2)
+, points AS (
+  SELECT user_id, compound, n, unnest(list_filter([0, 10, 20, 30], lambda k: k = 0 OR greatest(z, 8) + k <= 32)) + greatest(z, 8) AS p
+  FROM firsts WHERE z IS NOT NULL)
+, each AS (
+  SELECT user_id, compound, p, min(x) AS xmin, max(x) AS xmax, avg(y) AS ybar, regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt
+  FROM points JOIN used USING (user_id, compound) WHERE p <= n AND u <= p AND u > p - 32 GROUP BY 1, 2, 3)
+, newest AS (SELECT *, count(*) OVER (PARTITION BY user_id, compound) AS runs,
+                    row_number() OVER (PARTITION BY user_id, compound ORDER BY p DESC) AS rr FROM each)
+SELECT k.user_id, k.compound,
+       round(CASE WHEN p IS NULL THEN 1.0::DOUBLE ELSE
+         least(greatest(CASE WHEN xmin = xmax THEN ybar / (xmin * 2.0::DOUBLE) ELSE slope END, 0.6::DOUBLE), 1.4::DOUBLE) END, 6) AS a,
+       round(CASE WHEN p IS NULL THEN 0.0::DOUBLE WHEN xmin = xmax THEN ybar / 2.0::DOUBLE ELSE icpt END, 6) AS b,
+       CAST(CASE WHEN p IS NULL THEN 0 ELSE least(p, 32) END AS INTEGER) AS last_calibrated_size, CAST(COALESCE(runs, 0) AS INTEGER) AS runs
+FROM (SELECT DISTINCT user_id, compound FROM sessions) k
+LEFT JOIN newest f ON f.user_id = k.user_id AND f.compound = k.compound AND f.rr = 1""")(
+    lambda spark, d: _round_state(_streamed("refresh_calibration_stream", spark, d).calibration()))
+
+
+# Retry-safe tables (IO6, IO7): every batch is written twice, as after a lost driver; the oracle sees it once.
+def _upserted(spark, d):
+    from liftlake.sources.buckets import BucketTable
+    prior = _prior_state(C.fit_affine(C.usable_window(_scored(spark, d))))
+    table = BucketTable(spark, f"{_stream_root(spark)}/calibration", "user_id bigint, compound string, a double, b double, last_calibrated_size int, runs int")
+    for batch, rows in enumerate((prior, _refit_with_state(spark, d).where("user_id % 3 = 0"))):
+        for _ in range(2):
+            table.upsert(rows, batch)
+    return table.read()
+
+
+register("io7_bucket_upsert", S.with_ctes(S.SESSIONS) + _SCORED + """
+, state AS (
+  SELECT user_id, compound, 1.1::DOUBLE AS a, 0.5::DOUBLE AS b, 2 AS runs, fit_a, fit_b, n,
+         CAST(CASE WHEN user_id % 2 = 0 THEN n - 10 ELSE n - 3 END AS INTEGER) AS last_calibrated_size
+  FROM fit2)
+, judged AS (
+  SELECT *, COALESCE(user_id % 3 = 0 AND fit_a IS NOT NULL
+                     AND (last_calibrated_size = 0 OR n - last_calibrated_size >= 10), false) AS go FROM state)
+SELECT user_id, compound, CASE WHEN go THEN round(fit_a, 6) ELSE a END AS a, CASE WHEN go THEN round(fit_b, 6) ELSE b END AS b,
+       CASE WHEN go THEN CAST(n AS INTEGER) ELSE last_calibrated_size END AS last_calibrated_size,
+       CAST(runs + CAST(go AS INTEGER) AS INTEGER) AS runs
+FROM judged""")(_upserted)
+
+
+def _appended(spark, d):
+    from liftlake.sources.buckets import BatchLog
+    rows = QUERIES["io6_prediction_log"](spark, d)
+    log = BatchLog(spark, f"{_stream_root(spark)}/predictions", rows.schema)
+    for batch in (0, 1, 0, 1):
+        log.write(rows.where(F.col("id") % 2 == batch), batch)
+    return log.read()
+
+
+QUERIES["io6_append_retried"], ORACLE["io6_append_retried"] = _appended, ORACLE["io6_prediction_log"]
+
+
 # ---------------------------------------------------------------------------
 # Remaining projections / top-k / set operations (PF15, PF20, PF22, SL2, SO2)
 # ---------------------------------------------------------------------------
