@@ -1013,6 +1013,65 @@ register("m9_model_comparison")(lambda spark, d: ML.compare_models(_prepared(spa
 register("m10_m11_cross_validation")(lambda spark, d: ML.cross_validate(_prepared(spark, d)))
 
 
+# Linear models from normal equations (M9, M10, M11): the next load delta from the lagged-mean gap and the repetitions.
+from liftlake.operators import least_squares as LS  # noqa: E402
+
+_XS = ("raw_pred", "reps")
+
+
+def _folded(spark, d):
+    scored = _scored(spark, d).where("raw_pred IS NOT NULL AND y IS NOT NULL AND reps IS NOT NULL")
+    return ML.contiguous_folds(scored)
+
+
+_FOLDS_SQL = S.with_ctes(S.SESSIONS) + _SCORED + f"""
+, folded AS (
+  SELECT compound, raw_pred AS u, CAST(reps AS DOUBLE) AS v, y,
+         (5 * (row_number() OVER ({_W}) - 1)) // count(*) OVER (PARTITION BY user_id, compound) AS fold
+  FROM scored WHERE raw_pred IS NOT NULL AND y IS NOT NULL AND reps IS NOT NULL)
+"""
+
+
+def _ols_sql(rows: str, group: str) -> str:
+    """Two-feature least squares of ``rows`` by Cramer's rule."""
+    return f"""SELECT {group}, n_train, mu, mv, my, bu, bv, my - bu * mu - bv * mv AS b0 FROM (
+      SELECT *, (cuy * cvv - cvy * cuv) / (cuu * cvv - cuv * cuv) AS bu, (cvy * cuu - cuy * cuv) / (cuu * cvv - cuv * cuv) AS bv FROM (
+        SELECT {group}, count(*) AS n_train, avg(u) AS mu, avg(v) AS mv, avg(y) AS my, var_pop(u) AS cuu, var_pop(v) AS cvv,
+               covar_pop(u, v) AS cuv, covar_pop(y, u) AS cuy, covar_pop(y, v) AS cvy FROM {rows} GROUP BY {group}))"""
+
+
+_CV_SQL = _FOLDS_SQL + f"""
+, others AS (SELECT f.compound, k.fold AS held, u, v, y FROM folded f JOIN (SELECT DISTINCT fold FROM folded) k ON f.fold <> k.fold)
+, model AS ({_ols_sql("others", "compound, held")})
+, folds AS (
+  SELECT f.compound, CAST(f.fold AS INTEGER) AS fold, any_value(n_train) AS n_train, count(*) AS n_test,
+         sqrt(avg((y - b0 - bu * u - bv * v) ** 2)) AS rmse, 1.0::DOUBLE - sum((y - b0 - bu * u - bv * v) ** 2) / (var_pop(y) * count(*)) AS r2
+  FROM folded f JOIN model m ON m.compound = f.compound AND m.held = f.fold GROUP BY 1, 2)
+"""
+
+register("m10_linear_folds", _CV_SQL + """
+SELECT compound, fold, n_train, n_test, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM folds""")(
+    lambda spark, d: LS.cross_validated(_folded(spark, d), ["compound"], _XS, "y").select(
+        "compound", "fold", "n_train", "n_test", _r("rmse").alias("rmse"), _r("r2").alias("r2")))
+
+register("m11_linear_cv_gate", _CV_SQL + """
+SELECT compound, round(avg(r2), 6) AS cv_r2_mean, round(stddev_pop(r2), 6) AS cv_r2_std, count(*) AS folds,
+       COALESCE(avg(r2) >= 0.0::DOUBLE AND stddev_pop(r2) <= 0.5::DOUBLE, false) AS accepted FROM folds GROUP BY 1""")(
+    lambda spark, d: ML.gate_cv(LS.cross_validated(_folded(spark, d), ["compound"], _XS, "y")).withColumns(
+        {"cv_r2_mean": _r("cv_r2_mean"), "cv_r2_std": _r("cv_r2_std")}))
+
+register("m9_linear_scores", _FOLDS_SQL + f"""
+, train AS (SELECT * FROM folded WHERE fold < 4)
+, model AS ({_ols_sql("train", "compound")})
+SELECT f.compound, CASE WHEN fold < 4 THEN 'train' ELSE 'valid' END AS split, count(*) AS n, round(any_value(b0), 6) AS intercept,
+       round(any_value(bu), 6) AS b_raw_pred, round(any_value(bv), 6) AS b_reps,
+       round(sqrt(avg((y - b0 - bu * u - bv * v) ** 2)), 6) AS rmse,
+       round(1.0::DOUBLE - sum((y - b0 - bu * u - bv * v) ** 2) / (var_pop(y) * count(*)), 6) AS r2
+FROM folded f JOIN model m ON m.compound = f.compound GROUP BY 1, 2""")(
+    lambda spark, d: LS.split_scores(_folded(spark, d), ["compound"], _XS, "y", F.col("fold") == 4).withColumns(
+        {c: _r(c) for c in ("intercept", "b_raw_pred", "b_reps", "rmse", "r2")}))
+
+
 # ---------------------------------------------------------------------------
 # Step 8: streaming (ST1): stream == batch W1
 # ---------------------------------------------------------------------------
