@@ -116,8 +116,9 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
     rows = stored(labelled.filter("block IS NOT NULL").select(tokens(F.col("url")).alias("items"), "block"), "labelled")
     total, blocked = rows.agg(F.count("*"), F.sum(F.col("block").cast("long"))).first()
     least = max(min_rows, min_support * (total or 0), 1)
+    none = spark.createDataFrame([], "rule_id long, items array<string>, key string, confidence double, support double")
     if (blocked or 0) < least:
-        return spark.createDataFrame([], "rule_id long, items array<string>, key string, confidence double, support double")
+        return none
     # A token of fewer than ``least`` blocked URLs is in no rule, and one of all URLs changes no confidence: leave both out before mining.
     counts = rows.select(F.explode("items").alias("token"), "block").groupBy("token").agg(
         F.count("*").alias("n"), F.sum(F.col("block").cast("long")).alias("b"))
@@ -128,6 +129,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
     transactions = baskets.select(F.concat("tokens", F.array(F.when(F.col("block"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))).alias("items"))
     # The model's support is a share of the transactions it sees; URLs without a usable token are in none.
     seen = transactions.count()
+    if seen < least:
+        return none
     model = FPGrowth(minSupport=(math.ceil(least) - 0.5) / max(seen, 1), minConfidence=min_confidence).fit(transactions)
     mined = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & ~F.array_contains("antecedent", ALLOW))
     mined = stored(mined.select(F.array_sort("antecedent").alias("items"), "confidence", (F.col("support") * seen / total).alias("support")), "mined")

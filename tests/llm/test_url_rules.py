@@ -119,3 +119,10 @@ def test_empty_tables_and_query(spark):
     assert url_rules.judge_urls(none, queries.URL_RULES, url_rules.mine(spark.createDataFrame([], "url string, block boolean"))).count() == 0
     out = queries.op13_url_filter(spark, tiny("0.01"))
     assert out.columns == ["page_id", "host", "path", "rule", "verdict"] and out.filter(F.col("verdict").isNull()).count() == 0
+
+
+def test_few_usable_urls_give_no_rule(spark):
+    rows = [(f"http://h{k}.a/{k}", True) for k in range(12)] + [(f"http://g{k}.b/x/{k}", False) for k in range(3)]
+    assert url_rules.mine(spark.createDataFrame(rows, "url string, block boolean"), min_support=0, min_rows=12).count() in (0, 1)
+    assert url_rules.mine(spark.createDataFrame([(f"http://h{k}/{k}", True) for k in range(12)], "url string, block boolean")).count() == 0
+    assert queries.op13_url_filter(spark, tiny("0.001")).count() > 0
