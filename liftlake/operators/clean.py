@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import nan_to_null, normalize_exercise, stable_round, strip_ws
 from liftlake.schema import EXPORT_COLUMNS, EXPORT_NUMERIC, EXPORT_STRINGS
+from liftlake.session import broadcast_checked, stored
 
 # Columns that identify a set row in appearance order (tie-break of every sort).
 APPEARANCE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
@@ -68,10 +69,10 @@ def rpe_lookup(df: DataFrame, by: str = "exercise_name") -> DataFrame:
 
 
 def impute_rpe(df: DataFrame, lookup: DataFrame, by: str = "exercise_name") -> DataFrame:
-    """Fill missing RPE from the lookup (left join; AQE broadcasts it when
-    its measured size is small)."""
+    """Fill missing RPE from the lookup (left join). The sets keep their
+    place when the lookup's measured bytes allow a broadcast."""
     has = "rpe" in df.columns
-    out = df.join(lookup, by, "left")
+    out = df.join(broadcast_checked(lookup), by, "left")
     rpe = F.coalesce(F.col("rpe"), F.col("rpe_mean")) if has else F.col("rpe_mean")
     return out.withColumn("rpe", rpe).drop("rpe_mean")
 
@@ -94,17 +95,18 @@ def union_common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def preprocess(export: DataFrame, source_col: str = "source") -> DataFrame:
-    """The baseline preparation (3.2) as one lazy plan.
+    """The baseline preparation (3.2).
 
     The ``full`` export keeps RPE and set order; the ``lite`` one lacks them,
     gets RPE imputed from the full export's per-exercise mean and set order
     from appearance; set features are computed after imputation; both are
-    concatenated on their common columns.
+    concatenated on their common columns. Both exports are cleaned in one pass
+    and stored; every later pass reads only its columns and its source.
     """
-    full = clean_export(export.where(F.col(source_col) == "full"))
-    lite_raw = export.where(F.col(source_col) == "lite").drop("RPE", "Set Order")
-    lite = assign_set_order(clean_export(lite_raw).drop("set_volume", "effective_load"))
-    lite = add_set_features(impute_rpe(lite, rpe_lookup(full)))
+    cleaned = stored(clean_export(export))
+    full = cleaned.where(F.col(source_col) == "full")
+    lite = drop_present(cleaned.where(F.col(source_col) == "lite"), ("rpe", "set_order", "set_volume", "effective_load"))
+    lite = add_set_features(impute_rpe(assign_set_order(lite), rpe_lookup(full)))
     return union_common(full, lite)
 
 

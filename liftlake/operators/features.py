@@ -111,14 +111,20 @@ def clip_columns(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: floa
 
 
 # -- A7 -------------------------------------------------------------------------------
-def drop_constant_rpe(df: DataFrame, col: str = "rpe", by: Sequence[str] = ()) -> DataFrame:
+def fit_varies(df: DataFrame, col: str = "rpe", by: Sequence[str] = ()) -> DataFrame:
+    """Whether ``col`` has more than one non-null value (min < max), one row per ``by`` group."""
+    return materialize(df.groupBy(*by).agg((F.coalesce(F.min(col) < F.max(col), F.lit(False))).alias("_varies")), force=True)
+
+
+def drop_constant_rpe(df: DataFrame, col: str = "rpe", by: Sequence[str] = (), varies: DataFrame | None = None) -> DataFrame:
     """Drop ``rpe`` when it has at most one distinct non-null value
     (min == max, checked in one cheap aggregate). With ``by`` the check is per
     group: groups where it is constant get NULL, and the column goes only
-    when it is constant in all of them."""
+    when it is constant in all of them. ``varies`` is the verdict of an earlier
+    fit (``fit_varies`` of the training rows), applied as it is."""
     if col not in df.columns:
         return df
-    spans = materialize(df.groupBy(*by).agg((F.coalesce(F.min(col) < F.max(col), F.lit(False))).alias("_varies")), force=True)
+    spans = fit_varies(df, col, by) if varies is None else varies
     if spans.where("_varies").isEmpty():
         return df.drop(col)
     if not by:
@@ -231,12 +237,14 @@ def session_features(periodized: DataFrame, key: Sequence[str] = ("user_id", "co
 
 
 def prepare(df: DataFrame, target: str = "next_load_delta", by: Sequence[str] = ("compound",),
-            drop: Sequence[str] = ("date",), bounds: DataFrame | None = None) -> DataFrame:
+            drop: Sequence[str] = ("date",), bounds: DataFrame | None = None,
+            varies: DataFrame | None = None) -> DataFrame:
     """M3: clip the feature columns and drop a constant RPE per compound, keep
-    the rows with a target. Raises when the target is absent."""
+    the rows with a target. ``bounds`` and ``varies`` are fits of other (training)
+    rows. Raises when the target is absent."""
     if target not in df.columns:
         raise ValueError(f"no column {target!r} to predict")
     out = clip_columns(materialize(df), CLIP_FEATURES, by=by, bounds=bounds)
-    out = drop_constant_rpe(out, by=by)
+    out = drop_constant_rpe(out, by=by, varies=varies)
     out = out.where(F.col(target).isNotNull())
     return out.drop(*[c for c in drop if c in out.columns])

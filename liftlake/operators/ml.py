@@ -4,9 +4,9 @@ One ``Pipeline`` per compound: mean imputation + standard scaling of the
 numeric features (M4), index + one-hot of categoricals with unknowns mapped
 to the all-zero vector (M5), and a random forest (M6). Every fit is a
 distributed job over that compound's rows; the compounds (and CV folds) are
-fitted as concurrent Spark jobs from a few driver threads (M7). Spark's forest bins continuous features and has no minimum
-split size, so its trees are not the reference's trees; parameters that do
-exist are kept.
+fitted as concurrent Spark jobs from a few driver threads (M7). Spark's forest bins continuous features, so its trees are
+not the reference's trees; the minimum split size that it lacks is applied to
+the fitted node table (``preparation.node_table``).
 """
 
 from __future__ import annotations
@@ -145,7 +145,8 @@ class CompoundModel:
         cat = tuple(c for c in feats if c in CATEGORICAL_FEATURES)
         num = tuple(c for c in feats if c not in cat)
         return cls(name=meta["model_name"], kind=meta["extra"]["kind"], numeric=num, categorical=cat,
-                   target=meta["target_column"], model=model, created_at=meta["created_at"])
+                   target=meta["target_column"], params=ForestParams(**meta["extra"]["params"]),
+                   overrides=meta["extra"]["overrides"], model=model, created_at=meta["created_at"])
 
 
 def _parallel(fn, items, workers: int | None = None):
@@ -167,17 +168,22 @@ def with_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
 def split_then_prepare(features: DataFrame, fraction: float = 0.8) -> DataFrame:
     """W18 first, then M3 with the clip bounds of the training rows: nothing
     fitted sees a validation row. Adds ``split``; only rows with a target."""
-    from liftlake.operators.features import fit_bounds, prepare
+    from liftlake.operators.features import fit_bounds, fit_varies, prepare
     split = materialize(with_split(features.where(F.col(TARGET).isNotNull()), fraction), force=True)
-    return materialize(prepare(split, bounds=fit_bounds(split.where(F.col("split") == "train"), by=("compound",))), force=True)
+    train = split.where(F.col("split") == "train")
+    return materialize(prepare(split, bounds=fit_bounds(train, by=("compound",)), varies=fit_varies(train, by=("compound",))),
+                       force=True)
 
 
 def train_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, kind: str | Sequence[str] = "rf",
-                   fraction: float = 0.8, min_targets: int = 10) -> tuple[DataFrame, dict[str, CompoundModel]]:
+                   fraction: float = 0.8, min_targets: int = 10,
+                   overrides: dict[str, dict] | None = None) -> tuple[DataFrame, dict[str, CompoundModel]]:
     """M14 (+M7, M13): per compound, fit on each key's first 80 % and report
     MAE / MSE / RMSE / R^2 on train and validation rows. ``features`` are
     session features before M3. Compounds with fewer than ``min_targets``
-    training rows are not fitted: one row with ``status`` = 'skipped'."""
+    training rows are not fitted: one row with ``status`` = 'skipped'.
+    ``overrides`` are forest settings per compound (M7)."""
+    overrides = COMPOUND_OVERRIDES if overrides is None else overrides
     kinds = [kind] if isinstance(kind, str) else list(kind)
     split = split_then_prepare(features, fraction)
     train_rows = split.where(F.col("split") == "train").groupBy("compound").count()
@@ -186,7 +192,7 @@ def train_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, ki
     def fit_one(task):
         comp, k = task
         part = split.where(F.col("compound") == comp)
-        model = CompoundModel(name=comp, kind=k, overrides=COMPOUND_OVERRIDES.get(comp, {}) if k == "rf" else {}).fit(
+        model = CompoundModel(name=comp, kind=k, overrides=overrides.get(comp, {}) if k == "rf" else {}).fit(
             part.where(F.col("split") == "train"))
         return task, model, model.evaluate(part, ["split"]).withColumns(
             {"compound": F.lit(comp), "model": F.lit(k), "status": F.lit("fitted")})
@@ -212,6 +218,48 @@ def compare_models(features: DataFrame, compounds: Sequence[str] = COMPOUNDS) ->
     return report.join(best.select("compound", "model", rank.alias("model_rank")), ["compound", "model"])
 
 
+def node_report(features: DataFrame, overrides: dict[str, dict] | None = None, min_split: int = 8,
+                compounds: Sequence[str] = COMPOUNDS) -> DataFrame:
+    """M6 + M7 + M14 by their invariants, one row per fitted compound: rows and split,
+    trees, and whether the node table scores as the fitted model does, no split
+    kept under the minimum split size is below it, depth and leaf sizes
+    are as set, and all metrics are finite."""
+    from liftlake.operators import preparation as P
+    from liftlake.session import checkpoint_dir
+    import uuid
+    spark = features.sparkSession
+    prepared = split_then_prepare(features)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/liftlake-forests/{uuid.uuid4().hex}"
+
+    def one(comp):
+        part = prepared.where(F.col("compound") == comp)
+        train = part.where(F.col("split") == "train")
+        if train.count() < 10:
+            return None
+        model = CompoundModel(name=comp, overrides=(overrides or {}).get(comp, {})).fit(train)
+        forest = model.model.stages[-1]
+        forest.write().overwrite().save(f"{root}/{comp}")
+        whole, kept = (P.node_table(spark, f"{root}/{comp}", m).collect() for m in (0, min_split))
+        scored = model.model.transform(_prep(part, model.numeric, model.categorical))
+        scored = P.score(P.score(scored, whole, name="_whole"), kept, name="_kept")
+        gap = F.abs(F.col("_whole") - F.col("prediction"))
+        err = F.col("_kept") - F.col(model.target)
+        r = scored.agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "valid").alias("n_valid"),
+                       F.max(gap).alias("gap"), F.avg(err * err).alias("mse")).first()
+        o = model.overrides
+        small = any(x["feature"] >= 0 and x["n_rows"] < min_split for x in P.reached(kept))
+        leaves = all(x["n_rows"] >= model.params.min_instances_per_node for x in P.reached(whole))
+        deep = max(t.depth for t in forest.trees) <= o.get("max_depth", model.params.max_depth)
+        return (comp, r["n_train"], r["n_valid"], forest.getNumTrees, r["gap"] <= 1e-9, not small, leaves, deep,
+                r["mse"] is not None and r["mse"] < float("inf"))
+
+    from liftlake.functions.scalar import local_table
+    names = ["compound", "n_train", "n_valid", "trees", "nodes_score_as_model", "splits_large_enough", "leaves_large_enough",
+             "depth_as_set", "finite"]
+    return local_table(spark, [r for r in _parallel(one, compounds) if r], names,
+                       ["string", "bigint", "bigint", "int"] + ["boolean"] * 5)
+
+
 def contiguous_folds(df: DataFrame, k: int = 5) -> DataFrame:
     """Fold id = contiguous block of each key's history (no shuffling)."""
     scan = KeyedScan.build(df, KEY, ORDER)
@@ -225,13 +273,14 @@ def cross_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, k:
                    max_mean_drop: float = 0.0, max_std: float = 0.5) -> DataFrame:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
     (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile)."""
-    from liftlake.operators.features import fit_bounds, prepare
+    from liftlake.operators.features import fit_bounds, fit_varies, prepare
     folded = materialize(contiguous_folds(features.where(F.col(TARGET).isNotNull()), k), force=True)
 
     def fit_fold(task):
         comp, f = task
         part = folded.where(F.col("compound") == comp)
-        part = prepare(part, bounds=fit_bounds(part.where(F.col("fold") != f), by=("compound",)))
+        rest = part.where(F.col("fold") != f)
+        part = prepare(part, bounds=fit_bounds(rest, by=("compound",)), varies=fit_varies(rest, by=("compound",)))
         model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
         # evaluate now: the fold's R^2 is a one-row result
         r = model.evaluate(part.where(F.col("fold") == f)).first()

@@ -7,24 +7,30 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.functions.scalar import stable_round
-from liftlake.session import materialize
+from liftlake.functions.scalar import local_table, stable_round
+from liftlake.session import materialize, stored
 
 
 def dataset_stats(df: DataFrame, session: Sequence[str] = ("user_id", "workout_name", "date")) -> DataFrame:
-    """A2: rows, workouts, exercises, distinct dates, mean sets per session."""
-    none_l, none_d = F.lit(None).cast("bigint"), F.lit(None).cast("double")
-    per_session = (df.where(F.col("workout_name").isNotNull() & F.col("date").isNotNull())
-                   .groupBy(*session).agg(F.count(F.lit(1)).alias("_n"))
-                   .agg(none_l.alias("rows"), none_l.alias("workouts"), none_l.alias("exercises"),
-                        none_l.alias("dates"), stable_round(F.avg("_n"), 6).alias("avg_sets_per_session")))
-    totals = df.agg(F.count(F.lit(1)).alias("rows"),
-                    F.countDistinct("workout_name").alias("workouts"),
-                    F.countDistinct("exercise_name").alias("exercises"),
-                    F.countDistinct(F.to_date("date")).alias("dates"),
-                    none_d.alias("avg_sets_per_session"))
-    # two one-row aggregates folded into one row (no join)
-    return totals.unionByName(per_session).agg(*[F.max(c).alias(c) for c in totals.columns])
+    """A2: rows, workouts, exercises, distinct dates, mean sets per session.
+
+    One scan and one shuffle: a row names its workout, exercise, day and
+    session, equal names are counted before the shuffle, and all figures are
+    counts over the distinct names. Null names are not counted; a session
+    without workout or date counts its rows only."""
+    kinds = {"workout": F.col("workout_name"), "exercise": F.col("exercise_name"), "day": F.to_date("date").cast("string")}
+    types = dict(df.dtypes)
+    nothing = [F.lit(None).cast(types[c]).alias(c) for c in session]
+    names = [F.struct(F.lit(k).alias("_kind"), v.alias("_name"), *nothing) for k, v in kinds.items()]
+    names.append(F.struct(F.lit("session").alias("_kind"), F.lit(None).cast("string").alias("_name"), *[F.col(c) for c in session]))
+    counted = df.select(F.inline(F.array(*names))).groupBy("_kind", "_name", *session).agg(F.count(F.lit(1)).alias("_n"))
+    is_session, named = F.col("_kind") == "session", F.col("_name").isNotNull()
+    whole = is_session & F.col("workout_name").isNotNull() & F.col("date").isNotNull()
+    return counted.agg(
+        F.coalesce(F.sum(F.when(is_session, F.col("_n"))), F.lit(0)).alias("rows"),
+        *[F.count_if((F.col("_kind") == k) & named).alias(c) for k, c in
+          (("workout", "workouts"), ("exercise", "exercises"), ("day", "dates"))],
+        stable_round(F.avg(F.when(whole, F.col("_n"))), 6).alias("avg_sets_per_session"))
 
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -34,50 +40,50 @@ def _is_numeric(dtype: str) -> bool:
     return dtype in NUMERIC or dtype.startswith("decimal")
 
 
+def _columns_table(df: DataFrame) -> DataFrame:
+    rows = [(i, c, t, _is_numeric(t)) for i, (c, t) in enumerate(df.dtypes)]
+    return local_table(df.sparkSession, rows, ["_i", "column_name", "dtype", "numeric"], ["int", "string", "string", "boolean"])
+
+
 def profile(df: DataFrame) -> DataFrame:
     """One row per column -- dtype, null count, non-null count and, for
-    numeric columns, mean, sample stddev, min, max. One aggregation pass."""
-    aggs, rows = [], []
-    for i, (c, t) in enumerate(df.dtypes):
-        x = F.col(f"`{c}`")
-        aggs += [F.count_if(x.isNull()).alias(f"n{i}"), F.count(x).alias(f"c{i}")]
-        if _is_numeric(t):
-            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                     F.min(x).cast("double").alias(f"lo{i}"), F.max(x).cast("double").alias(f"hi{i}")]
-            stats = [F.col(f"m{i}"), F.col(f"s{i}"), F.col(f"lo{i}"), F.col(f"hi{i}")]
-        else:
-            stats = [F.lit(None).cast("double")] * 4
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("dtype"),
-                             F.col(f"n{i}").alias("nulls"), F.col(f"c{i}").alias("non_null"),
-                             stats[0].alias("mean"), stats[1].alias("stddev"),
-                             stats[2].alias("min"), stats[3].alias("max")))
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    numeric columns, mean, sample stddev, min, max.
+
+    Grouped moments over the long form (column, value): one small aggregate
+    whatever the number of columns, combined before the shuffle."""
+    long = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(f"`{c}`").isNotNull().alias("_known"),
+                              (F.col(f"`{c}`") if _is_numeric(t) else F.lit(None)).cast("double").alias("_v"))
+                     for i, (c, t) in enumerate(df.dtypes)])
+    moments = df.select(F.inline(long)).groupBy("_i").agg(
+        F.count_if(~F.col("_known")).alias("nulls"), F.count_if("_known").alias("non_null"), F.avg("_v").alias("mean"),
+        F.stddev_samp("_v").alias("stddev"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    none = [F.coalesce(c, F.lit(0)).alias(c) for c in ("nulls", "non_null")]
+    return _columns_table(df).join(moments, "_i", "left").select("column_name", "dtype", *none, "mean", "stddev", "min", "max")
 
 
 def cardinality(df: DataFrame, small: int = 20) -> DataFrame:
     """Distinct count per column; the sorted values (as strings) for
-    columns with at most ``small`` distinct values. Exact distinct counts in
-    one pass; values collected only for the small columns (bounded)."""
-    df = materialize(df)
-    cols = df.dtypes
-    counts = df.agg(*[F.countDistinct(F.col(f"`{c}`")).alias(f"d{i}") for i, (c, _) in enumerate(cols)]).first()
-    small_cols = [(i, c) for i, (c, _) in enumerate(cols) if counts[f"d{i}"] <= small]
-    vals = {}
-    if small_cols:
-        r = df.agg(*[F.sort_array(F.collect_set(F.col(f"`{c}`").cast("string"))).alias(f"v{i}")
-                     for i, c in small_cols]).first()
-        vals = {i: r[f"v{i}"] for i, _ in small_cols}
-    from liftlake.functions.scalar import local_table
-    spark = df.sparkSession
-    base = local_table(spark, [(c, int(counts[f"d{i}"]), _is_numeric(t)) for i, (c, t) in enumerate(cols)],
-                       ["column_name", "distinct_count", "numeric"], ["string", "bigint", "boolean"])
-    pairs = [(c, v) for i, c in small_cols for v in vals[i]]
-    lists = (local_table(spark, pairs, ["column_name", "v"], ["string", "string"])
-             .groupBy("column_name").agg(F.sort_array(F.collect_list("v")).alias("_vals")))
-    return base.join(lists, "column_name", "left").select(
-        "column_name", "distinct_count", "numeric",
-        F.when(F.col("distinct_count") <= small,
-               F.coalesce(F.col("_vals"), F.array().cast("array<string>"))).alias("values"))
+    columns with at most ``small`` distinct values.
+
+    One shuffle of the distinct (column, value) pairs, stored; counts and lists
+    come from it. Values keep their type (doubles, whole numbers, text of the
+    rest), and lists are made of small columns only, so they are bounded."""
+    def cell(i, c, t):
+        x = F.col(f"`{c}`")
+        kind = "_d" if t == "double" else "_l" if t in ("bigint", "int", "smallint", "tinyint") else "_s"
+        return F.struct(F.lit(i).alias("_i"), *[(x if k == kind else F.lit(None)).cast(ty).alias(k)
+                                                for k, ty in (("_d", "double"), ("_l", "bigint"), ("_s", "string"))])
+
+    value = F.coalesce("_s", F.col("_l").cast("string"), F.col("_d").cast("string"))
+    long = df.select(F.inline(F.array(*[cell(i, c, t) for i, (c, t) in enumerate(df.dtypes)])))
+    distinct = stored(long.where("_d IS NOT NULL OR _l IS NOT NULL OR _s IS NOT NULL").distinct())
+    counts = distinct.groupBy("_i").agg(F.count(F.lit(1)).alias("distinct_count"))
+    few = F.broadcast(counts.where(F.col("distinct_count") <= small).select("_i"))   # at most one row a column
+    lists = distinct.join(few, "_i").groupBy("_i").agg(F.sort_array(F.collect_list(value)).alias("_vals"))
+    out = _columns_table(df).join(counts, "_i", "left").join(lists, "_i", "left")
+    n = F.coalesce("distinct_count", F.lit(0))
+    return out.select("column_name", n.alias("distinct_count"), "numeric",
+                      F.when(n <= small, F.coalesce("_vals", F.array().cast("array<string>"))).alias("values"))
 
 
 def binned_mutual_information(df: DataFrame, features: list[str], target: str, bins: int = 10,
@@ -145,6 +151,7 @@ def min_data_guards(df: DataFrame, order: list[str], compound: str = "compound",
     """Per compound, rows / top sets / top sets with a next top set, and
     whether training may proceed (else the first failed guard)."""
     from liftlake.operators.scan import KeyedScan
+    df = stored(df.select("user_id", compound, "set_order", "weight", *order))
     top = df.where((F.col("set_order") == 1) & F.col("weight").isNotNull() & F.col("date").isNotNull())
     scan = KeyedScan.build(top, ["user_id", compound], order)
     nxt = scan.finish(scan.with_lead1(scan.df, "weight", "_nxt"))

@@ -1013,6 +1013,58 @@ register("m9_model_comparison")(lambda spark, d: ML.compare_models(_prepared(spa
 register("m10_m11_cross_validation")(lambda spark, d: ML.cross_validate(_prepared(spark, d)))
 
 
+# Fitted preprocessing (M4, M5) and forest node tables (M6, M7, M14) on the training rows of the chronological split.
+from liftlake.operators import preparation as PR  # noqa: E402
+
+_SPLIT_SQL = _SESSION_FEATS_SQL + f"""
+, known AS (SELECT * FROM sf1 WHERE next_load_delta IS NOT NULL)
+, parted AS (
+  SELECT * EXCLUDE (slope0), slope0 AS rolling_trend_load,
+         CASE WHEN row_number() OVER ({_W}) <= floor(count(*) OVER (PARTITION BY user_id, compound) * 0.8::DOUBLE)
+              THEN 'train' ELSE 'valid' END AS split FROM known)
+, train AS (SELECT * FROM parted WHERE split = 'train')
+"""
+
+
+def _fitted_preparation(spark, d):
+    known = _prepared(spark, d).where(F.col(ML.TARGET).isNotNull())
+    train = ML.with_split(known).where(F.col("split") == "train")
+    out = PR.fit_preprocessing(train, ML.NUMERIC_FEATURES, ML.CATEGORICAL_FEATURES)
+    return out.withColumns({"mean": _r("mean"), "std": _r("std")})
+
+
+register("m4_m5_preprocessing_table", _SPLIT_SQL + " UNION ALL ".join(f"""
+SELECT compound, '{c}' AS column_name, round(avg({c}), 6) AS mean,
+       round(sqrt(var_pop({c}) * count({c}) / NULLIF(count(*) - 1, 0)), 6) AS std, CAST(NULL AS VARCHAR) AS category,
+       CAST(NULL AS INTEGER) AS category_index FROM train GROUP BY compound""" for c in ML.NUMERIC_FEATURES) + """
+UNION ALL
+SELECT compound, 'is_deload' AS column_name, NULL AS mean, NULL AS std, CAST(is_deload AS VARCHAR) AS category,
+       CAST(row_number() OVER (PARTITION BY compound ORDER BY count(*) DESC, CAST(is_deload AS VARCHAR)) - 1 AS INTEGER) AS category_index
+FROM train WHERE is_deload IS NOT NULL GROUP BY compound, is_deload""")(_fitted_preparation)
+
+# M7: one compound keeps a deliberately weak model
+_WEAK = {"seated_row": {"num_trees": 5, "max_depth": 2}}
+register("m6_m7_m14_forest_nodes", _SPLIT_SQL + """
+SELECT compound, count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'valid') AS n_valid,
+       CAST(CASE WHEN compound = 'seated_row' THEN 5 ELSE 100 END AS INTEGER) AS trees, true AS nodes_score_as_model,
+       true AS splits_large_enough, true AS leaves_large_enough, true AS depth_as_set, true AS finite
+FROM parted GROUP BY compound HAVING count(*) FILTER (WHERE split = 'train') >= 10""")(
+    lambda spark, d: ML.node_report(_prepared(spark, d), _WEAK))
+
+
+def _histories(spark, d):
+    """IO2: all histories written as range-partitioned files and read back."""
+    from liftlake.sources import store
+    root = _stream_root(spark)
+    store.write_histories(_periodized(spark, d).withColumn("user", F.col("user_id").cast("string")), root)
+    return store.read_partitioned_histories(spark, root)
+
+
+register("io2_history_round_trip", _PERIOD_SQL + """
+SELECT CAST(user_id AS VARCHAR) AS "user", compound, CAST(seq AS INTEGER) AS seq, weight, reps, rpe, load_delta
+FROM periodized""")(_histories)
+
+
 # Linear models from normal equations (M9, M10, M11): the next load delta from the lagged-mean gap and the repetitions.
 from liftlake.operators import least_squares as LS  # noqa: E402
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -89,3 +90,40 @@ def materialize(df, force: bool = False):
         return df
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_STORED: list[str] = []
+
+
+def stored(df):
+    """``df`` as a Parquet table in the shared checkpoint folder, read back.
+
+    For tables that several passes read in part: unlike a checkpoint the files are
+    columnar, so later passes read only their columns and filters reach the scan.
+    ``drop_stored`` deletes the tables of this process."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/liftlake-stored/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables ``stored`` has written; results that still read them must be done."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_checked(df, max_bytes: int = BROADCAST_BYTES):
+    """``df`` stored, with a broadcast hint when its measured size is at most
+    ``max_bytes`` (text length and 16 bytes a value); else a plain table, joined by shuffle."""
+    from pyspark.sql import functions as F
+    table = materialize(df, force=True)
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in table.columns), F.lit(0))
+    measured = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if measured <= max_bytes else table

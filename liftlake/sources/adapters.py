@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import local_table, nan_to_null
+from liftlake.operators.scan import null_safe_join
 from liftlake.schema import EXERCISES, KEY, ORDER, UNMAPPED_EXERCISES
 
 # event_type -> compound; 'error' rows are not sessions.
@@ -24,6 +25,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """A plain scan of fewer partitions than cores, dealt out by ``key``; a larger one as it is.
+
+    A file of one row group is read by one task, whatever follows in the same
+    stage. Such a table is small, so its shuffle is, and a join on ``key`` needs no other."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table
+
+
 def _event_k() -> F.Column:
     return F.get_json_object(F.col("props"), "$.k").cast("int")
 
@@ -65,16 +75,19 @@ def session_audit(spark: SparkSession, sf_dir: str, pending_newest: int = 0) ->
         rec.alias("recommended_weight"))
     status = F.lit("complete")
     if pending_newest:
+        # the newest few per key by a map-side limit, joined back on key and order: no key is ranked whole
         newest = Window.partitionBy(*KEY).orderBy(*[F.col(c).desc() for c in ORDER])
-        out = out.withColumn("_r", F.row_number().over(newest))
-        status = F.when(F.col("_r") <= pending_newest, F.lit("pending")).otherwise(status)
+        top = (s.select(*KEY, *ORDER).withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= pending_newest)
+               .select(*KEY, *ORDER, F.lit(True).alias("_pending")).distinct())
+        out = null_safe_join(out, top, [*KEY, *ORDER])
+        status = F.when(F.col("_pending"), F.lit("pending")).otherwise(status)
     done = status == "complete"
     out = out.withColumns({
         "actual_weight": F.when(done, F.col("weight")),
         "accuracy_delta": F.when(done, F.col("weight") - F.col("recommended_weight")),
         "prediction_status": status,
     })
-    return out.drop("_r") if pending_newest else out
+    return out.drop("_pending") if pending_newest else out
 
 
 def exercise_catalog() -> list[tuple[int, str, str]]:
@@ -94,7 +107,7 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     reps, rpe, distance, plus the lineitem columns that together identify a
     row (key, quantity, price, discount, flag) as the unique tie-break.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(read_table(spark, sf_dir, "lineitem"), "l_orderkey").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate",

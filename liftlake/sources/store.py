@@ -63,23 +63,22 @@ def read_histories(spark: SparkSession, root: str) -> DataFrame:
              .select("user", "compound", "seq", "weight", "reps", "rpe", "load_delta")
 
 
+_LONG_HISTORY = T.StructType([T.StructField("user", T.StringType()), T.StructField("compound", T.StringType()),
+                              T.StructField("seq", T.IntegerType()), *HISTORY_SCHEMA.fields])
+
+
 def write_histories(sessions: DataFrame, root: str, user_col: str = "user") -> None:
-    """Histories in the partitioned layout ``<root>/user=<u>/compound=<c>/``,
-    rows in sequence order (read back with ``read_partitioned_histories``)."""
-    (sessions.repartition(user_col, "compound").sortWithinPartitions(user_col, "compound", "seq")
-     .select(user_col, "compound", "weight", "reps", "rpe", "load_delta")
-     .write.mode("overwrite").option("header", True).partitionBy(user_col, "compound").csv(root))
+    """Histories of many users as range-partitioned CSV files with an explicit
+    ``seq``: the number of files follows the size of the data, not the number of
+    users, and no order has to be read off a file (see ``read_partitioned_histories``)."""
+    columns = [F.col(user_col).cast("string").alias("user"), *[F.col(f.name).cast(f.dataType) for f in _LONG_HISTORY.fields[1:]]]
+    (sessions.select(*columns).repartitionByRange("user", "compound", "seq").sortWithinPartitions("user", "compound", "seq")
+     .write.mode("overwrite").option("header", True).csv(root))
 
 
 def read_partitioned_histories(spark: SparkSession, root: str) -> DataFrame:
-    """Histories written by ``write_histories``; ``seq`` restored from file order."""
-    df = (spark.read.option("header", True).schema(HISTORY_SCHEMA).csv(root)
-          .withColumn("_path", F.col("_metadata.file_path"))
-          .withColumn("_row", F.monotonically_increasing_id()))
-    seq = F.row_number().over(Window.partitionBy("_path").orderBy("_row"))
-    return df.withColumn("seq", seq.cast("int")).withColumn("reps", F.col("reps").cast("int")) \
-             .select(F.col("user").cast("string").alias("user"), "compound", "seq", "weight", "reps", "rpe",
-                     "load_delta")
+    """Histories written by ``write_histories``: one scan, no window."""
+    return spark.read.option("header", True).schema(_LONG_HISTORY).csv(root).withColumn("reps", F.col("reps").cast("int"))
 
 
 # -- IO3 / IO4 ---------------------------------------------------------------------
