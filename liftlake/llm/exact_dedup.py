@@ -1,11 +1,11 @@
 """Exact duplicates by progressive refinement: length, prefix hash, full hash.
 
-Two passes over the texts. The first reads each text's length and the hash of
-its first characters. Only (length, prefix) groups with two or more rows
-survive; a second pass reads the whole text of the survivors alone and takes
-its SHA-256. Texts never enter a shuffle: the second pass recognises survivors
-with a bitmap of at most ``MAX_SIEVE_BITS`` bits. A false hit merely costs one
-hash, so the answer does not depend on the bitmap's size.
+The first pass takes each text's length and the hash of its first bytes,
+in expressions that touch nothing behind them. Only (length, prefix) groups
+with two or more rows survive; the second pass lower-cases and hashes the whole
+texts of the survivors alone. Texts never enter a shuffle: the second pass
+recognises survivors with a bitmap of at most ``MAX_SIEVE_BITS`` bits. A false
+hit merely costs one hash, so the answer does not depend on the bitmap's size.
 
 Defined cases: a null text counts as empty, and empty texts equal each other;
 null ids come after every id, so a null id stays only where the whole group has
@@ -16,6 +16,7 @@ group stays; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,31 +25,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlake.llm.common import small_batches, stored, text_bytes, to_signed
+from liftlake.llm.common import small_batches, stored, to_signed
 
 PREFIX_BYTES = 256
 MAX_SIEVE_BITS = 1 << 28      # 32 MB
 SIEVE_BITS_PER_KEY = 16
 _BUCKET_BITS = 32768          # bits of one bitmap_construct_agg value
 
-_NARROW = "doc_id long, text_key long, length long, prefix long"
-_FULL = _NARROW + ", digest binary, survivor boolean"
+_FULL = "doc_id long, text_key long, length long, digest binary, survivor boolean"
+_UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
-def _narrow(batch: pa.RecordBatch) -> tuple[list[bytes], dict]:
-    raws = [raw or b"" for raw in text_bytes(batch)]
-    texts = [raw.lower() for raw in raws]     # bytes.lower() changes A-Z only
-    return texts, {
-        "doc_id": batch.column("doc_id").cast(pa.int64()),
-        "text_key": pa.array(to_signed([xxhash.xxh64_intdigest(raw, 42) for raw in raws])),
-        "length": pa.array([len(t) for t in texts], pa.int64()),
-        "prefix": pa.array(to_signed([xxhash.xxh64_intdigest(t[:PREFIX_BYTES], len(t)) for t in texts])),
-    }
-
-
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_pydict(_narrow(batch)[1])
+def _narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text, length (UTF-8 bytes) and prefix (hash of length and first bytes)."""
+    text = F.coalesce("text", F.lit(""))
+    # the first bytes lie within as many first characters
+    head = F.substring(F.translate(F.substring(text, 1, PREFIX_BYTES), _UPPER, _LOWER).cast("binary"), 1, PREFIX_BYTES)
+    length = F.octet_length(text).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), length.alias("length"),
+                       F.xxhash64(length, head).alias("prefix"))
 
 
 def _sieve(keys: DataFrame) -> np.ndarray:
@@ -65,29 +60,36 @@ def _sieve(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
+def exact_dedup(docs: DataFrame, digest_all: bool = False, key_all: bool = True) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``.
 
     Returns doc_id, text_key (64-bit key of the exact text), digest (SHA-256 of
-    the text with A-Z lower-cased; null for texts that refinement proved
-    unique, unless ``digest_all``), keep_id, group_size and kept. Of equal
-    texts the row with the largest doc_id stays."""
+    the text with A-Z lower-cased), keep_id, group_size and kept. Of equal
+    texts the row with the largest doc_id stays. The digest is null for texts that
+    refinement proved unique, unless ``digest_all``; so is the key without
+    ``key_all``, and then these texts are not read whole."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select("doc_id", "text")
-    groups = source.mapInArrow(_first_pass, _NARROW).groupBy("length", "prefix").count()
+    source = _narrow(docs)
+    groups = source.groupBy("length", "prefix").count()
     sieve = spark.sparkContext.broadcast(_sieve(stored(groups.filter("count > 1").select("prefix"), "survivors")))
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = sieve.value
         for batch in batches:
-            texts, out = _narrow(batch)
-            place = out["prefix"].to_numpy().astype(np.int64) % (len(bitmap) * 8)   # as pmod
+            place = batch.column("prefix").to_numpy() % (len(bitmap) * 8)   # as pmod
             hit = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            out["digest"] = pa.array([hashlib.sha256(t).digest() if h or digest_all else None
-                                      for t, h in zip(texts, hit.tolist())], pa.binary())
-            out["survivor"] = pa.array(hit)
-            yield pa.RecordBatch.from_pydict(out)
+            full, keyed = hit | digest_all, hit | digest_all | key_all
+            read = np.flatnonzero(keyed)
+            keys, digests = np.zeros(len(hit), np.int64), [None] * len(hit)
+            texts = batch.column("text").cast(pa.binary()).take(pa.array(read, pa.int64()))
+            for i, raw in zip(read.tolist(), texts.to_pylist()):
+                keys[i] = to_signed([xxhash.xxh64_intdigest(raw, 42)])[0]
+                if full[i]:
+                    digests[i] = hashlib.sha256(raw.lower()).digest()     # bytes.lower() changes A-Z only
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "text_key": pa.array(keys, mask=~keyed), "length": batch.column("length"),
+                "digest": pa.array(digests, pa.binary()), "survivor": pa.array(hit)})
 
     rows = stored(source.mapInArrow(second_pass, _FULL).withColumn("row", F.monotonically_increasing_id()), "hashed")
     survivors = rows.filter("survivor")

@@ -54,6 +54,18 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.exact_dedup(no_docs(spark)).count() == 0
 
 
+def test_exact_dedup_reads_only_survivors_whole(spark):
+    docs = spark.createDataFrame([(1, "a" * 300 + "x"), (2, "A" * 300 + "X"), (3, "a" * 300 + "y"), (4, "b" * 301), (5, None)],
+                                 "doc_id long, text string")
+    out = exact_dedup.exact_dedup(docs, key_all=False)
+    read = {r["doc_id"] for r in out.collect() if r["text_key"] is not None or r["digest"] is not None}
+    assert read == {1, 2, 3}      # one length and one prefix; 4 and 5 are alone with theirs
+    assert sorted(r["doc_id"] for r in keep_rows(docs, out).collect()) == [2, 3, 4, 5]
+    rows = exact_dedup.exact_dedup(docs, digest_all=True).collect()
+    assert all(r["digest"] is not None and r["text_key"] is not None for r in rows)
+    assert sorted((r["doc_id"], r["keep_id"], r["kept"]) for r in rows) == [(1, 2, False), (2, 2, True), (3, 3, True), (4, 4, True), (5, 5, True)]
+
+
 def test_exact_dedup_does_not_depend_on_the_sieve(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SIEVE_BITS_PER_KEY", 1)
     monkeypatch.setattr(exact_dedup, "PREFIX_BYTES", 4)
