@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the row with the largest doc_id of each group of equal texts."""
-    return keep_rows(docs, exact_dedup.exact_dedup(docs))
+    return keep_rows(docs, exact_dedup.exact_dedup(docs, key_all=False))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
