@@ -21,7 +21,6 @@ PREDICTION_SOURCES = ("rule_based", "model", "insufficient_data")
 # Exercise -> (parent compound, scaling factor relative to the parent).
 # Fixed values, in the reference's order.
 EXERCISES = (
-    # push (bench press family)
     ("bench_press", "bench_press", 1.00),
     ("close_grip_bench_press", "bench_press", 0.95),
     ("incline_bench_press", "bench_press", 0.85),
@@ -43,7 +42,6 @@ EXERCISES = (
     ("lying_skullcrusher", "bench_press", 0.45),
     ("triceps_extension", "bench_press", 0.40),
     ("triceps_pushdown", "bench_press", 0.35),
-    # vertical pull (lat pulldown family)
     ("lat_pulldown", "lat_pulldown", 1.00),
     ("lat_pulldown_wide", "lat_pulldown", 0.95),
     ("lat_pulldown_close", "lat_pulldown", 1.05),
@@ -53,7 +51,6 @@ EXERCISES = (
     ("chin_ups", "lat_pulldown", 0.90),
     ("neutral_chin", "lat_pulldown", 0.85),
     ("pull_ups", "lat_pulldown", 0.95),
-    # horizontal pull (seated row family)
     ("seated_row", "seated_row", 1.00),
     ("seated_cable_row", "seated_row", 0.95),
     ("hammer_seated_row", "seated_row", 0.90),
@@ -74,7 +71,6 @@ EXERCISES = (
     ("chest_supported_row", "seated_row", 0.95),
     ("machine_row", "seated_row", 0.90),
     ("pendulum_row", "seated_row", 0.88),
-    # lower body (squat family)
     ("squat", "squat", 1.00),
     ("high_bar_squat", "squat", 0.95),
     ("front_squat", "squat", 0.85),
