@@ -10,16 +10,18 @@ hot keys:
    shuffle) counts rows per key and finds the keys above ``hot_rows``. Their
    number is bounded by ``rows / hot_rows``.
 2. The rows of hot keys are range-partitioned and sorted by key and the full
-   order tuple, cut every ``hot_rows`` rows and checkpointed. Each ``_chunk`` is
+   order tuple, cut every ``hot_rows`` rows and stored. Each ``_chunk`` is
    a contiguous run of its key's order of at most ``hot_rows`` rows, whatever
-   the values are. Other keys keep chunk 0. Windows then partition by
-   ``key + _chunk``. Null key parts are a key like any other.
+   the values are. Other keys keep chunk 0; where more keys are hot than may be
+   broadcast, all rows are cut, which needs no join to find the hot ones. Windows
+   then partition by ``_kh, _kg, _chunk``: two hashes (128 bits) stand for the key,
+   in which null parts are a value like any other.
 3. Running quantities are computed per chunk and then corrected with a carry
    table: one row per non-empty hot chunk, holding the chunk's aggregate,
    prefix-combined over the earlier chunks of the same key. The carry table
    is bounded by the number of hot chunks; it is broadcast when that bound is
-   under ``broadcast_rows`` (200,000 rows of at most a few hundred bytes), otherwise joined on ``key + _chunk`` (which the
-   windowed side is already partitioned by).
+   under ``broadcast_rows`` (200,000 rows of at most a few hundred bytes), otherwise joined on ``_kh, _kg, _chunk`` by plain
+   equality (which the windowed side is already partitioned by, so the rows do not move again).
 
 When no key is hot, the scan is a plain window partitioned by the key, with
 one shuffle, and downstream ``groupBy(key)`` reuses that partitioning.
@@ -33,10 +35,11 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftlake.session import materialize
+from liftlake.session import stored
 
 DEFAULT_HOT_ROWS = 2_000_000
 DEFAULT_BROADCAST_ROWS = 200_000
+CHUNK = ["_kh", "_kg", "_chunk"]     # what windows and carries of a split scan are keyed by
 
 
 def _conf_int(df: DataFrame, name: str, default: int) -> int:
@@ -77,26 +80,33 @@ class KeyedScan:
         if assume_cold:
             return cls(df.withColumn("_chunk", F.lit(0).cast("long")), key, order, False, 0,
                        broadcast_rows or DEFAULT_BROADCAST_ROWS)
-        hot_keys = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-                    .where(F.col("_n") > hot_rows))
-        # One small driver-side row: how many hot keys and rows exist.
-        stats = hot_keys.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("n")).first()
+        counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+        is_hot = F.col("_n") > hot_rows
+        # One small driver-side row: how many (hot) keys and rows exist.
+        stats = counts.agg(F.count_if(is_hot).alias("k"), F.sum(F.when(is_hot, F.col("_n"))).alias("n"),
+                           F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("rows")).first()
         n_hot, n_rows = int(stats["k"] or 0), int(stats["n"] or 0)
         if n_hot == 0:
             out = df.withColumn("_chunk", F.lit(0).cast("long"))
             return cls(out, key, order, False, 0, broadcast_rows)
-        lookup = hot_keys.select(*key, F.lit(True).alias("_hot"))
-        lookup = F.broadcast(lookup) if n_hot <= broadcast_rows else lookup
-        flagged = null_safe_join(df, lookup, key).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
-        # Sorted range partitions, cut every ``hot_rows`` rows. Checkpointed: the
+        if n_hot <= broadcast_rows:
+            lookup = F.broadcast(counts.where(is_hot).select(*key, F.lit(True).alias("_hot")))
+            flagged = null_safe_join(df, lookup, key).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        else:
+            flagged = df.withColumn("_hot", F.lit(True))
+            n_hot, n_rows = int(stats["keys"]), int(stats["rows"])
+        parted = [x for c in key for x in (F.col(c), F.col(c).isNull())]
+        flagged = flagged.withColumns({"_kh": F.xxhash64(*parted), "_kg": F.xxhash64(F.lit("key"), *parted)})
+        # Sorted range partitions, cut every ``hot_rows`` rows. Stored: the
         # row numbers are fixed from here on.
         low = F.lit((1 << 33) - 1)
         split = (flagged.where("_hot").repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
                  .withColumn("_id", F.monotonically_increasing_id())
                  .withColumn("_chunk", F.col("_id") - F.col("_id").bitwiseAND(low)
                              + F.floor(F.col("_id").bitwiseAND(low) / hot_rows).cast("long") + 1).drop("_id"))
-        split = materialize(split, force=True)
-        out = flagged.where(~F.col("_hot")).withColumn("_chunk", F.lit(0).cast("long")).unionByName(split)
+        out = stored(split)
+        if n_rows < int(stats["rows"]):
+            out = flagged.where(~F.col("_hot")).withColumn("_chunk", F.lit(0).cast("long")).unionByName(out)
         # chunks, one more per range partition, and keys that share one
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         return cls(out, key, order, True, -(-n_rows // hot_rows) + parts + n_hot, broadcast_rows)
@@ -104,7 +114,7 @@ class KeyedScan:
     # -- windows -------------------------------------------------------------
     @property
     def parts(self) -> list[str]:
-        return list(self.key) + (["_chunk"] if self.hot else [])
+        return CHUNK if self.hot else list(self.key)
 
     def window(self):
         return Window.partitionBy(*self.parts).orderBy(*self.order)
@@ -115,10 +125,10 @@ class KeyedScan:
     def _carry_join(self, df: DataFrame, carry: DataFrame) -> DataFrame:
         if self.carry_rows <= self.broadcast_rows:
             carry = F.broadcast(carry)
-        return null_safe_join(df, carry, [*self.key, "_chunk"])
+        return df.join(carry, CHUNK, "left")
 
     def _chunk_window(self):
-        return Window.partitionBy(*self.key).orderBy("_chunk")
+        return Window.partitionBy("_kh", "_kg").orderBy("_chunk")
 
     def _hot_rows_of(self, df: DataFrame) -> DataFrame:
         return df.where(F.col("_hot"))
@@ -129,8 +139,8 @@ class KeyedScan:
         local = F.row_number().over(self.window())
         if not self.hot:
             return df.withColumn(name, local)
-        sizes = self._hot_rows_of(df).groupBy(*self.key, "_chunk").agg(F.count(F.lit(1)).alias("_cn"))
-        carry = sizes.select(*self.key, "_chunk", F.coalesce(
+        sizes = self._hot_rows_of(df).groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("_cn"))
+        carry = sizes.select(*CHUNK, F.coalesce(
             F.sum("_cn").over(self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0)).alias(f"_{name}_off"))
         return (self._carry_join(df.withColumn(name, local), carry)
@@ -144,17 +154,17 @@ class KeyedScan:
         if not self.hot:
             return df.withColumns(cols)
         pos = F.row_number().over(w)
-        rdesc = Window.partitionBy(*self.key, "_chunk").orderBy(*[F.col(c).desc() for c in self.order])
+        rdesc = Window.partitionBy(*CHUNK).orderBy(*[F.col(c).desc() for c in self.order])
         tails = (self._hot_rows_of(df)
                  .withColumn("_rd", F.row_number().over(rdesc))
                  .where(F.col("_rd") <= depth)
-                 .groupBy(*self.key, "_chunk")
+                 .groupBy(*CHUNK)
                  .agg(F.array_sort(F.collect_list(F.struct(F.col("_rd") * -1, F.col(value).alias("v"))))
                       .alias("_tail")))
         # previous ``depth`` non-empty chunks hold at least ``depth`` rows in total
-        carry = tails.select(*self.key, "_chunk", F.flatten(F.collect_list("_tail").over(
+        carry = tails.select(*CHUNK, F.flatten(F.collect_list("_tail").over(
             self._chunk_window().rowsBetween(-depth, -1))).alias("_prev"))
-        carry = carry.select(*self.key, "_chunk", F.transform(
+        carry = carry.select(*CHUNK, F.transform(
             F.slice(F.col("_prev"), F.greatest(F.size("_prev") - depth + 1, F.lit(1)), depth),
             lambda s: s["v"]).alias(f"_{prefix}carry"))
         out = self._carry_join(df.withColumn("_pos", pos).withColumns(cols), carry)
@@ -171,9 +181,9 @@ class KeyedScan:
         w = self.window()
         if not self.hot:
             return df.withColumn(name, F.lead(value, 1).over(w))
-        firsts = (self._hot_rows_of(df).groupBy(*self.key, "_chunk")
+        firsts = (self._hot_rows_of(df).groupBy(*CHUNK)
                   .agg(F.min_by(F.col(value), F.struct(*self.order)).alias("_first")))
-        carry = firsts.select(*self.key, "_chunk",
+        carry = firsts.select(*CHUNK,
                               F.lead("_first").over(self._chunk_window()).alias(f"_{name}_next"),
                               F.lead(F.lit(True)).over(self._chunk_window()).alias(f"_{name}_has"))
         out = df.withColumn(name, F.lead(value, 1).over(w)).withColumn(
@@ -206,7 +216,7 @@ class KeyedScan:
                 aggs.append(F.max_by(c, F.when(c.isNotNull(), order_struct)).alias(f"_{n}_c"))
             else:
                 aggs.append(F.min_by(c, F.when(c.isNotNull(), order_struct)).alias(f"_{n}_c"))
-        per_chunk = self._hot_rows_of(df).groupBy(*self.key, "_chunk").agg(*aggs)
+        per_chunk = self._hot_rows_of(df).groupBy(*CHUNK).agg(*aggs)
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
         prefix = {
             "sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before),
@@ -214,7 +224,7 @@ class KeyedScan:
             "last": lambda c: F.last(c, ignorenulls=True).over(before),
             "first": lambda c: F.first(c, ignorenulls=True).over(before),
         }
-        carry = per_chunk.select(*self.key, "_chunk", *[
+        carry = per_chunk.select(*CHUNK, *[
             prefix[k](F.col(f"_{n}_c")).alias(f"_{n}_p") for n, (k, _) in specs.items()])
         out = self._carry_join(out, carry)
         combine = {
@@ -226,4 +236,4 @@ class KeyedScan:
         return out.withColumns(fixed).drop(*[f"_{n}_p" for n in specs])
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return df.drop("_chunk", "_hot")
+        return df.drop(*CHUNK, "_hot")
