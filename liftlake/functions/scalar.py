@@ -17,9 +17,10 @@ def col(c: str | Column) -> Column:
 
 
 def nan_to_null(c: str | Column) -> Column:
-    """NaN -> NULL (Spark orders NaN above every number, so normalise at ingest)."""
-    c = col(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
+    """NaN -> NULL (Spark orders NaN above every number, so normalise at ingest).
+
+    ``nanvl`` evaluates its value once; a condition on it would parse a text twice."""
+    return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
 # -- SC1 -------------------------------------------------------------------

@@ -10,6 +10,7 @@ a column.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -19,7 +20,7 @@ from liftlake.functions.scalar import reps_bin, rpe_bin, rpe_ordinal
 from liftlake.operators.scan import KeyedScan, null_safe_join
 from liftlake.operators.sequence import rolling_mean, rolling_slope, window_slope
 from liftlake.schema import CLIP_FEATURES
-from liftlake.session import materialize
+from liftlake.session import is_costly, materialize, stored
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -78,6 +79,15 @@ def impute_median_rpe(df: DataFrame, median: float | None = None) -> DataFrame:
     })
 
 
+FEW_GROUPS = 50_000     # fitted rows of some hundred bytes: at most about 25 MB
+
+
+def _few(fitted: DataFrame) -> DataFrame:
+    """A fit's rows, one per group, broadcast while they are counted to be few: a join on a
+    handful of groups would else gather each group's rows in one task."""
+    return F.broadcast(fitted) if fitted.count() <= FEW_GROUPS else fitted
+
+
 # -- A6 -------------------------------------------------------------------------------
 def fit_bounds(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: float = 0.01, upper: float = 0.99,
                by: Sequence[str] = ()) -> DataFrame:
@@ -98,7 +108,7 @@ def clip_columns(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: floa
         return df
     bounds = fit_bounds(df, cols, lower, upper, by) if bounds is None else bounds
     if by:
-        out = null_safe_join(df, bounds, by)
+        out = null_safe_join(df, _few(bounds), by)
     else:
         row = bounds.first()
         fitted = F.create_map(*[x for c, q in (row["_bounds"] if row else {}).items()
@@ -129,7 +139,7 @@ def drop_constant_rpe(df: DataFrame, col: str = "rpe", by: Sequence[str] = (), v
         return df.drop(col)
     if not by:
         return df
-    return null_safe_join(df, spans, by).withColumn(col, F.when(F.col("_varies"), F.col(col))).drop("_varies")
+    return null_safe_join(df, _few(spans), by).withColumn(col, F.when(F.col("_varies"), F.col(col))).drop("_varies")
 
 
 # -- M1 -------------------------------------------------------------------------------
@@ -139,14 +149,15 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
                  hot_rows: int | None = None) -> DataFrame:
     """M1: W12, W13, W9, W10, W11, A5, SC3-SC5, W14, PF14 in one plan.
 
-    Two keyed scans, one shuffle each: by user (days since the first and the
-    previous workout) and by (user, exercise) (session number as a running
-    count of date changes, rolling mean and slope). The top set of each day
-    comes from a partial aggregate. The two fitted scalars (mean slope, median
-    RPE) are computed over the checkpointed scan output. Rows without a date
-    have no place in a sequence: they stay, with null date features.
+    Two keyed scans: by user (days since the first and the previous workout) and
+    by (user, exercise) (session number as a running count of date changes,
+    rolling mean and slope). While no user is hot, both scans and the top set of
+    each day work on one shuffle by user. Else the table is stored between
+    the scans, and top sets come from a partial aggregate. The two fitted
+    scalars (mean slope, median RPE) are computed over the stored scan output.
+    Rows without a date have no place in a sequence: they stay, with null date features.
     """
-    df = materialize(df)
+    df = stored(df) if is_costly(df) else df
     undated = df.where(F.col(date).isNull())
     df = df.where(F.col(date).isNotNull())
     order = (date, *tiebreak)
@@ -160,6 +171,7 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
         "days_since_first_workout": F.expr(f"timestampdiff(DAY, _first, {date})").cast("int"),
         "days_since_last_workout": F.coalesce(F.expr(f"timestampdiff(DAY, _pd1, {date})"), F.lit(0)).cast("int"),
     }).drop("_first", "_pd1"))
+    out = out if cold else stored(out)   # the next scan counts, samples and sorts it
     # by (user, exercise): W9, W10, W11, W14
     se = KeyedScan.build(out, [user, exercise], order, hot_rows, assume_cold=cold)
     out = se.with_seq(se.df, "_sx")
@@ -187,8 +199,8 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
         })
     out = se.finish(out.drop("_sx"))
     top = [user, "days_since_first_workout", "workout_name", exercise]
-    out = top_set_flag(materialize(out), top, tiebreak)
-    out = materialize(out.unionByName(undated.withColumn("is_top_set", F.lit(False)), allowMissingColumns=True))
+    out = top_set_flag(out if cold else stored(out), top, tiebreak, cold=cold)
+    out = stored(out.unionByName(undated.withColumn("is_top_set", F.lit(False)), allowMissingColumns=True))
     if slope_fill is None:
         slope_fill = out.agg(F.avg("rolling_trend_load")).first()[0]
     if median_rpe is None:
@@ -210,13 +222,18 @@ def _epoch_seconds(df: DataFrame, c: str):
 
 
 def top_set_flag(df: DataFrame, group: Sequence[str], appearance: Sequence[str],
-                 volume: str = "set_volume") -> DataFrame:
+                 volume: str = "set_volume", cold: bool = False) -> DataFrame:
     """``is_top_set`` marks the first row (appearance order) with the
     group's largest volume; groups with a null part have none. The winner per
     group is a partial aggregate, so a huge group is reduced map-side before
-    the shuffle."""
+    the shuffle. ``cold``: the caller knows that no group is huge; the winner is then
+    found where the group's rows already are."""
     ident = F.struct(*[F.col(c) for c in appearance])
     rank_key = F.struct((-F.col(volume)).alias("v"), *[F.col(c) for c in appearance])
+    if cold:
+        win = F.min_by(ident, F.when(F.col(volume).isNotNull(), rank_key)).over(Window.partitionBy(*group))
+        whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
+        return df.withColumn("is_top_set", whole & F.coalesce(win == ident, F.lit(False)))
     winners = df.where(F.col(volume).isNotNull()).groupBy(*group).agg(F.min_by(ident, rank_key).alias("_win"))
     flag = F.coalesce(F.col("_win") == ident, F.lit(False))
     return df.join(winners, list(group), "left").withColumn("is_top_set", flag).drop("_win")

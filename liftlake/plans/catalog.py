@@ -827,8 +827,11 @@ _M1_COLS = ["user_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "
             "rpe_ordinal", "is_top_set", "reps_binned", "date_epoch"]
 
 
+_M1_READ = ["user_id", "exercise_normalized", "date", "workout_name", *clean.APPEARANCE, "effective_load", "set_volume", "reps", "rpe"]
+
+
 def _m1(spark, d, hot_rows=None):
-    out = FE.feature_step(_merged(spark, d), tiebreak=clean.APPEARANCE, hot_rows=hot_rows)
+    out = FE.feature_step(_merged(spark, d).select(*_M1_READ), tiebreak=clean.APPEARANCE, hot_rows=hot_rows)
     return out.select(*_M1_COLS).withColumns({
         "rolling_avg_load_last_3_sessions": _r("rolling_avg_load_last_3_sessions"),
         "rolling_trend_load": _r("rolling_trend_load")})
