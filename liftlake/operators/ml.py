@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators.quality import regression_metrics
 from liftlake.operators.scan import KeyedScan
-from liftlake.session import materialize
+from liftlake.session import materialize, stored
 from liftlake.schema import COMPOUNDS, KEY, ORDER, ForestParams  # noqa: F401
 
 NUMERIC_FEATURES = ("weight", "reps", "rpe", "effective_load", "set_volume", "rolling_avg_load_last_3_sessions",
@@ -169,10 +169,15 @@ def split_then_prepare(features: DataFrame, fraction: float = 0.8) -> DataFrame:
     """W18 first, then M3 with the clip bounds of the training rows: nothing
     fitted sees a validation row. Adds ``split``; only rows with a target."""
     from liftlake.operators.features import fit_bounds, fit_varies, prepare
-    split = materialize(with_split(features.where(F.col(TARGET).isNotNull()), fraction), force=True)
+    split = stored(with_split(features.where(F.col(TARGET).isNotNull()), fraction))
     train = split.where(F.col("split") == "train")
-    return materialize(prepare(split, bounds=fit_bounds(train, by=("compound",)), varies=fit_varies(train, by=("compound",))),
-                       force=True)
+    return stored(prepare(split, bounds=fit_bounds(train, by=("compound",)), varies=fit_varies(train, by=("compound",))))
+
+
+def _own_rows(df: DataFrame, comp: str, *more: str) -> DataFrame:
+    """The model's columns of one compound's rows, stored: a fit reads them about ten times."""
+    names = [c for c in (*NUMERIC_FEATURES, *CATEGORICAL_FEATURES, TARGET, *more) if c in df.columns]
+    return stored(df.where(F.col("compound") == comp).select(*names))
 
 
 def train_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, kind: str | Sequence[str] = "rf",
@@ -189,9 +194,11 @@ def train_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, ki
     train_rows = split.where(F.col("split") == "train").groupBy("compound").count()
     enough = {r["compound"] for r in train_rows.where(F.col("compound").isin(list(compounds)) & (F.col("count") >= min_targets)).collect()}
 
+    parts = {c: _own_rows(split, c, "split") for c in compounds if c in enough}
+
     def fit_one(task):
         comp, k = task
-        part = split.where(F.col("compound") == comp)
+        part = parts[comp]
         model = CompoundModel(name=comp, kind=k, overrides=overrides.get(comp, {}) if k == "rf" else {}).fit(
             part.where(F.col("split") == "train"))
         return task, model, model.evaluate(part, ["split"]).withColumns(
@@ -232,7 +239,7 @@ def node_report(features: DataFrame, overrides: dict[str, dict] | None = None, m
     root = f"{checkpoint_dir(spark).rstrip('/')}/liftlake-forests/{uuid.uuid4().hex}"
 
     def one(comp):
-        part = prepared.where(F.col("compound") == comp)
+        part = _own_rows(prepared, comp, "split")
         train = part.where(F.col("split") == "train")
         if train.count() < 10:
             return None
@@ -272,15 +279,21 @@ def contiguous_folds(df: DataFrame, k: int = 5) -> DataFrame:
 def cross_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, k: int = 5, kind: str = "rf",
                    max_mean_drop: float = 0.0, max_std: float = 0.5) -> DataFrame:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
-    (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile)."""
+    (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile).
+
+    The fits of all folds before the model (M3) are made at once, a row counting for
+    every fold but its own; each model then has its prepared rows stored."""
     from liftlake.operators.features import fit_bounds, fit_varies, prepare
-    folded = materialize(contiguous_folds(features.where(F.col(TARGET).isNotNull()), k), force=True)
+    folded = stored(contiguous_folds(features.where(F.col(TARGET).isNotNull()), k))
+    rest = folded.where(F.col("compound").isin(list(compounds))).withColumn(
+        "held", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(k - 1)), F.col("fold"))))
+    bounds, varies = fit_bounds(rest, by=("compound", "held")), fit_varies(rest, by=("compound", "held"))
 
     def fit_fold(task):
         comp, f = task
-        part = folded.where(F.col("compound") == comp)
-        rest = part.where(F.col("fold") != f)
-        part = prepare(part, bounds=fit_bounds(rest, by=("compound",)), varies=fit_varies(rest, by=("compound",)))
+        here = (F.col("compound") == comp) & (F.col("held") == f)
+        part = _own_rows(prepare(folded.where(F.col("compound") == comp), bounds=bounds.where(here).drop("held"),
+                                 varies=varies.where(here).drop("held")), comp, "fold")
         model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
         # evaluate now: the fold's R^2 is a one-row result
         r = model.evaluate(part.where(F.col("fold") == f)).first()
