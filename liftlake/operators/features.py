@@ -171,7 +171,10 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
         "days_since_first_workout": F.expr(f"timestampdiff(DAY, _first, {date})").cast("int"),
         "days_since_last_workout": F.coalesce(F.expr(f"timestampdiff(DAY, _pd1, {date})"), F.lit(0)).cast("int"),
     }).drop("_first", "_pd1"))
-    out = out if cold else stored(out)   # the next scan counts, samples and sorts it
+    if not cold:
+        # the next scan counts, samples and sorts it; equal rows keep the order in which the first scan took them
+        out = stored(out.withColumn("_tie", -F.col("days_since_last_workout")))
+        order = (*order, "_tie")
     # by (user, exercise): W9, W10, W11, W14
     se = KeyedScan.build(out, [user, exercise], order, hot_rows, assume_cold=cold)
     out = se.with_seq(se.df, "_sx")
@@ -197,7 +200,7 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
             "rolling_trend_load": F.regr_slope(F.col("effective_load"), F.col("_sx").cast("double"))
                                    .over(w.rowsBetween(-(n_trend - 1), 0)),
         })
-    out = se.finish(out.drop("_sx"))
+    out = se.finish(out.drop("_sx", "_tie"))
     top = [user, "days_since_first_workout", "workout_name", exercise]
     out = top_set_flag(out if cold else stored(out), top, tiebreak, cold=cold)
     out = stored(out.unionByName(undated.withColumn("is_top_set", F.lit(False)), allowMissingColumns=True))
