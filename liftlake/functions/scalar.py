@@ -121,8 +121,8 @@ def normalize_exercise(name: str | Column, strict: bool = False) -> Column:
 
     ``strict=True`` keeps the trailing underscore a parenthesis leaves behind.
     """
-    n = F.translate(F.lower(strip_ws(name)), " -", "__")
-    n = strip_ws(F.split_part(n, F.lit("("), F.lit(1)))
+    n = F.replace(F.replace(F.lower(strip_ws(name)), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
+    n = strip_ws(F.substring_index(n, "(", 1))
     return n if strict else F.rtrim(n, F.lit("_"))
 
 

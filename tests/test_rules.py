@@ -51,3 +51,20 @@ def test_nan_weight_is_no_history(spark):
     df = spark.createDataFrame([(float("nan"), 5, 8.0)], "weight double, reps int, rpe double")
     r = df.select(rule_progression("weight", "reps", "rpe").alias("s")).first()["s"]
     assert r["reason"] == "no_weight_history"
+
+
+def test_names_are_normalised_without_splitting_or_translating(spark):
+    """Both walk a name letter by letter; two replaces and one search give the same names."""
+    from liftlake.functions.scalar import normalize_exercise
+    names = [None, "", " ", "(", "Bench Press (Barbell)", "\tLat-Pull down - Wide(x)(y)\n", "a_\t(b)", "__", "É-Ä (Ö)", "no bracket-", "(all) gone", "x  (\n"]
+
+    def want(name, strict):
+        n = name.strip(" \t\n\x0b\f\r").lower().replace(" ", "_").replace("-", "_").split("(")[0].strip(" \t\n\x0b\f\r")
+        return n if strict else n.rstrip("_")
+
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for strict in (False, True):
+        out = df.select("n", normalize_exercise("n", strict).alias("x"))
+        assert [r.x for r in out.collect()] == [None if n is None else want(n, strict) for n in names]
+        plan = out._jdf.queryExecution().executedPlan().toString().lower()
+        assert "translate(" not in plan and "split" not in plan
