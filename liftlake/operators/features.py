@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlake.functions.scalar import reps_bin, rpe_bin, rpe_ordinal
-from liftlake.operators.scan import KeyedScan, null_safe_join
+from liftlake.operators.scan import CHUNK, KeyedScan, null_safe_join
 from liftlake.operators.sequence import rolling_mean, rolling_slope, window_slope
 from liftlake.schema import CLIP_FEATURES
-from liftlake.session import is_costly, materialize, stored
+from liftlake.session import is_costly, materialize, release, stored
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -146,18 +146,24 @@ def drop_constant_rpe(df: DataFrame, col: str = "rpe", by: Sequence[str] = (), v
 def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise_normalized",
                  date: str = "date", tiebreak: Sequence[str] = (), n_rolling: int = 3, n_trend: int = 5,
                  median_rpe: float | None = None, slope_fill: float | None = None,
-                 hot_rows: int | None = None) -> DataFrame:
+                 hot_rows: int | None = None, last_read: bool = False) -> DataFrame:
     """M1: W12, W13, W9, W10, W11, A5, SC3-SC5, W14, PF14 in one plan.
 
     Two keyed scans: by user (days since the first and the previous workout) and
     by (user, exercise) (session number as a running count of date changes,
     rolling mean and slope). While no user is hot, both scans and the top set of
     each day work on one shuffle by user. Else the table is stored between
-    the scans, and top sets come from a partial aggregate. The two fitted
+    the scans, each step deletes the table it has read, and the top sets of hot keys are
+    found in their chunks. The two fitted
     scalars (mean slope, median RPE) are computed over the stored scan output.
     Rows without a date have no place in a sequence: they stay, with null date features.
+    ``last_read``: the caller reads the stored tables behind ``df`` no more, so they are deleted too.
     """
-    df = stored(df) if is_costly(df) else df
+    given, own = df, is_costly(df)
+    df = stored(df) if own else df
+    if own and last_read:
+        release(given, keep=[df])
+    given = df
     undated = df.where(F.col(date).isNull())
     df = df.where(F.col(date).isNotNull())
     order = (date, *tiebreak)
@@ -165,8 +171,12 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
     # by user: W12 (first date so far = the user's first date) and W13
     su = KeyedScan.build(df, [user], order, hot_rows)
     cold = not su.hot  # no (user, exercise) key can be hot when no user is
+    if not cold:
+        undated = stored(undated)
+        if own and su.whole:
+            release(given, keep=[su.df, undated])
     out = su.with_lags(su.df, date, 1, "_pd")
-    out = su.with_running(out, {"_first": ("first", d)})
+    out = su.with_running(out, {"_first": ("first", d)}, base=su.df)
     out = su.finish(out.withColumns({
         "days_since_first_workout": F.expr(f"timestampdiff(DAY, _first, {date})").cast("int"),
         "days_since_last_workout": F.coalesce(F.expr(f"timestampdiff(DAY, _pd1, {date})"), F.lit(0)).cast("int"),
@@ -174,18 +184,23 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
     if not cold:
         # the next scan counts, samples and sorts it; equal rows keep the order in which the first scan took them
         out = stored(out.withColumn("_tie", -F.col("days_since_last_workout")))
+        release(su.df, keep=[undated] if own else [undated, given])
         order = (*order, "_tie")
     # by (user, exercise): W9, W10, W11, W14
     se = KeyedScan.build(out, [user, exercise], order, hot_rows, assume_cold=cold)
+    if se.whole:
+        release(out, keep=[se.df])
+    between = se.df
     out = se.with_seq(se.df, "_sx")
-    out = se.with_lags(out, date, 1, "_ed")
+    out = se.with_lags(out, date, 1, "_ed", base=se.df)
     out = se.with_running(out, {"session_number": ("sum", F.when(
-        F.col("_ed1").isNull() | (F.col("_ed1") != d), F.lit(1)).otherwise(F.lit(0)))})
+        F.col("_ed1").isNull() | (F.col("_ed1") != d), F.lit(1)).otherwise(F.lit(0)))},
+        base=se.with_lags(se.df.where("_hot"), date, 1, "_ed") if se.hot else None)      # carries are of hot keys alone
     out = out.withColumn("session_number", F.col("session_number").cast("int")).drop("_ed1")
     rm = f"rolling_avg_load_last_{n_rolling}_sessions"
     if se.hot:
         depth = max(n_rolling, n_trend) - 1
-        out = se.with_lags(out, "effective_load", depth, "_el")
+        out = se.with_lags(out, "effective_load", depth, "_el", base=se.df)
         lags = [F.col(f"_el{i}") for i in range(1, depth + 1)]
         vals = [F.col("effective_load")] + lags[:n_rolling - 1]
         total = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
@@ -200,14 +215,21 @@ def feature_step(df: DataFrame, user: str = "user_id", exercise: str = "exercise
             "rolling_trend_load": F.regr_slope(F.col("effective_load"), F.col("_sx").cast("double"))
                                    .over(w.rowsBetween(-(n_trend - 1), 0)),
         })
-    out = se.finish(out.drop("_sx", "_tie"))
+    out = out.drop("_sx", "_tie")
     top = [user, "days_since_first_workout", "workout_name", exercise]
-    out = top_set_flag(out if cold else stored(out), top, tiebreak, cold=cold)
+    if se.hot:
+        out = split_top_sets(se, out, top, tiebreak)
+    else:       # a group of top sets is a part of a key that is not hot
+        out = top_set_flag(se.finish(out), top, tiebreak, cold=True)
     out = stored(out.unionByName(undated.withColumn("is_top_set", F.lit(False)), allowMissingColumns=True))
+    if not cold:
+        release(between, undated)
     if slope_fill is None:
         slope_fill = out.agg(F.avg("rolling_trend_load")).first()[0]
     if median_rpe is None:
         median_rpe = fit_median(out, "rpe")
+    if se.hot:
+        out = join_top_sets(out, top, tiebreak)
     out = out.withColumn("rolling_trend_load",
                          F.coalesce(F.col("rolling_trend_load"), F.lit(slope_fill).cast("double")))
     # A5 + SC3 + SC4 + SC5 + PF14
@@ -242,6 +264,36 @@ def top_set_flag(df: DataFrame, group: Sequence[str], appearance: Sequence[str],
     return df.join(winners, list(group), "left").withColumn("is_top_set", flag).drop("_win")
 
 
+def split_top_sets(scan: KeyedScan, df: DataFrame, group: Sequence[str], appearance: Sequence[str],
+                   volume: str = "set_volume") -> DataFrame:
+    """W14 inside the chunks of a split scan by the group's user and exercise, ordered by date: ``is_top_set`` is that of the
+    chunk, and ``_span`` tells whether the row's day goes on in another chunk of its key, for ``join_top_sets``.
+
+    Rows stay where the windows left them; only the first and the last day of each chunk move."""
+    day = group[1]
+    ends = scan.df.where("_hot").groupBy(*CHUNK).agg(F.min(day).alias("_from"), F.max(day).alias("_to"))
+    of_key = Window.partitionBy("_kh", "_kg").orderBy("_chunk")
+    ends = ends.select(*CHUNK, F.when(F.lag("_to").over(of_key) == F.col("_from"), F.col("_from")).alias("_from"),
+                       F.when(F.lead("_from").over(of_key) == F.col("_to"), F.col("_to")).alias("_to"))
+    ident = F.struct(*[F.col(c) for c in appearance])
+    rank = F.struct((-F.col(volume)).alias("v"), *[F.col(c) for c in appearance])
+    win = F.min_by(ident, F.when(F.col(volume).isNotNull(), rank)).over(Window.partitionBy(*CHUNK, *group[1:3]))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
+    out = scan._carry_join(df.withColumn("is_top_set", whole & F.coalesce(win == ident, F.lit(False))), ends)
+    spans = F.coalesce(F.col(day) == F.col("_from"), F.lit(False)) | F.coalesce(F.col(day) == F.col("_to"), F.lit(False))
+    return scan.finish(out.withColumn("_span", whole & spans).drop("_from", "_to"))
+
+
+def join_top_sets(df: DataFrame, group: Sequence[str], appearance: Sequence[str], volume: str = "set_volume") -> DataFrame:
+    """The rows of ``split_top_sets`` with the flag of their whole group: of days in several chunks, the best of the chunks' top sets."""
+    ident = F.struct(*[F.col(c) for c in appearance])
+    spans = F.coalesce(F.col("_span"), F.lit(False))
+    best = df.where(spans & F.col("is_top_set")).groupBy(*group).agg(
+        F.min_by(ident, F.struct((-F.col(volume)).alias("v"), *[F.col(c) for c in appearance])).alias("_win"))
+    over = df.where(spans).join(best, list(group), "left").withColumn("is_top_set", F.coalesce(F.col("_win") == ident, F.lit(False)))
+    return df.where(~spans).unionByName(over.drop("_win")).drop("_span")
+
+
 # -- M3 -------------------------------------------------------------------------------
 def session_features(periodized: DataFrame, key: Sequence[str] = ("user_id", "compound"),
                      order: Sequence[str] = ("ts", "event_id"), hot_rows: int | None = None,

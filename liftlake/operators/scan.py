@@ -12,7 +12,7 @@ hot keys:
 2. The rows of hot keys are range-partitioned and sorted by key and the full
    order tuple, cut every ``hot_rows`` rows and stored. Each ``_chunk`` is
    a contiguous run of its key's order of at most ``hot_rows`` rows, whatever
-   the values are. Other keys keep chunk 0; where more keys are hot than may be
+   the values are, and ``_place`` its rows' number in that order, which stands for the order from then on. Other keys keep chunk 0; where more keys are hot than may be
    broadcast, all rows are cut, which needs no join to find the hot ones. Windows
    then partition by ``_kh, _kg, _chunk``: two hashes (128 bits) stand for the key,
    in which null parts are a value like any other.
@@ -65,6 +65,7 @@ class KeyedScan:
     hot: bool                  # any key split into chunks
     carry_rows: int            # upper bound of carry-table rows
     broadcast_rows: int
+    whole: bool = False        # every row is in a chunk, so ``_place`` alone orders them
 
     # -- construction --------------------------------------------------------
     @classmethod
@@ -101,15 +102,18 @@ class KeyedScan:
         # row numbers are fixed from here on.
         low = F.lit((1 << 33) - 1)
         split = (flagged.where("_hot").repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
-                 .withColumn("_id", F.monotonically_increasing_id())
-                 .withColumn("_chunk", F.col("_id") - F.col("_id").bitwiseAND(low)
-                             + F.floor(F.col("_id").bitwiseAND(low) / hot_rows).cast("long") + 1).drop("_id"))
-        out = stored(split)
-        if n_rows < int(stats["rows"]):
-            out = flagged.where(~F.col("_hot")).withColumn("_chunk", F.lit(0).cast("long")).unionByName(out)
+                 .withColumn("_place", F.monotonically_increasing_id())
+                 .withColumn("_chunk", F.col("_place") - F.col("_place").bitwiseAND(low)
+                             + F.floor(F.col("_place").bitwiseAND(low) / hot_rows).cast("long") + 1))
+        whole = n_rows == int(stats["rows"])
+        if whole:
+            out = stored(split.drop("_hot")).withColumn("_hot", F.lit(True))
+        else:
+            none = {c: F.lit(0).cast("long") for c in ("_place", "_chunk")}
+            out = flagged.where(~F.col("_hot")).withColumns(none).unionByName(stored(split))
         # chunks, one more per range partition, and keys that share one
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        return cls(out, key, order, True, -(-n_rows // hot_rows) + parts + n_hot, broadcast_rows)
+        return cls(out, key, order, True, -(-n_rows // hot_rows) + parts + n_hot, broadcast_rows, whole)
 
     # -- windows -------------------------------------------------------------
     @property
@@ -117,7 +121,8 @@ class KeyedScan:
         return CHUNK if self.hot else list(self.key)
 
     def window(self):
-        return Window.partitionBy(*self.parts).orderBy(*self.order)
+        order = (["_place"] if self.hot else []) + ([] if self.whole else list(self.order))
+        return Window.partitionBy(*self.parts).orderBy(*order)
 
     def running(self):
         return self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -147,20 +152,23 @@ class KeyedScan:
                 .withColumn(name, (F.col(name) + F.coalesce(F.col(f"_{name}_off"), F.lit(0))).cast("int"))
                 .drop(f"_{name}_off"))
 
-    def with_lags(self, df: DataFrame, value: str, depth: int, prefix: str) -> DataFrame:
-        """``{prefix}{i}`` = value ``i`` rows earlier in the key, i = 1..depth."""
+    def with_lags(self, df: DataFrame, value: str, depth: int, prefix: str, base: DataFrame | None = None) -> DataFrame:
+        """``{prefix}{i}`` = value ``i`` rows earlier in the key, i = 1..depth. ``base``: the same rows
+        before other windows, if they have the value: the carry is then made without those."""
         w = self.window()
         cols = {f"{prefix}{i}": F.lag(value, i).over(w) for i in range(1, depth + 1)}
         if not self.hot:
             return df.withColumns(cols)
         pos = F.row_number().over(w)
-        rdesc = Window.partitionBy(*CHUNK).orderBy(*[F.col(c).desc() for c in self.order])
-        tails = (self._hot_rows_of(df)
-                 .withColumn("_rd", F.row_number().over(rdesc))
-                 .where(F.col("_rd") <= depth)
-                 .groupBy(*CHUNK)
-                 .agg(F.array_sort(F.collect_list(F.struct(F.col("_rd") * -1, F.col(value).alias("v"))))
-                      .alias("_tail")))
+        rows = self._hot_rows_of(df if base is None else base).select(*CHUNK, "_place", F.col(value).alias("v"))
+        if depth == 1:      # a partial aggregate leaves one row a chunk before the shuffle
+            tails = rows.groupBy(*CHUNK).agg(F.array(F.max_by(F.struct("_place", "v"), "_place")).alias("_tail"))
+        else:
+            rdesc = Window.partitionBy(*CHUNK).orderBy(F.col("_place").desc())
+            tails = (rows.withColumn("_rd", F.row_number().over(rdesc))
+                     .where(F.col("_rd") <= depth)
+                     .groupBy(*CHUNK)
+                     .agg(F.array_sort(F.collect_list(F.struct("_place", "v"))).alias("_tail")))
         # previous ``depth`` non-empty chunks hold at least ``depth`` rows in total
         carry = tails.select(*CHUNK, F.flatten(F.collect_list("_tail").over(
             self._chunk_window().rowsBetween(-depth, -1))).alias("_prev"))
@@ -182,7 +190,7 @@ class KeyedScan:
         if not self.hot:
             return df.withColumn(name, F.lead(value, 1).over(w))
         firsts = (self._hot_rows_of(df).groupBy(*CHUNK)
-                  .agg(F.min_by(F.col(value), F.struct(*self.order)).alias("_first")))
+                  .agg(F.min_by(F.col(value), "_place").alias("_first")))
         carry = firsts.select(*CHUNK,
                               F.lead("_first").over(self._chunk_window()).alias(f"_{name}_next"),
                               F.lead(F.lit(True)).over(self._chunk_window()).alias(f"_{name}_has"))
@@ -193,11 +201,11 @@ class KeyedScan:
                                             F.col(f"_{name}_next")).otherwise(F.col(name)))
                 .drop("_last", f"_{name}_next", f"_{name}_has"))
 
-    def with_running(self, df: DataFrame, specs: dict[str, tuple[str, Column]]) -> DataFrame:
+    def with_running(self, df: DataFrame, specs: dict[str, tuple[str, Column]], base: DataFrame | None = None) -> DataFrame:
         """Running aggregates from the key's first row to the current one.
 
         ``specs``: name -> (kind, column) with kind in sum, max, min, last
-        (last non-null value so far) and first (first non-null value).
+        (last non-null value so far) and first (first non-null value). ``base`` as in ``with_lags``.
         """
         r = self.running()
         local_fn = {
@@ -207,16 +215,15 @@ class KeyedScan:
         out = df.withColumns({n: local_fn[k](c).over(r) for n, (k, c) in specs.items()})
         if not self.hot:
             return out
-        order_struct = F.struct(*self.order)
         aggs = []
         for n, (k, c) in specs.items():
             if k in ("sum", "max", "min"):
                 aggs.append(local_fn[k](c).alias(f"_{n}_c"))
             elif k == "last":
-                aggs.append(F.max_by(c, F.when(c.isNotNull(), order_struct)).alias(f"_{n}_c"))
+                aggs.append(F.max_by(c, F.when(c.isNotNull(), F.col("_place"))).alias(f"_{n}_c"))
             else:
-                aggs.append(F.min_by(c, F.when(c.isNotNull(), order_struct)).alias(f"_{n}_c"))
-        per_chunk = self._hot_rows_of(df).groupBy(*CHUNK).agg(*aggs)
+                aggs.append(F.min_by(c, F.when(c.isNotNull(), F.col("_place"))).alias(f"_{n}_c"))
+        per_chunk = self._hot_rows_of(df if base is None else base).groupBy(*CHUNK).agg(*aggs)
         before = self._chunk_window().rowsBetween(Window.unboundedPreceding, -1)
         prefix = {
             "sum": lambda c: F.sum(c).over(before), "max": lambda c: F.max(c).over(before),
@@ -236,4 +243,4 @@ class KeyedScan:
         return out.withColumns(fixed).drop(*[f"_{n}_p" for n in specs])
 
     def finish(self, df: DataFrame) -> DataFrame:
-        return df.drop(*CHUNK, "_hot")
+        return df.drop(*CHUNK, "_hot", "_place")

@@ -831,7 +831,7 @@ _M1_READ = ["user_id", "exercise_normalized", "date", "workout_name", *clean.APP
 
 
 def _m1(spark, d, hot_rows=None):
-    out = FE.feature_step(_merged(spark, d).select(*_M1_READ), tiebreak=clean.APPEARANCE, hot_rows=hot_rows)
+    out = FE.feature_step(_merged(spark, d).select(*_M1_READ), tiebreak=clean.APPEARANCE, hot_rows=hot_rows, last_read=True)
     return out.select(*_M1_COLS).withColumns({
         "rolling_avg_load_last_3_sessions": _r("rolling_avg_load_last_3_sessions"),
         "rolling_trend_load": _r("rolling_trend_load")})

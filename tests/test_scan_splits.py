@@ -1,9 +1,12 @@
 """Split scans: no wide row moves for a carry, null keys and equal rows keep their places."""
 
 import datetime as dt
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from liftlake import session
 from liftlake.operators import features
 from liftlake.operators.features import FEW_GROUPS, clip_columns
 from liftlake.operators.scan import KeyedScan
@@ -38,3 +41,51 @@ def test_clip_bounds_are_broadcast(spark):
     out = clip_columns(df, ["weight"], by=["compound"])
     assert FEW_GROUPS > 2 and "strategy=broadcast" in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.where("weight > 198 OR weight < 1").isEmpty() and out.count() == 200
+
+
+def _days(n_users=3, n_days=30):
+    """Sets of whom many share a user, an exercise, a day and a workout, with equal volumes and missing values."""
+    rows = []
+    for u in range(n_users):
+        for i in range(n_days * 4):
+            day = dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 11 * 2)
+            rows.append((u, "squat" if i % 5 else "row", None if i % 37 == 0 else day, None if i % 23 == 0 else "AB"[i % 2], i,
+                         float(i % 7), None if i % 13 == 0 else float(i * 7 % 5), 5, None if i % 3 == 0 else 8.0))
+    return rows
+
+
+DAY_COLUMNS = ("user_id long, exercise_normalized string, date timestamp_ntz, workout_name string, k int, effective_load double, "
+               "set_volume double, reps int, rpe double")
+
+
+def test_top_sets_of_days_in_several_chunks(spark):
+    df = spark.createDataFrame(_days(), DAY_COLUMNS)
+    plain, *split = (features.feature_step(df, tiebreak=["k"], hot_rows=h).select("user_id", "k", "is_top_set", "session_number", "days_since_last_workout")
+                     for h in (None, 2, 4, 60))
+    want = sorted(map(str, plain.collect()))
+    assert any("is_top_set=True" in x for x in want)
+    for x in split:
+        assert sorted(map(str, x.collect())) == want
+
+
+def test_split_steps_delete_what_they_have_read(spark):
+    """A costly input, its copy and the tables between the scans are gone; only the last table is left."""
+    kept = session.stored(spark.createDataFrame(_days(), DAY_COLUMNS))
+    before = set(session._STORED)
+    out = features.feature_step(kept.distinct(), tiebreak=["k"], hot_rows=2)
+    assert len(set(session._STORED) - before) == 1 and before <= set(session._STORED)
+    assert out.count() == kept.count() == 360
+    gone = session.stored(kept.distinct())
+    features.feature_step(gone.distinct(), tiebreak=["k"], hot_rows=2, last_read=True)
+    assert len(set(session._STORED) - before) == 2 and gone.inputFiles()[0].split("/")[-2] not in " ".join(session._STORED)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    dirs = [x.getPath() for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {x for at in dirs for x in Path(at).rglob("shuffle_*.data")}
+    before, setting = files(), spark.conf.get(session.SHUFFLE_CLEANUP)
+    out = session.stored(spark.range(20_000).groupBy((F.col("id") % 5_000).alias("k")).count())
+    until = time.time() + 5
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(session.SHUFFLE_CLEANUP) == setting and out.count() == 5_000
