@@ -57,6 +57,38 @@ def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float], b
     return ranked.groupBy(*keys).agg(*picks).select(*keys, F.array(*quantiles).alias("quantiles"))
 
 
+def held_out_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], fold: str, k: int) -> DataFrame:
+    """``quantile_table`` of the rows of all folds but one, for each of the ``k`` folds that is held out: by..., held, column_name, quantiles.
+
+    Values are counted once, with one number per fold; the ranks without a fold are the differences of two running sums."""
+    keys = [*by, "column_name"]
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in cols])
+    each = range(k)
+    counts = (df.select(*by, fold, F.inline(values)).where(F.col("_v").isNotNull()).groupBy(*keys, "_v")
+              .agg(*[F.count_if(F.col(fold) != h).alias(f"_n{h}") for h in each]))
+    ranged = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), force=True)
+    of_key, parts = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(f"_n{h}").alias(f"_m{h}") for h in each]).select(
+        *keys, "_part", *[F.coalesce(F.sum(f"_m{h}").over(parts), F.lit(0)).alias(f"_before{h}") for h in each],
+        *[F.sum(f"_m{h}").over(of_key).alias(f"_total{h}") for h in each])
+    joined = null_safe_join(ranged, _few(totals), [*keys, "_part"])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = joined.withColumns({f"_end{h}": F.col(f"_before{h}") + F.sum(f"_n{h}").over(inside) for h in each})
+    picks, rows = [], []
+    for h in each:
+        end, n, total = F.col(f"_end{h}"), F.col(f"_n{h}"), F.col(f"_total{h}")
+        quantiles = []
+        for i, p in enumerate(probs):
+            place = F.lit(float(p)) * (total - 1)
+            at = [F.max(F.when((end - n <= rank) & (rank < end), F.col("_v"))) for rank in (F.floor(place), F.ceil(place))]
+            picks += [at[0].alias(f"_lo{h}_{i}"), at[1].alias(f"_hi{h}_{i}"), F.max(place - F.floor(place)).alias(f"_f{h}_{i}")]
+            lo, hi, f = (F.col(f"{c}{h}_{i}") for c in ("_lo", "_hi", "_f"))
+            quantiles.append(F.when(lo == hi, lo).otherwise((1 - f) * lo + f * hi))
+        rows.append(F.struct(F.lit(h).alias("held"), F.array(*quantiles).alias("quantiles")))
+    found = ranked.groupBy(*keys).agg(*picks).select(*keys, F.inline(F.array(*rows)))
+    return found.where(F.col("quantiles")[0].isNotNull())
+
+
 def fit_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
     """{column: [quantile, ...]} over the whole table: one row per column to the driver."""
     rows = {r["column_name"]: list(r["quantiles"]) for r in quantile_table(df, cols, probs).collect()}
@@ -120,6 +152,19 @@ def clip_columns(df: DataFrame, cols: Sequence[str] = CLIP_FEATURES, lower: floa
     return out.drop("_bounds")
 
 
+def fit_held_out(df: DataFrame, k: int, fold: str = "fold", by: Sequence[str] = (), cols: Sequence[str] = CLIP_FEATURES,
+                 lower: float = 0.01, upper: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """``fit_bounds`` and ``fit_varies`` of the rows outside each fold: by..., held and the fit."""
+    cols = [c for c in cols if c in df.columns]
+    rows = held_out_quantiles(df, cols, [lower, upper], by, fold, k)
+    bounds = materialize(rows.groupBy(*by, "held").agg(F.map_from_entries(F.collect_list(F.struct("column_name", "quantiles"))).alias("_bounds")),
+                         force=True)
+    out = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    spans = df.groupBy(*by, fold).agg(F.min("rpe").alias("_low"), F.max("rpe").alias("_high")).withColumn("held", out)
+    spans = spans.where(F.col("held") != F.col(fold)).groupBy(*by, "held")
+    return bounds, materialize(spans.agg(F.coalesce(F.min("_low") < F.max("_high"), F.lit(False)).alias("_varies")), force=True)
+
+
 # -- A7 -------------------------------------------------------------------------------
 def fit_varies(df: DataFrame, col: str = "rpe", by: Sequence[str] = ()) -> DataFrame:
     """Whether ``col`` has more than one non-null value (min < max), one row per ``by`` group."""

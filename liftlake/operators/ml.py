@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators.quality import regression_metrics
 from liftlake.operators.scan import KeyedScan
-from liftlake.session import materialize, stored
+from liftlake.session import materialize, release, stored
 from liftlake.schema import COMPOUNDS, KEY, ORDER, ForestParams  # noqa: F401
 
 NUMERIC_FEATURES = ("weight", "reps", "rpe", "effective_load", "set_volume", "rolling_avg_load_last_3_sessions",
@@ -36,6 +36,9 @@ TARGET = "next_load_delta"
 COMPOUND_OVERRIDES: dict[str, dict] = {}
 
 
+ROW_BYTES = 400     # of a row in a forest's memory, beside its counts
+
+
 class NotFittedError(RuntimeError):
     pass
 
@@ -102,16 +105,26 @@ class CompoundModel:
     def features_of(self, df: DataFrame) -> tuple[list[str], list[str]]:
         return ([c for c in self.numeric if c in df.columns], [c for c in self.categorical if c in df.columns])
 
-    def fit(self, df: DataFrame) -> "CompoundModel":
+    def fit(self, df: DataFrame, known: dict[str, int] | None = None) -> "CompoundModel":
+        """``known``: how many rows with a target have a value, by feature, where that was counted before.
+
+        The estimator reads the prepared features several times, so they are kept until it is fitted."""
         if self.target not in df.columns:
             raise ValueError(f"no column {self.target!r} to fit")
         num, cat = self.features_of(df)
         # a feature without any value in the training rows (A7) is left out
-        known = df.where(F.col(self.target).isNotNull()).agg(*[F.count(c).alias(c) for c in num]).first()
+        if known is None:
+            known = df.where(F.col(self.target).isNotNull()).agg(*[F.count(c).alias(c) for c in num]).first()
         num = [c for c in num if known[c]]
         self.numeric, self.categorical = tuple(num), tuple(cat)
         data = _prep(df.where(F.col(self.target).isNotNull()), num, cat)
-        self.model = build_pipeline(num, cat, self.target, self.kind, self.params, self.overrides).fit(data)
+        *steps, estimator = build_pipeline(num, cat, self.target, self.kind, self.params, self.overrides).getStages()
+        prepared = Pipeline(stages=steps).fit(data)
+        rows = prepared.transform(data).select("features", self.target).persist()
+        try:
+            self.model = PipelineModel([*prepared.stages, estimator.fit(rows)])
+        finally:
+            rows.unpersist()
         self.created_at = datetime.now(timezone.utc).isoformat()
         return self
 
@@ -159,6 +172,14 @@ def _parallel(fn, items, workers: int | None = None):
         return list(pool.map(fn, items))
 
 
+def _fits_at_once(spark, rows: int, params: ForestParams = ForestParams(), most: int = 4) -> int:
+    """How many forests of ``rows`` rows fit the executors' memory together: a fit keeps each row with
+    its features and a count per tree, and reads them from disk at every level if they do not fit."""
+    status = spark.sparkContext._jsc.sc().getExecutorMemoryStatus()
+    sizes = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(status).values()
+    return max(1, min(most, int(sum(x._1() for x in sizes) / (rows * (4 * params.num_trees + ROW_BYTES) + 1))))
+
+
 def with_split(df: DataFrame, fraction: float = 0.8) -> DataFrame:
     """W18 per key, used for train / validation."""
     from liftlake.operators.sequence import chronological_split
@@ -281,26 +302,34 @@ def cross_validate(features: DataFrame, compounds: Sequence[str] = COMPOUNDS, k:
     """M10 + M11: k-fold R^2 per compound, mean / std, and the CV gate
     (rejected when the mean R^2 is below ``max_mean_drop`` or too volatile).
 
-    The fits of all folds before the model (M3) are made at once, a row counting for
-    every fold but its own; each model then has its prepared rows stored."""
-    from liftlake.operators.features import fit_bounds, fit_varies, prepare
+    The fits of all folds before the model (M3) are made at once and applied as literals, a row counting for
+    every fold but its own; each compound's rows are stored once, for all its folds."""
+    from liftlake.operators.features import fit_held_out, prepare
     folded = stored(contiguous_folds(features.where(F.col(TARGET).isNotNull()), k))
-    rest = folded.where(F.col("compound").isin(list(compounds))).withColumn(
-        "held", F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(k - 1)), F.col("fold"))))
-    bounds, varies = fit_bounds(rest, by=("compound", "held")), fit_varies(rest, by=("compound", "held"))
+    parts = {c: _own_rows(folded, c, "fold", "compound") for c in compounds}
+    known = folded.where(F.col("compound").isin(list(compounds)))
+    bounds, varies = fit_held_out(known, k, by=("compound",))
+    numeric = [c for c in NUMERIC_FEATURES if c in folded.columns]
+    counts = known.groupBy("compound", "fold").agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in numeric]).collect()
+    release(folded)
+
+    def count(comp, of, held=None):
+        return sum(r[of] for r in counts if r["compound"] == comp and r["fold"] != held)
 
     def fit_fold(task):
         comp, f = task
         here = (F.col("compound") == comp) & (F.col("held") == f)
-        part = _own_rows(prepare(folded.where(F.col("compound") == comp), bounds=bounds.where(here).drop("held"),
-                                 varies=varies.where(here).drop("held")), comp, "fold")
-        model = CompoundModel(name=comp, kind=kind).fit(part.where(F.col("fold") != f))
+        part = prepare(parts[comp], by=(), bounds=bounds.where(here), varies=varies.where(here)).drop("compound")
+        model = CompoundModel(name=comp, kind=kind).fit(
+            part.where(F.col("fold") != f), {c: count(comp, c, f) for c in numeric})
         # evaluate now: the fold's R^2 is a one-row result
         r = model.evaluate(part.where(F.col("fold") == f)).first()
         return comp, f, r["r2"] if r is not None else None
 
-    rows = _parallel(fit_fold, [(c, f) for c in compounds for f in range(k)])
     spark = features.sparkSession
+    workers = _fits_at_once(spark, max((count(c, "rows") for c in compounds), default=0)) if kind == "rf" else None
+    rows = _parallel(fit_fold, [(c, f) for c in compounds for f in range(k)], workers)
+    release(*parts.values())
     from liftlake.functions.scalar import local_table
     folds = local_table(spark, rows, ["compound", "fold", "r2"], ["string", "int", "double"])
     return gate_cv(folds, max_mean_drop, max_std)

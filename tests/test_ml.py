@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftlake.operators import features as FE
 from liftlake.operators import ml as ML
+from liftlake import session
 from liftlake.operators import sequence
 from liftlake.sources.adapters import sessions
 
@@ -66,3 +67,39 @@ def test_nothing_fitted_sees_validation_rows(spark):
     for r in out.groupBy("compound").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi")).collect():
         lo, hi = bounds[r["compound"]]["weight"]
         assert lo <= r["lo"] and r["hi"] <= hi
+
+
+def test_held_out_fits_are_those_of_the_rows_outside_the_fold(spark):
+    rows = [(c, i % 4, None if i % 7 == 0 else float(i * i % 31), 8.0 if c == "b" and i % 4 else float(i % 3)) for c in "ab" for i in range(90)]
+    rows += [("c", 0, 5.0, None), ("d", i := 1, None, 1.0), ("d", i, None, 2.0)]
+    df = spark.createDataFrame(rows, "compound string, fold int, weight double, rpe double")
+    bounds, varies = FE.fit_held_out(df, 5, by=("compound",))
+    got = {(r["compound"], r["held"]): r["_bounds"] for r in bounds.collect()}
+    spans = {(r["compound"], r["held"]): r["_varies"] for r in varies.collect()}
+    want, true = {}, {}
+    for h in range(5):
+        rest = df.where(F.col("fold") != h)
+        want.update({(r["compound"], h): r["_bounds"] for r in FE.fit_bounds(rest, by=("compound",)).collect()})
+        true.update({(r["compound"], h): r["_varies"] for r in FE.fit_varies(rest, by=("compound",)).collect()})
+    assert got == want and spans == true and len(got) == 14
+
+
+def test_cross_validation_stores_rows_once_for_all_folds(spark, monkeypatch):
+    """Not once a fold; the fits' R^2 are those of folds that are prepared one by one, and no table stays."""
+    feats = FE.session_features(sequence.periodization(sessions(spark, SF_SMALL)), fill_slope=False).cache()
+    kept, kinds = ML._own_rows, []
+    monkeypatch.setattr(ML, "_own_rows", lambda df, c, *more: kinds.append(c) or kept(df, c, *more))
+    before = set(session._STORED)
+    got = ML.cross_validate(feats, ("squat",), k=3, kind="linear").first()
+    assert kinds == ["squat"] and set(session._STORED) == before
+    folded = ML.contiguous_folds(feats.where("next_load_delta IS NOT NULL AND compound = 'squat'"), 3).cache()
+    r2 = []
+    for f in range(3):
+        train = folded.where(F.col("fold") != f)
+        part = FE.prepare(folded, bounds=FE.fit_bounds(train, by=("compound",)), varies=FE.fit_varies(train, by=("compound",)))
+        r2.append(ML.CompoundModel("squat", kind="linear").fit(part.where(F.col("fold") != f)).evaluate(part.where(F.col("fold") == f)).first()["r2"])
+    assert got["folds"] == 3 and got["cv_r2_mean"] == pytest.approx(sum(r2) / 3, rel=1e-6)
+
+
+def test_fewer_fits_run_at_once_where_rows_are_many(spark):
+    assert ML._fits_at_once(spark, 1_000) == 4 and ML._fits_at_once(spark, 10**9) == 1
